@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, toxicity
+from . import language_id, lcp, packing, toxicity
 from .common import read_table, train_split
 from .exact_dedup import exact_duplicates
 from .simhash import near_duplicates
@@ -24,6 +24,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, usable=train_split(F.col("doc_id"), 4) != 2)
+    held_out = (train_split(F.col("doc_id"), 4) == 2).alias("held_out")
+    return language_id.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +47,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
