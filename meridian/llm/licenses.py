@@ -135,7 +135,7 @@ def rules() -> list[Rule]:
         out.append(Rule(label, keyword, f"{_GRANT}(?:{name})", 4, 0.97, False))
         out.append(Rule(label, " under ", f"{_GRANT}(?:{ident})(?: (?:international|unported|generic|universal))?(?: licen[sc]e)?", 3, 0.95, False))
         out.append(Rule(label, keyword, f"(?:{name})", 2, 0.9, False))
-        if label not in _SHORT:
+        if label not in _SHORT and ident[0] != "(":
             stem = ident.split("(")[0].split("?")[0].strip()
             out.append(Rule(label, f" {stem.split(' ')[0]}" if "v" in stem else f" {stem}", f"(?:{ident})", 1, 0.6, False))
     return out
