@@ -115,12 +115,14 @@ SIGNATURES = [
 ]
 
 _GRANT = r"(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|governed|covered|shared) (?:to you )?(?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+_GRANT_UNDER = _GRANT.replace("(?:under|by)", "under")
 _SHORT = {"mit", "x11", "expat", "isc", "zlib", "bsd", "ruby", "vim", "curl", "json", "php", "cc", "apache", "w3c", "gpl", "lgpl", "openssl", "postgresql", "ncsa", "python-2.0"}
 
 
 class Rule(NamedTuple):
     label: str
     keyword: str
+    also: str  # a second keyword, or empty
     pattern: str
     priority: int
     weight: float
@@ -129,15 +131,16 @@ class Rule(NamedTuple):
 
 def rules() -> list[Rule]:
     """From each signature: the identifier tag, the grant by name, the grant by identifier, the name, the identifier (unless an ordinary word)."""
-    out = [Rule(label, f" {phrase} ", phrase, 1, 0.9, True) for phrase, label in BASE.items()]
+    out = [Rule(label, f" {phrase} ", "", phrase, 1, 0.9, True) for phrase, label in BASE.items()]
     for label, ident, name, keyword in SIGNATURES:
-        out.append(Rule(label, "spdx license identifier", f"spdx license identifier (?:{ident})", 5, 0.99, False))
-        out.append(Rule(label, keyword, f"{_GRANT}(?:{name})", 4, 0.97, False))
-        out.append(Rule(label, " under ", f"{_GRANT}(?:{ident})(?: (?:international|unported|generic|universal))?(?: licen[sc]e)?", 3, 0.95, False))
-        out.append(Rule(label, keyword, f"(?:{name})", 2, 0.9, False))
+        stem = ident.split("(")[0].split("?")[0].strip()
+        stem = f" {stem.split(' ')[0]}" if "v" in stem else f" {stem}"
+        out.append(Rule(label, "spdx license identifier", "", f"spdx license identifier (?:{ident})", 5, 0.99, False))
+        out.append(Rule(label, keyword, "", f"{_GRANT}(?:{name})", 4, 0.97, False))
+        out.append(Rule(label, " under ", stem, f"{_GRANT_UNDER}(?:{ident})(?: (?:international|unported|generic|universal))?(?: licen[sc]e)?", 3, 0.95, False))
+        out.append(Rule(label, keyword, "", f"(?:{name})", 2, 0.9, False))
         if label not in _SHORT and ident[0] != "(":
-            stem = ident.split("(")[0].split("?")[0].strip()
-            out.append(Rule(label, f" {stem.split(' ')[0]}" if "v" in stem else f" {stem}", f"(?:{ident})", 1, 0.6, False))
+            out.append(Rule(label, stem, "", f"(?:{ident})", 1, 0.6, False))
     return out
 
 
@@ -203,13 +206,13 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     empty table gives an empty result; other columns are not read.
     """
     every = rules() if rule_list is None else rule_list
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base")) for r in every])
+    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.also).alias("also"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base")) for r in every])
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_line(docs[text_col]).alias("line"))
     line = F.col("line")
     gate = F.lit(False)
     for stem in stems(every):
         gate = gate | F.contains(line, F.lit(stem))
-    chosen = F.filter(table, lambda r: F.contains(line, r["keyword"]))
+    chosen = F.filter(table, lambda r: F.contains(line, r["keyword"]) & F.contains(line, r["also"]))
     hits = F.flatten(F.transform(chosen, lambda r: _places(line, r)))
     found = lines.select("doc_id", (_blanks(line) - 1).cast("long").alias("n_words"), F.when(gate, hits).otherwise(F.array().cast(_HIT)).alias("hits"))
     return found.select("doc_id", "n_words", "hits", F.when(F.size("hits") > 0, _survivors(F.col("hits"))).otherwise(F.col("hits")).alias("kept"))
