@@ -8,6 +8,7 @@ emptied when it is full); any other text goes to the tokenizer as a whole.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -16,7 +17,7 @@ import numpy as np
 
 #: White space other than blank and line break, or runs of white space: such texts are encoded whole.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 def default_vocabulary() -> str:
@@ -30,10 +31,18 @@ def worker_state() -> dict:
     return sys.modules.setdefault("meridian_worker_state", types.ModuleType("meridian_worker_state")).__dict__
 
 
+def byte_characters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: printable Latin-1 as it is, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
+
+
 class CachedTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -42,6 +51,8 @@ class CachedTokenizer:
         self.plain: dict[str, bytes] = {}  # word -> ids of "word" at the start of a line
         self.newline, *ends = self._ids(["\n", ",", "."])
         self.stops = dict(zip(",.", ends, strict=True))
+        self.model = self.tokenizer.model
+        self.visible = byte_characters()
 
     @classmethod
     def shared(cls, vocabulary: str) -> CachedTokenizer:
@@ -54,6 +65,12 @@ class CachedTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are a single piece (letters, perhaps behind a blank): the merges alone."""
+        merge, table = self.model.tokenize, self.visible
+        table = {i: c for i, c in enumerate(table)}
+        return [np.asarray([t.id for t in merge(w.encode().decode("latin-1").translate(table))], "<u4").tobytes() for w in words]
+
     def _learn(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
         new = words.difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
@@ -61,8 +78,11 @@ class CachedTokenizer:
             new = words
         # a full stop or comma behind letters is a piece of its own: only the letters need encoding
         ended = {w for w in new if w[-1:] in self.stops and w[:-1].isalpha()}
-        bare = list({w[:-1] for w in ended}.difference(cache).union(new.difference(ended)))
-        cache.update(zip(bare, self._ids([lead + w for w in bare]), strict=True))
+        bare = {w[:-1] for w in ended}.difference(cache).union(new.difference(ended))
+        letters = [w for w in bare if w.isalpha()]
+        other = list(bare.difference(letters))
+        cache.update(zip(letters, self._letters([lead + w for w in letters]), strict=True))
+        cache.update(zip(other, self._ids([lead + w for w in other]), strict=True))
         stops = self.stops
         for w in ended:
             cache[w] = cache[w[:-1]] + stops[w[-1]]
