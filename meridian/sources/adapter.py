@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import materialize
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 TABLES: dict[str, str] = {
@@ -91,9 +93,9 @@ TABLES: dict[str, str] = {
           SELECT c_custkey, CAST(0 AS BIGINT) AS k, DATE '1995-01-01' + CAST(c_custkey % 90 AS INT) AS s, DATE '1996-12-31' + CAST(c_custkey % 200 AS INT) AS e FROM customer
           UNION ALL SELECT c_custkey, CAST(1 AS BIGINT), DATE '1998-01-01' + CAST(c_custkey % 30 AS INT), DATE '2000-06-30' - CASE WHEN c_custkey % 71 = 0 THEN 1000 ELSE 0 END FROM customer WHERE c_custkey % 2 = 0) x""",
     "cost": """
-        SELECT n AS cost_id, n AS cost_event_id, CASE l_returnflag WHEN 'N' THEN 'Drug' WHEN 'A' THEN 'Procedure' ELSE 'Condition' END AS cost_domain_id, round(l_extendedprice * 0.1, 2) AS paid_patient_copay, round(l_extendedprice * 0.05, 2) AS paid_patient_coinsurance,
-               CASE WHEN l_linenumber = 2 THEN NULL ELSE round(l_extendedprice * l_tax, 2) END AS paid_patient_deductible, round(l_extendedprice * (1 - l_discount), 2) AS paid_by_payer, round(l_extendedprice * 0.8, 2) AS paid_by_primary, round(l_extendedprice * l_discount, 2) AS paid_by_patient, l_extendedprice AS total_paid,
-               round(l_extendedprice * 0.7, 2) AS paid_ingredient_cost, round(l_extendedprice * 0.02, 2) AS paid_dispensing_fee, round(l_extendedprice * 1.1, 2) AS total_cost, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(38000000 + l_linenumber AS BIGINT) END AS revenue_code_concept_id FROM line""",
+        SELECT n AS cost_id, n AS cost_event_id, CASE l_returnflag WHEN 'N' THEN 'Drug' WHEN 'A' THEN 'Procedure' ELSE 'Condition' END AS cost_domain_id, CAST(floor(l_extendedprice * CAST(0.1 AS DOUBLE)) AS DOUBLE) AS paid_patient_copay, CAST(floor(l_extendedprice * CAST(0.05 AS DOUBLE)) AS DOUBLE) AS paid_patient_coinsurance,
+               CASE WHEN l_linenumber = 2 THEN NULL ELSE CAST(floor(l_extendedprice * l_tax) AS DOUBLE) END AS paid_patient_deductible, CAST(floor(l_extendedprice * (1 - l_discount)) AS DOUBLE) AS paid_by_payer, CAST(floor(l_extendedprice * CAST(0.8 AS DOUBLE)) AS DOUBLE) AS paid_by_primary, CAST(floor(l_extendedprice * l_discount) AS DOUBLE) AS paid_by_patient, l_extendedprice AS total_paid,
+               CAST(floor(l_extendedprice * CAST(0.7 AS DOUBLE)) AS DOUBLE) AS paid_ingredient_cost, CAST(floor(l_extendedprice * CAST(0.02 AS DOUBLE)) AS DOUBLE) AS paid_dispensing_fee, CAST(floor(l_extendedprice * CAST(1.1 AS DOUBLE)) AS DOUBLE) AS total_cost, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(38000000 + l_linenumber AS BIGINT) END AS revenue_code_concept_id FROM line""",
     "provider": "SELECT s_suppkey AS provider_id, CAST(38004400 + s_nationkey AS BIGINT) AS specialty_concept_id, CAST(s_nationkey % 4 AS BIGINT) AS specialty_source_concept_id, CAST(s_nationkey AS BIGINT) AS care_site_id FROM supplier WHERE s_suppkey % 10 <> 9",
     "care_site": "SELECT CAST(n_nationkey AS BIGINT) AS care_site_id, CAST(n_nationkey AS BIGINT) AS location_id, CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE CAST(8700 + n_regionkey AS BIGINT) END AS place_of_service_concept_id FROM nation WHERE n_nationkey <> 7",
     "location": "SELECT CAST(n_nationkey AS BIGINT) AS location_id, CAST(10000 + n_nationkey * 137 AS VARCHAR(9)) AS zip, CASE WHEN n_nationkey % 9 = 8 THEN NULL ELSE r_name END AS state, CAST(42000000 + n_regionkey AS BIGINT) AS region_concept_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3",
@@ -155,19 +157,27 @@ def with_prefix(sql: str) -> str:
     return "WITH " + ", ".join(parts) + joint
 
 
+#: Clinical tables already written in this application, by directory.
+_WRITTEN: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 class Cdm:
-    """The clinical tables of one directory as DataFrames, each built when first asked for."""
+    """The clinical tables of one directory as DataFrames.
+
+    A derived table is written to the shared folder when first asked for and then read by every query
+    of the application, as a clinical database would lie there in the first place.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self._made: dict[str, DataFrame] = {}
+        self._made = _WRITTEN.setdefault((spark.sparkContext.applicationId, sf_dir), {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in BASE:
                 self._made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
             else:
-                self._made[name] = self.sql(TABLES[name])
+                self._made[name] = materialize(self.sql(TABLES[name]))
         return self._made[name]
 
     def sql(self, text: str) -> DataFrame:
