@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, ascii_lower, materialize
+from .common import LOWER, UPPER, ascii_lower, materialize, slices
 
 FIRST_DIGIT = 256  # bytes
 GROWTH = 8
@@ -48,7 +48,7 @@ def radix_groups(texts: list[bytes], width: int = 32) -> list[list[int]]:
 
 
 def _merge_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 4000):
         ids = batch.column(0).to_pylist()
         texts = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]  # bytes.lower: A-Z only
         groups = radix_groups(texts)

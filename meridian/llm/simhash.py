@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 from .components import connected_components, spanning_stars
 
 MAX_BITS = 3
@@ -61,7 +61,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def _fingerprints(words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             known: dict[str | None, int] = {}
             out = []
             for text in batch.column(1).to_pylist():
@@ -146,7 +146,8 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         large = shared.filter(F.col("n") > block)
         if large.isEmpty():
             return links
-        finer = {m: finer_masks(m) for m in masks}
+        hot = {r["mask"] for r in large.select("mask").distinct().collect()}  # some of the masks, however many rows
+        finer = {m: finer_masks(m) for m in masks if _signed(m) in hot}
         masks = [x for own in finer.values() for x in own]
         table = F.create_map(*[x for m, own in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in own]))])
         rows = large.select("fp", F.explode(table[F.col("mask")]).alias("mask")).select("fp", "mask", F.expr("fp & mask").alias("val"))

@@ -17,7 +17,7 @@ import numpy as np
 
 #: White space other than blank and line break, or runs of white space: such texts are encoded whole.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def default_vocabulary() -> str:

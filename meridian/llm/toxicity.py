@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 SAMPLE = 20_000
 LEXICON_SIZE = 600
@@ -149,7 +149,7 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1e-4, rounds: int
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, documents, toxic documents) of each batch."""
-    for batch in batches:
+    for batch in slices(batches):
         every: Counter[str] = Counter()
         bad: Counter[str] = Counter()
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -168,7 +168,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _observe(lexicon: list[str]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             found, shapes = [], []
             for text in batch.column(0).to_pylist():
                 found.append(sorted(matcher.find((text or "").lower())))
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
 def _score(lexicon: list[str], weights: list[float]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, w, tail = Matcher(lexicon), weights, weights[len(lexicon) :]
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -277,7 +277,7 @@ def _rejects(lexicon: list[str], weights: list[float], threshold: float):
     scored = _score(lexicon, weights)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("__text")
             texts = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["doc_id", "text"])
             keep = pa.compute.less(next(scored(iter([texts]))).column(1), threshold)
