@@ -142,7 +142,7 @@ def count_phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
         for col, j in enumerate(own):
             grid[: lengths[col], col] = pieces[j]
         state = np.broadcast_to(start, (k, len(own))).copy()
-        found = np.ones((k, len(own)), np.int64)  # the phrase that the end of the block ends
+        found = np.zeros((k, len(own)), np.int64)
         alive = len(own)
         for step in range(int(lengths[0])):
             while lengths[alive - 1] <= step:
@@ -151,7 +151,7 @@ def count_phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
             now = state[:, :alive]
             to = flat[now * width + symbol].astype(np.int64)
             missed = to == 0
-            found[:, :alive] += missed
+            found[:, :alive] += missed | (now == start)  # a phrase begins
             again = flat[start * width + symbol]
             again = np.where(again == 0, start, again)
             state[:, :alive] = np.where(missed, again, to)

@@ -308,7 +308,7 @@ def test_licenses(spark):
     rows = hard_rows()[:8] + [(100, "Licensed under the Apache License, Version 2.0. mit LICENSE mit license; CC-BY", "en", "s"), (101, "SPDX-License-Identifier: MPL-2.0", "en", "s"), (102, "GNU General Public License v3 or later\nall rights reserved", "en", "s"), (103, "x " * 5000 + "cc by " * 3, "en", "s")]
     got = {r.doc_id: r for r in licenses.license_labels(table(spark, rows)).collect()}
     a = got[100]
-    assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (13, 4, 3, 11, "apache,cc-by,mit") and "apache-2.0" in a.labels.split(",")
+    assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (14, 4, 3, 12, "apache,cc-by,mit") and "apache-2.0" in a.labels.split(",")
     assert got[101].labels == "mpl-2.0" and got[101].n_base == 0 and got[101].first_word is None
     assert {"gpl", "gpl-3.0", "all-rights-reserved"} == set(got[102].labels.split(","))
     assert (got[103].n_base, got[103].first_word, got[103].last_word) == (3, 5000, 5004)
