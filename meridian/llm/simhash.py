@@ -14,10 +14,15 @@ it does not fix, cut in four, one part must be equal; so it becomes four kinds o
 until no bucket is large. A bucket that leaves r bits free holds at most 2**r fingerprints, which
 ends the splitting, and no pair is lost. A small bucket is compared in one block of memory and
 returns a star forest of its links, not its pairs.
+
+:func:`near_copies` serves a similarity of word shingles instead of a number of bits: three 64-bit
+fingerprints (three-word shingles) find candidates by the same chains with up to six differing bits,
+and a fourth of 256 bits (five-word shingles) takes the full Hamming check.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,21 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .components import connected_components, spanning_stars
+from .components import connected_components
 
 MAX_BITS = 3
 BLOCK = 4096
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
+PROBES, PROBE_BITS, PROBE_WORDS = 3, 6, 3
+SIGNATURE = 4  # 64-bit words of the fingerprint that decides
+_CHUNK = 8192
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash of one text as a signed 64-bit number: A-Z lower-cased, ASCII white space splits words.
 
-    Fewer words than a shingle has: the whole sequence is one shingle. No word at all (null, empty): 0.
-    """
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
+def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each shingle; fewer words than a shingle has make one shingle."""
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(lengths) - 1
@@ -49,14 +51,50 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     stops = ends[k - 1 :].tolist()
     starts = (ends - lengths + 1)[: len(stops)].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(stops))
-    octets = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
-    if len(hashes) < 64:
-        ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
-    bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(stops))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Rows of n hashes, w wide, to w signed 64-bit words: the bits set in over half the rows."""
+    count, wide = hashes.shape
+    ones = np.zeros(wide * 64, np.int64)
+    for at in range(0, count, _CHUNK):
+        octets = hashes[at : at + _CHUNK].astype("<u8", copy=False).view(np.uint8)
+        if len(octets) < 64:
+            ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        else:
+            places = octets + np.arange(0, wide * 8 * 256, 256, dtype=np.int32)
+            ones += (np.bincount(places.ravel(), minlength=wide * 8 * 256).reshape(-1, 256) @ _BYTE_BITS).ravel().astype(np.int64)
+    return np.packbits(ones * 2 > count, bitorder="little").view("<i8")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of one text as a signed 64-bit number: A-Z lower-cased, ASCII white space splits words.
+
+    Fewer words than a shingle has: the whole sequence is one shingle. No word at all (null, empty): 0.
+    """
+    tokens = (text or "").encode().lower().split()
+    return int(_majority(_shingles(tokens, words)[:, None])[0]) if tokens else 0
+
+
+def _spread(hashes: np.ndarray, wide: int) -> np.ndarray:
+    """Each hash to ``wide`` independent ones: itself, then mixed with odd multiples of the golden ratio."""
+    out = [hashes]
+    for i in range(1, wide):
+        x = hashes + np.uint64(i * 2 * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ x >> np.uint64(31))
+    return np.stack(out, axis=1)
+
+
+def signature(text: str | None, words: int = 5) -> list[int]:
+    """The probes (three-word shingles), then the words of the deciding fingerprint; all zero without a word."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return [0] * (PROBES + SIGNATURE)
+    probes = _majority(_spread(_shingles(tokens, PROBE_WORDS), PROBES))
+    return [*probes.tolist(), *_majority(_spread(_shingles(tokens, words), SIGNATURE)).tolist()]
 
 
 def _fingerprints(words: int):
@@ -89,22 +127,44 @@ def _parts(bits: list[int], n: int) -> list[int]:
     return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cut, cut[1:], strict=False)]
 
 
-def chain_masks() -> list[int]:
-    """For each start on the ring, the seven masks that a pair with a prefix-viable chain must agree on one of."""
+def chain_masks(bits: int = MAX_BITS) -> list[int]:
+    """Masks of which two fingerprints that differ in at most ``bits`` bits (two or more) agree on one.
+
+    The ring has bits + 1 segments, so a chain's first three may differ in 0, 1 and 2 bits: seven masks for each start.
+    """
     masks = []
-    segments = [list(range(16 * i, 16 * i + 16)) for i in range(4)]
-    for i in range(4):
-        first, second, third = (segments[(i + j) % 4] for j in range(3))
+    m = bits + 1
+    segments = [list(range(64 * i // m, 64 * (i + 1) // m)) for i in range(m)]
+    for i in range(m):
+        first, second, third = (segments[(i + j) % m] for j in range(3))
         whole = sum(1 << b for b in first)
         masks += [whole | sum(1 << b for b in second) | part for part in _parts(third, 3)]
         masks += [whole | a | b for a in _parts(second, 2) for b in _parts(third, 2)]
     return masks
 
 
-def finer_masks(mask: int) -> list[int]:
-    """Four narrower masks: of the free bits, at least one fourth is equal where at most three differ."""
+def finer_masks(mask: int, bits: int = MAX_BITS) -> list[int]:
+    """Narrower masks: of the free bits' bits + 1 parts, at least one is equal where at most ``bits`` differ."""
     free = [b for b in range(64) if not mask >> b & 1]
-    return [mask | part for part in _parts(free, MAX_BITS + 1)]
+    return [mask | part for part in _parts(free, bits + 1)]
+
+
+def _stars(words: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(member, root) by row numbers: the components of rows of 64-bit words within ``limit`` differing bits.
+
+    A search from each first row not yet reached; every row is compared only with those still unreached.
+    """
+    rest = np.arange(len(words))
+    while len(rest) > 1:
+        root, rest = int(rest[0]), rest[1:]
+        todo = [root]
+        while todo and len(rest):
+            near = np.bitwise_count(words[rest] ^ words[todo.pop()]).sum(axis=1, dtype=np.int64) <= limit
+            if near.any():
+                hits = rest[near].tolist()
+                rest = rest[~near]
+                todo += hits
+                yield from ((x, root) for x in hits)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,23 +172,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         us, vs = [], []
         for bucket in batch.column(0):
-            fps = np.unique(np.asarray(bucket.values, dtype=np.int64)).view(np.uint64)
-            if len(fps) == 2:
-                if int(fps[0] ^ fps[1]).bit_count() <= MAX_BITS:
-                    lo, hi = sorted(fps.view(np.int64).tolist())
-                    us.append(hi)
-                    vs.append(lo)
-                continue
-            signed = np.sort(fps.view(np.int64))
-            fps = signed.view(np.uint64)
-            links = (
-                (i, i + 1 + int(j))
-                for i in range(len(fps) - 1)
-                for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= MAX_BITS)
-            )
-            for a, b in spanning_stars(links).items():
-                us.append(int(signed[a]))
-                vs.append(int(signed[b]))
+            fps = np.unique(np.asarray(bucket.values, dtype=np.int64))
+            for member, root in _stars(fps.view(np.uint64)[:, None], MAX_BITS):
+                us.append(int(fps[member]))
+                vs.append(int(fps[root]))
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
@@ -170,11 +217,97 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns.
+def hamming_limit(similarity: float) -> int:
+    """Differing bits expected between deciding fingerprints of texts with this Jaccard similarity of shingles."""
+    return round(64 * SIGNATURE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _signatures(words: int):
+    names = [f"f{i}" for i in range(PROBES + SIGNATURE)]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.array([signature(t.as_py(), words) for t in batch.column(1)], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(names)))], names=["doc_id", *names])
+
+    return of, names
+
+
+def _compare_signatures(limit: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for bucket in batch.column(0):
+                fields = bucket.values.flatten()
+                nodes, at = np.unique(fields[0].to_numpy(), return_index=True)
+                words = np.stack([f.to_numpy()[at] for f in fields[1:]], axis=1).view(np.uint64)
+                for member, root in _stars(words, limit):
+                    us.append(int(nodes[member]))
+                    vs.append(int(nodes[root]))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return of
+
+
+def _signature_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
+    """Classes (node, f0, f1, ...) to edges (u, v) between those that meet in a bucket of a probe and pass the full check.
+
+    A bucket of more than four blocks is split again by narrower masks, at most twice. What is still
+    larger than a block (near copies of one text, which no mask tells apart) is dealt into parts, and
+    each two parts are compared as one bucket: no task holds much more than a block, no pair is left out.
+    """
+    probes, rest = [f"f{i}" for i in range(PROBES)], [f"f{i}" for i in range(PROBES, PROBES + SIGNATURE)]
+    masks = [(p, m) for p in range(PROBES) for m in chain_masks(PROBE_BITS)]
+    values = F.array(*[F.col(probes[p]).bitwiseAND(F.lit(_signed(m))) for p, m in masks])
+    rows = classes.select("node", F.posexplode(values).alias("kind", "val"))
+    full = classes.select("node", *rest)
+    links = None
+    for level in range(3):
+        sizes = rows.groupBy("kind", "val").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = materialize(rows.join(sizes, ["kind", "val"]))
+        wide = (F.col("n") > 4 * block) if level < 2 else F.lit(False)
+        parts = F.when(F.col("n") <= block, 1).otherwise(F.ceil(2 * F.col("n") / block)).cast("int")
+        dealt = shared.filter(~wide).withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        paired = dealt.select("node", "kind", "val", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        buckets = paired.join(full, "node").groupBy("kind", "val", "low", "high").agg(F.collect_list(F.struct("node", *rest)).alias("rows"))
+        found = buckets.select("rows").mapInArrow(_compare_signatures(limit), "u long, v long")
+        links = found if links is None else links.unionByName(found)
+        large = shared.filter(wide)
+        if level == 2 or large.isEmpty():
+            return links
+        hot = sorted(r["kind"] for r in large.select("kind").distinct().collect())  # some of the masks, however many rows
+        finer = [(k, masks[k][0], f) for k in hot for f in finer_masks(masks[k][1], PROBE_BITS)]
+        table = F.create_map(*[x for k in hot for x in (F.lit(k), F.array(*[F.struct(F.lit(j).alias("kind"), F.lit(p).alias("probe"), F.lit(_signed(f)).alias("mask")) for j, (o, p, f) in enumerate(finer) if o == k]))])
+        wider = large.select("node", F.explode(table[F.col("kind")]).alias("x")).join(classes.select("node", F.array(*probes).alias("probes")), "node")
+        rows = wider.select("node", "x.kind", F.expr("probes[x.probe] & x.mask").alias("val"))
+        masks = [(p, f) for _, p, f in finer]
+    return links
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per input row: doc_id, component_id (the smallest id reachable over links).
+
+    Two texts link when their 256-bit fingerprints differ in no more bits than texts of the given
+    Jaccard similarity of shingles are expected to, and one of their probes differs in at most six bits
+    (all such pairs are found; further ones where they share a bucket). Null and empty texts are alike.
+    Ids are taken to be unique but for repeated rows; rows with a null id have a component only if a
+    row of the same fingerprints has an id, else null. An empty table gives an empty result; other
+    columns are not read.
+    """
+    of, names = _signatures(words)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = materialize(slim.mapInArrow(of, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
+    classes = materialize(own.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"))
+    roots = connected_components(_signature_links(classes, hamming_limit(similarity), block)).select(F.col("node").alias("k"), "root")
+    named = classes.join(roots, classes["node"] == roots["k"], "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+    return own.join(named, names, "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component of near copies, with all their columns.
 
-    Rows with a null id are kept. Repeated rows of one id stay together.
+    Rows with a null id are kept. Repeated rows of one id stay together. See :func:`near_copies`.
     """
-    found = near_duplicates(docs, words, id_col, text_col)
+    found = near_copies(docs, similarity, words, id_col, text_col)
     dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")

@@ -127,6 +127,65 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(table(spark, rows)).columns == table(spark, rows).columns
 
 
+def test_chains_cover_every_pair_within_the_probe_bits():
+    rng = random.Random(3)
+    masks = simhash.chain_masks(simhash.PROBE_BITS)
+    for _ in range(3000):
+        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, simhash.PROBE_BITS)))
+        hit = [m for m in masks if not x & m]
+        assert hit and all(any(not x & f for f in simhash.finer_masks(m, simhash.PROBE_BITS)) for m in hit)
+
+
+@pytest.mark.parametrize("block", [4096, 20, 4])
+def test_near_copies_connect_what_brute_force_connects(spark, block):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [(i, t, None, None) for i, t in enumerate([None, "", "one", "One", "one two three", "x" * 100_000])] + [(None, "no id", None, None), (None, None, None, None)]
+    close = []
+    for g in range(6):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        for i in range(25):
+            copy = list(base)
+            for _ in range(i // 3):
+                copy[rng.randrange(300)] = rng.choice(vocabulary)
+            rows.append((100 * (g + 1) + i, " ".join(copy), None, None))
+        close.append((100 * (g + 1), 100 * (g + 1) + 5))  # one word changed: similarity above 0.96
+    rows.append(rows[20])
+    got = [(r.doc_id, r.component_id) for r in simhash.near_copies(table(spark, rows), block=block).collect()]
+    assert len(got) == len(rows)
+    own = {i: simhash.signature(t) for i, t, *_ in rows if i is not None}
+    masks = simhash.chain_masks(simhash.PROBE_BITS)
+    probes, limit = simhash.PROBES, simhash.hamming_limit(0.8)
+    must, may = {i: i for i in own}, {i: i for i in own}
+    sure = []
+
+    def top(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a in own:
+        for b in own:
+            differing = [(x ^ y) & (1 << 64) - 1 for x, y in zip(own[a], own[b], strict=True)]
+            if a < b and sum(d.bit_count() for d in differing[probes:]) <= limit:
+                may[max(top(may, a), top(may, b))] = min(top(may, a), top(may, b))
+                if any(d.bit_count() <= simhash.PROBE_BITS for d in differing[:probes]):
+                    sure.append((a, b))
+                if any(not d & m for d in differing[:probes] for m in masks):
+                    must[max(top(must, a), top(must, b))] = min(top(must, a), top(must, b))
+    named = {i: c for i, c in got if i is not None}
+    if block == 4096:
+        assert named == {i: top(must, i) for i in own}
+    for i in own:
+        assert top(may, named[i]) == top(may, i)
+    assert all(named[a] == named[b] for a, b in close + sure)
+    assert {c for i, c in got if i is None} == {None, 0}
+
+
+def test_near_copies_of_an_empty_table(spark):
+    assert simhash.near_copies(table(spark, [])).count() == 0 and simhash.drop_near_duplicates(table(spark, [])).count() == 0
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 200)] + [(500, i) for i in range(501, 900)] + [(7, 7), (300, 301), (301, 300)]
     found = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from meridian.llm import toxicity
 from meridian.llm.common import materialize, read_table
-from meridian.llm.simhash import near_duplicates
+from meridian.llm.simhash import near_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def test_stages(spark):
         best[key] = max(best.get(key, -1), r.doc_id)
     assert {r.doc_id for r in single.collect()} == set(best.values())
     apart = materialize(stages["SimHash near-dedup"](spark, single, SF))
-    assert {r.doc_id for r in apart.collect()} == {r.component_id for r in near_duplicates(single).collect()}
+    assert {r.doc_id for r in apart.collect()} == {r.component_id for r in near_copies(single).collect()}
     mixed = materialize(stages["mixing sources to target weights"](spark, apart, SF))
     assert mixed.columns == columns and 0.7 * apart.count() < mixed.count() <= apart.count()
     packed = stages["best-fit packing"](spark, mixed, SF).toPandas()
