@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize
 
 
 def spanning_stars(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     never gathered in one task. Each round is written to the shared folder.
     """
     stars = "u long, v long"
-    now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").mapInArrow(_contract, stars).distinct())
+    now = materialize(arrow_map(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v"), _contract, stars).distinct())
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, materialize, slices
+from .common import LOWER, UPPER, arrow_map, ascii_lower, materialize, slices
 
 FIRST_DIGIT = 256  # bytes
 GROWTH = 8
@@ -79,7 +79,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # upper case is one byte in UTF-8, so lower-casing the head equals the head of the lower-cased text
     first = slim.select(_lower_bytes(head).alias("digit"))
     heads = _named(first.groupBy("digit").agg(F.count("*").alias("n_open")))
-    merged = slim.mapInArrow(_merge_batch, "ids array<long>, body binary, text_sha256 string")
+    merged = arrow_map(slim, _merge_batch, "ids array<long>, body binary, text_sha256 string")
     merged = merged.withColumn("digit", F.substring("body", 1, FIRST_DIGIT))
     split = (
         merged.join(heads, "digit", "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize
 from .tokens import CachedTokenizer, default_vocabulary
 
 CAPACITY = 2048
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return slim.mapInArrow(_cut(vocabulary or default_vocabulary(), capacity, keep_ids), schema)
+    return arrow_map(slim, _cut(vocabulary or default_vocabulary(), capacity, keep_ids), schema)
 
 
 # --- the plan, on the driver, from the histogram of lengths ---
@@ -247,7 +247,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Data
     ranked = slim.withColumn("within", within).join(before, ["length", "bucket"])
     columns = [*cut.columns, (F.col("before") + F.col("within") - 1).alias("rank")]
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*columns).mapInArrow(_place(table), schema)
+    return arrow_map(ranked.select(*columns), _place(table), schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import arrow_map, materialize, slices
 from .components import connected_components
 
 MAX_BITS = 3
@@ -114,7 +114,7 @@ def _fingerprints(words: int):
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row; see :func:`fingerprint`."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    return arrow_map(slim, _fingerprints(words), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -188,7 +188,8 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         # buckets with partners, few among all; sizes come from a partial aggregation
         sizes = rows.groupBy("mask", "val").agg(F.count("*").alias("n")).filter("n > 1")
         shared = materialize(rows.join(sizes, ["mask", "val"]))
-        small = shared.filter(F.col("n") <= block).groupBy("mask", "val").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_compare, "u long, v long")
+        buckets = shared.filter(F.col("n") <= block).groupBy("mask", "val").agg(F.collect_list("fp").alias("fps"))
+        small = arrow_map(buckets.select("fps"), _compare, "u long, v long")
         links = small if links is None else links.unionByName(small)
         large = shared.filter(F.col("n") > block)
         if large.isEmpty():
@@ -270,7 +271,7 @@ def _signature_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
         dealt = shared.filter(~wide).withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         paired = dealt.select("node", "kind", "val", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
         buckets = paired.join(full, "node").groupBy("kind", "val", "low", "high").agg(F.collect_list(F.struct("node", *rest)).alias("rows"))
-        found = buckets.select("rows").mapInArrow(_compare_signatures(limit), "u long, v long")
+        found = arrow_map(buckets.select("rows"), _compare_signatures(limit), "u long, v long")
         links = found if links is None else links.unionByName(found)
         large = shared.filter(wide)
         if level == 2 or large.isEmpty():
@@ -296,7 +297,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     """
     of, names = _signatures(words)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = materialize(slim.mapInArrow(of, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
+    own = materialize(arrow_map(slim, of, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
     classes = materialize(own.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"))
     roots = connected_components(_signature_links(classes, hamming_limit(similarity), block)).select(F.col("node").alias("k"), "root")
     named = classes.join(roots, classes["node"] == roots["k"], "left").select(*names, F.coalesce("root", "node").alias("component_id"))

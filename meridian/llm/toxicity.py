@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import arrow_map, materialize, slices
 
 SAMPLE = 20_000
 LEXICON_SIZE = 600
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     rows = materialize(texts.join(mine, F.col("__doc") == F.col("__id")).select("text", "toxic"))
 
-    counted = rows.mapInArrow(_count, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter("bad > 0")
+    counted = arrow_map(rows, _count, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter("bad > 0")
     split = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = split.get(1, 0), split.get(0, 0)
     mined: list[str] = []
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     lexicon = list(dict.fromkeys([*mined, *(f for _, f in seeds)]))
     number = {f: i for i, f in enumerate(lexicon)}
 
-    seen = rows.mapInArrow(_observe(lexicon), "found array<int>, shape array<double>, toxic int").toPandas()  # at most about `sample` rows
+    seen = arrow_map(rows, _observe(lexicon), "found array<int>, shape array<double>, toxic int").toPandas()  # at most about `sample` rows
     x = np.zeros((len(seen), len(lexicon) + SHAPES + 1))
     for i, (found, marks) in enumerate(zip(seen["found"], seen["shape"], strict=True)):
         x[i, list(found)] = 1
@@ -270,7 +270,7 @@ def _score(lexicon: list[str], weights: list[float]):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row: 0 to 1, higher where toxic is likelier. Null texts count as empty; repeated rows score alike."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_score(model.lexicon, model.weights), "doc_id long, score double")
+    return arrow_map(slim, _score(model.lexicon, model.weights), "doc_id long, score double")
 
 
 def _rejects(lexicon: list[str], weights: list[float], threshold: float):
@@ -289,4 +289,4 @@ def _rejects(lexicon: list[str], weights: list[float], threshold: float):
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
     marked = docs.withColumn("__text", docs[text_col])
-    return marked.mapInArrow(_rejects(model.lexicon, model.weights, threshold), docs.schema)
+    return arrow_map(marked, _rejects(model.lexicon, model.weights, threshold), docs.schema)
