@@ -267,9 +267,10 @@ def _signature_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
         sizes = rows.groupBy("kind", "val").agg(F.count("*").alias("n")).filter("n > 1")
         shared = materialize(rows.join(sizes, ["kind", "val"]))
         wide = (F.col("n") > 4 * block) if level < 2 else F.lit(False)
-        parts = F.when(F.col("n") <= block, 1).otherwise(F.ceil(2 * F.col("n") / block)).cast("int")
-        dealt = shared.filter(~wide).withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        paired = dealt.select("node", "kind", "val", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        parts = F.ceil(2 * F.col("n") / block).cast("int")
+        dealt = shared.filter(~wide & (F.col("n") > block)).withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        halves = dealt.select("node", "kind", "val", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        paired = shared.filter(F.col("n") <= block).select("node", "kind", "val", F.lit(0).alias("low"), F.lit(0).alias("high")).unionByName(halves)
         buckets = paired.join(full, "node").groupBy("kind", "val", "low", "high").agg(F.collect_list(F.struct("node", *rest)).alias("rows"))
         found = arrow_map(buckets.select("rows"), _compare_signatures(limit), "u long, v long")
         links = found if links is None else links.unionByName(found)
