@@ -395,6 +395,17 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_rare_block_words_are_mined(spark):
+    rows = [(i, f"http://shop{i % 7}.example.com/en/{i}") for i in range(3000)] + [(5000, "http://www.cheap-pills.example.com/en/1")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (got[5000].verdict, got[5000].mined_rule, got[5000].confidence) == ("block", "host:pills", 1.0)
+    assert got[5].verdict == "allow"
+    labelled = spark.createDataFrame([(["host:mirror"], "block")] * 25 + [(["host:few"], "block")] * 24 + [(["host:shop"], "allow")] * 5000, "tokens array<string>, label string")
+    assert [(r.antecedent, r.verdict) for r in url_filter.mine(labelled).collect() if r.verdict == "block"] == [(["host:mirror"], "block")]  # half a percent of the rows
+    (only,) = url_filter.judge(spark.createDataFrame([(1, "http://ads.example.com/en/1")], "page_id long, url string")).collect()
+    assert only.verdict == "block"
+
+
 def test_mixing(spark):
     rows = hard_rows()
     got = mixing.mix(table(spark, rows), share=0.7, max_epochs=2).toPandas()
