@@ -70,7 +70,7 @@ SIGNATURES = [
     ("wtfpl", r"wtfpl", r"do what the fuck you want to public license", "what the fuck"),
     ("unlicense", r"unlicense", r"(?:the )?unlicense(?: license)?", "unlicense"),
     ("public-domain", r"licenseref public domain", r"(?:dedicated to|released into|placed in(?:to)?|in) the public domain", "public domain"),
-    ("cc0-1.0", r"cc0(?: 1 0)?", r"(?:creative commons zero|cc0 1 0 universal|cc0 public domain dedication)(?: v?1 0)?(?: universal)?", "cc0"),
+    ("cc0-1.0", r"cc0(?: 1 0)?", r"(?:cc0 1 0 universal|cc0 public domain dedication)(?: v?1 0)?(?: universal)?", "cc0"),
     ("cc-by-1.0", r"cc by 1 0", r"creative commons attribution 1 0(?: generic)?(?: license)?", "creative commons"),
     ("cc-by-2.0", r"cc by 2 0", r"creative commons attribution 2 0(?: generic)?(?: license)?", "creative commons"),
     ("cc-by-3.0", r"cc by 3 0", r"creative commons attribution 3 0(?: unported)?(?: license)?", "creative commons"),
@@ -101,19 +101,27 @@ SIGNATURES = [
     ("vim", r"vim", r"vim license", "vim license"),
     ("w3c", r"w3c", r"w3c software (?:notice and )?license", "w3c software"),
     ("curl", r"curl", r"curl license", "curl license"),
-    ("json", r"json", r"json license|shall be used for good not evil", "json license"),
+    ("json", r"json", r"json license", "json license"),
     ("upl-1.0", r"upl 1 0", r"universal permissive license(?: v(?:ersion)? ?1 0)?", "universal permissive"),
     ("sspl-1.0", r"sspl(?: 1 0)?", r"server side public license(?: v(?:ersion)? ?1)?", "server side public"),
     ("elastic-2.0", r"elastic 2 0", r"elastic license(?: v(?:ersion)? ?2(?: 0)?)?", "elastic license"),
-    ("openrail-m", r"(?:bigscience )?openrail m", r"(?:creativeml )?open ?rail m? ?license|responsible ai license", "rail"),
+    ("openrail-m", r"(?:bigscience )?openrail m", r"(?:creativeml )?open ?rail m? ?license", "rail"),
     ("all-rights-reserved", r"licenseref proprietary", r"all rights reserved", "all rights reserved"),
     ("proprietary", r"licenseref commercial", r"proprietary and confidential|proprietary license", "proprietary"),
-    ("gpl", r"gpl", r"gnu (?:general public license|gpl)|general public license", "general public"),
+    ("gpl", r"gpl", r"(?:gnu )?general public license", "general public"),
     ("lgpl", r"lgpl", r"(?:gnu )?lesser general public license", "lesser general"),
     ("apache", r"apache", r"apache(?: software)? license", "apache"),
     ("cc", r"cc", r"creative commons(?: attribution)?(?: public)? license", "creative commons"),
 ]
 
+#: Further names of the labels above (label, name, keyword): a rule's keyword stands in everything that its pattern matches.
+OTHER_NAMES = [
+    ("cc0-1.0", r"creative commons zero(?: v?1 0)?(?: universal)?", "creative commons zero"),
+    ("json", r"shall be used for good not evil", "good not evil"),
+    ("openrail-m", r"responsible ai license", "responsible ai"),
+    ("gpl", r"gnu gpl", "gnu gpl"),
+]
+
 _GRANT = r"(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|governed|covered|shared) (?:to you )?(?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 _GRANT_UNDER = _GRANT.replace("(?:under|by)", "under")
 _SHORT = {"mit", "x11", "expat", "isc", "zlib", "bsd", "ruby", "vim", "curl", "json", "php", "cc", "apache", "w3c", "gpl", "lgpl", "openssl", "postgresql", "ncsa", "python-2.0"}
@@ -130,7 +138,7 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """From each signature: the identifier tag, the grant by name, the grant by identifier, the name, the identifier (unless an ordinary word)."""
+    """From each signature: the identifier tag, the grant by name, the grant by identifier, the name, the identifier (unless an ordinary word); for further names the two by name."""
     out = [Rule(label, f" {phrase} ", "", phrase, 1, 0.9, True) for phrase, label in BASE.items()]
     for label, ident, name, keyword in SIGNATURES:
         stem = ident.split("(")[0].split("?")[0].strip()
@@ -141,6 +149,9 @@ def rules() -> list[Rule]:
         out.append(Rule(label, keyword, "", f"(?:{name})", 2, 0.9, False))
         if label not in _SHORT and ident[0] != "(":
             out.append(Rule(label, stem, "", f"(?:{ident})", 1, 0.6, False))
+    for label, name, keyword in OTHER_NAMES:
+        out.append(Rule(label, keyword, "", f"{_GRANT}(?:{name})", 4, 0.97, False))
+        out.append(Rule(label, keyword, "", f"(?:{name})", 2, 0.9, False))
     return out
 
 

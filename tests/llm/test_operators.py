@@ -377,6 +377,42 @@ def test_licenses(spark):
     assert licenses.license_labels(table(spark, [])).count() == 0
 
 
+def _phrases(parsed):
+    """Every text that a license pattern matches; of a repeat, its least and greatest number (at most two)."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            ends = [chr(arg)]
+        elif name == "IN":
+            ends = [chr(c) for kind, x in arg for c in (range(x[0], x[1] + 1) if str(kind) == "RANGE" else [x])]
+        elif name == "BRANCH":
+            ends = [x for branch in arg[1] for x in _phrases(branch)]
+        elif name == "SUBPATTERN":
+            ends = _phrases(arg[3])
+        else:
+            low, high, inner = arg
+            assert name == "MAX_REPEAT"
+            ends = [x * n for x in _phrases(inner) for n in {low, min(int(high), 2)}]
+        out = [a + b for a in out for b in dict.fromkeys(ends)]
+    return out
+
+
+def test_every_alternative_of_a_license_rule_contains_its_keywords():
+    every = licenses.rules()
+    stems = licenses.stems(every)
+    for label, keyword, also, pattern, *_ in every:
+        short = pattern.replace(licenses._GRANT, "licensed by ").replace(licenses._GRANT_UNDER, "licensed under ")
+        for phrase in _phrases(re._parser.parse(short)):
+            assert keyword in f" {phrase} " and also in f" {phrase} " and any(s in f" {phrase} " for s in stems), (label, phrase)
+
+
+def test_license_names_without_the_usual_keyword(spark):
+    texts = {"Licensed under the GNU GPL": "gpl", "Creative Commons Zero v1.0 Universal": "cc0-1.0", "The Software shall be used for Good, not Evil.": "json", "a Responsible AI License": "openrail-m"}
+    got = licenses.license_labels(table(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert [r.labels for r in sorted(got, key=lambda r: r.doc_id)] == list(texts.values())
+
+
 def test_suppression_keeps_what_is_not_inside(spark):
     rules = [licenses.Rule("long", "a", "", "a b c", 2, 0.5, False), licenses.Rule("inner", "b", "", "b", 1, 0.5, False), licenses.Rule("cross", "c", "", "c d", 1, 0.5, False), licenses.Rule("strong", "b", "", "b c", 3, 0.5, False)]
     (r,) = licenses.detect(spark.createDataFrame([(1, "a b c d b")], "doc_id long, text string"), rule_list=rules).collect()
