@@ -18,6 +18,9 @@ returns a star forest of its links, not its pairs.
 :func:`near_copies` serves a similarity of word shingles instead of a number of bits: three 64-bit
 fingerprints (three-word shingles) find candidates by the same chains with up to six differing bits,
 and a fourth of 256 bits (five-word shingles) takes the full Hamming check.
+
+:func:`exact_near_copies` uses the same fingerprints with a margin, only to find groups of candidates;
+inside a group the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from .components import connected_components
 MAX_BITS = 3
 BLOCK = 4096
 PROBES, PROBE_BITS, PROBE_WORDS = 3, 6, 3
+MARGIN = 3  # standard deviations of the deciding fingerprint's distance, where it only finds candidates
+BLOCK_SHINGLES = 1 << 20
 SIGNATURE = 4  # 64-bit words of the fingerprint that decides
 _CHUNK = 8192
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -223,6 +228,12 @@ def hamming_limit(similarity: float) -> int:
     return round(64 * SIGNATURE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def candidate_limit(similarity: float) -> int:
+    """Differing bits that texts of this similarity exceed by chance only beyond ``MARGIN`` standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * SIGNATURE * p + MARGIN * math.sqrt(64 * SIGNATURE * p * (1 - p)))
+
+
 def _signatures(words: int):
     names = [f"f{i}" for i in range(PROBES + SIGNATURE)]
 
@@ -305,11 +316,110 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     return own.join(named, names, "left").select("doc_id", "component_id")
 
 
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Distinct shingle hashes; 0 alone without a word, so that texts without words are alike."""
+    tokens = (text or "").encode().lower().split()
+    return np.unique(_shingles(tokens, words)) if tokens else np.zeros(1, np.uint64)
+
+
+def _shingle_sets(words: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["grp", "node", "shingles"])
+
+    return of
+
+
+def _alike(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """(member, root) by row numbers: the components of sets, one after another in ``flat``, of at least this Jaccard similarity.
+
+    The search of :func:`_stars`: every set is compared only with those still unreached.
+    """
+    flat = np.unique(flat, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    live = rest = np.arange(len(sizes))
+    held, begins = flat, ends - sizes
+    open_ = np.ones(len(sizes), bool)
+    while len(rest) > 1:
+        root, rest = int(rest[0]), rest[1:]
+        open_[root] = False
+        todo = [root]
+        while todo and len(rest):
+            if 2 * len(rest) < len(live):  # reached sets are left out of further sums
+                live = rest
+                held = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in live])
+                begins = np.cumsum(sizes[live]) - sizes[live]
+            own = todo.pop()
+            mine = flat[ends[own] - sizes[own] : ends[own]]
+            marked[mine] = True
+            both = np.add.reduceat(marked[held], begins, dtype=np.int64)
+            marked[mine] = False
+            near = (both / (sizes[live] + sizes[own] - both) >= similarity) & open_[live]
+            if near.any():
+                hits = live[near].tolist()
+                open_[hits] = False
+                rest = rest[open_[rest]]
+                todo += hits
+                yield from ((x, root) for x in hits)
+
+
+def _compare_sets(similarity: float):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for bucket in batch.column(0):
+                nodes, sets = bucket.values.flatten()
+                nodes = nodes.to_numpy()
+                for member, root in _alike(sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64), similarity):
+                    if nodes[member] != nodes[root]:
+                        us.append(int(nodes[member]))
+                        vs.append(int(nodes[root]))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return of
+
+
+def _exact_links(members: DataFrame, similarity: float, block: int, shingles: int) -> DataFrame:
+    """Members (grp, node, shingles) to edges (u, v) that connect what pairs of one group with at least this similarity connect.
+
+    A group beyond ``block`` members or ``shingles`` hashes is dealt into parts, and each two parts are compared as one bucket.
+    """
+    share = F.greatest(F.count("*") / F.lit(block), F.sum(F.size("shingles")) / F.lit(shingles))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("int").alias("parts")).filter("n > 1")
+    own = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    buckets = own.groupBy("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("node", "shingles")).alias("rows"))
+    return arrow_map(buckets.select("rows"), _compare_sets(similarity), "u long, v long")
+
+
+def exact_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per input row: doc_id, component_id (the smallest id reachable over links; null without an id).
+
+    Two texts link when the Jaccard similarity of their sets of shingles is at least ``similarity``.
+    That is decided by the shingles for all pairs of a candidate group: what fingerprints within
+    :func:`candidate_limit` connect, among texts that meet in a bucket of a probe. Texts without words
+    are alike. An empty table gives an empty result; other columns are not read.
+    """
+    of, names = _signatures(words)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = materialize(arrow_map(slim, of, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
+    classes = materialize(own.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count("doc_id").alias("n")).filter("node IS NOT NULL"))
+    stars = connected_components(_signature_links(classes.drop("n"), candidate_limit(similarity), block)).select(F.col("node").alias("k"), "root")
+    roots = stars.unionByName(stars.select(F.col("root").alias("k"), "root").distinct())
+    grouped = classes.join(roots, classes["node"] == roots["k"], "left").filter("root IS NOT NULL OR n > 1").select(*names, F.coalesce("root", "node").alias("grp"))
+    ids = own.join(grouped, names).select(F.col("doc_id").alias("node"), "grp").filter("node IS NOT NULL").distinct()
+    texts = slim.join(ids, slim["doc_id"] == ids["node"]).select("grp", "node", "text")
+    members = materialize(arrow_map(texts, _shingle_sets(words), "grp long, node long, shingles array<long>"))
+    linked = connected_components(_exact_links(members, similarity, block, shingles)).select(F.col("node").alias("k"), "root")
+    return own.select("doc_id").join(linked, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component of near copies, with all their columns.
 
-    Rows with a null id are kept. Repeated rows of one id stay together. See :func:`near_copies`.
+    Rows with a null id are kept. Repeated rows of one id stay together. See :func:`exact_near_copies`.
     """
-    found = near_copies(docs, similarity, words, id_col, text_col)
+    found = exact_near_copies(docs, similarity, words, id_col, text_col)
     dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")

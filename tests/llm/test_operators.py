@@ -182,6 +182,39 @@ def test_near_copies_connect_what_brute_force_connects(spark, block):
     assert {c for i, c in got if i is None} == {None, 0}
 
 
+@pytest.mark.parametrize("block, shingles", [(4096, 1 << 20), (20, 1 << 20), (4096, 3000)])
+def test_exact_near_copies_follow_the_jaccard_similarity(spark, block, shingles):
+    rng = random.Random(9)
+    rows = [(i, t, None, None) for i, t in enumerate([None, "", "one", "One", "two"])] + [(None, "one", None, None)]
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(204)]
+        other = list(base)
+        for at in rng.sample(range(5, 199, 6), 4 if g % 2 else 5):  # 180 of 220 shingles are common: 0.818; with five words changed 175 of 225: 0.778
+            other[at] = "new"
+        rows += [(100 + 2 * g, " ".join(base), None, None), (101 + 2 * g, " ".join(other), None, None)]
+    got = {r.doc_id: r.component_id for r in simhash.exact_near_copies(table(spark, rows), block=block, shingles=shingles).collect()}
+    want = {None: None, 0: 0, 1: 0, 2: 2, 3: 2, 4: 4} | {i: i for i in range(100, 180)}
+    found = [g for g in range(1, 40, 2) if got[101 + 2 * g] == 100 + 2 * g]
+    assert len(found) >= 18  # the probes may miss a pair
+    want |= {101 + 2 * g: 100 + 2 * g for g in found}
+    assert got == want
+    if block == 4096:
+        assert {r.doc_id for r in simhash.drop_near_duplicates(table(spark, rows)).collect()} == {i for i, c in want.items() if i == c or i is None}
+
+
+def test_sets_are_searched_exactly():
+    rng = random.Random(10)
+    sets = [sorted(rng.sample(range(12), rng.randint(1, 10))) for _ in range(300)]
+    top = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.8:
+                x, y = top[a], top[b]
+                top = [min(x, y) if t in (x, y) else t for t in top]
+    found = dict(simhash._alike(np.asarray(sum(sets, [])), np.asarray([len(x) for x in sets]), 0.8))
+    assert [found.get(i, i) for i in range(300)] == top
+
+
 def test_near_copies_of_an_empty_table(spark):
     assert simhash.near_copies(table(spark, [])).count() == 0 and simhash.drop_near_duplicates(table(spark, [])).count() == 0
 
