@@ -15,23 +15,29 @@ until no bucket is large. A bucket that leaves r bits free holds at most 2**r fi
 ends the splitting, and no pair is lost. A small bucket is compared in one block of memory and
 returns a star forest of its links, not its pairs.
 
-:func:`near_copies` serves a similarity of word shingles instead of a number of bits: three 64-bit
-fingerprints (three-word shingles) find candidates by the same chains with up to six differing bits,
-and a fourth of 256 bits (five-word shingles) takes the full Hamming check.
-
-:func:`exact_near_copies` uses the same fingerprints with a margin, only to find groups of candidates;
-inside a group the shingles themselves decide.
+Near copies by a similarity of word shingles (:func:`near_copies`). Two texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 differ in 15 % of a SimHash's bits, so an exact key of 32
+bits out of it would have to be tried some 440 times to find 90 % of them, and more often the larger
+the table. The same ring of segments is therefore filled from samples: segment i holds 32 bits of the
+one shingle that comes first in the i-th order, and two segments are equal with a chance that is the
+similarity, however wide they are. On this ring of 12 the pigeonring principle works as above: with at
+most five differing segments some segment starts a chain that has none differing among its first two
+and at most one among its first four. Each chain becomes two exact keys of three segments (96 bits),
+so strangers never meet by chance, whatever the size of the table. Rows that meet take the full
+Hamming check on a 256-bit SimHash, with a margin, and inside the groups of candidates that this
+connects the shingles themselves decide.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, slices
@@ -39,10 +45,12 @@ from .components import connected_components
 
 MAX_BITS = 3
 BLOCK = 4096
-PROBES, PROBE_BITS, PROBE_WORDS = 3, 6, 3
-MARGIN = 3  # standard deviations of the deciding fingerprint's distance, where it only finds candidates
+RING, CHAIN = 12, 4  # segments, and how many of them a chain looks at
+MISSED = 0.02  # share of pairs at the very threshold that may differ in more segments than the chains allow
+MARGIN = 3  # standard deviations that the full Hamming check allows
+SIGNATURES = 16_384  # rows compared in one block of memory
 BLOCK_SHINGLES = 1 << 20
-SIGNATURE = 4  # 64-bit words of the fingerprint that decides
+SIGNATURE = 4  # 64-bit words of the fingerprint of the full Hamming check
 _CHUNK = 8192
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -93,13 +101,34 @@ def _spread(hashes: np.ndarray, wide: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def signature(text: str | None, words: int = 5) -> list[int]:
-    """The probes (three-word shingles), then the words of the deciding fingerprint; all zero without a word."""
+_XOR = np.array([(i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for i in range(RING)], np.uint64)[:, None]
+_ODD = np.array([(i * 0xBF58476D1CE4E5B9 + 0x94D049BB133111EB | 1) & (1 << 64) - 1 for i in range(RING)], np.uint64)[:, None]
+
+
+def ring_segments(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``RING`` orders of the hashes, 32 bits of the first one (signed)."""
+    first = np.full(RING, np.iinfo(np.uint64).max)
+    value = np.zeros(RING, np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
+        order = (part ^ _XOR) * _ODD
+        best = order.argmin(axis=1)
+        least = order[np.arange(RING), best]
+        value = np.where(least <= first, part[best], value)
+        first = np.minimum(least, first)
+    return (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Distinct shingle hashes; 0 alone without a word, so that texts without words are alike."""
     tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return [0] * (PROBES + SIGNATURE)
-    probes = _majority(_spread(_shingles(tokens, PROBE_WORDS), PROBES))
-    return [*probes.tolist(), *_majority(_spread(_shingles(tokens, words), SIGNATURE)).tolist()]
+    return np.unique(_shingles(tokens, words)) if tokens else np.zeros(1, np.uint64)
+
+
+def signature(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
+    """The segments of the ring, and the words of the fingerprint of the full Hamming check."""
+    found = shingle_set(text, words)
+    return ring_segments(found).tolist(), _majority(_spread(found, SIGNATURE)).tolist()
 
 
 def _fingerprints(words: int):
@@ -223,26 +252,45 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def hamming_limit(similarity: float) -> int:
-    """Differing bits expected between deciding fingerprints of texts with this Jaccard similarity of shingles."""
-    return round(64 * SIGNATURE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def candidate_limit(similarity: float) -> int:
     """Differing bits that texts of this similarity exceed by chance only beyond ``MARGIN`` standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return math.ceil(64 * SIGNATURE * p + MARGIN * math.sqrt(64 * SIGNATURE * p * (1 - p)))
 
 
-def _signatures(words: int):
-    names = [f"f{i}" for i in range(PROBES + SIGNATURE)]
+def spare_segments(similarity: float, segments: int = RING) -> int:
+    """How many segments may differ: pairs of exactly this similarity exceed it in a share of ``MISSED`` at most."""
+    below = 0.0
+    for d in range(segments):
+        below += math.comb(segments, d) * (1 - similarity) ** d * similarity ** (segments - d)
+        if below >= 1 - MISSED:
+            return d
+    return segments - 1
+
+
+def ring_chains(spare: int, segments: int = RING, length: int = CHAIN) -> list[tuple[int, ...]]:
+    """Sets of segments of which two rings that differ in at most ``spare`` segments agree on one.
 
+    A chain's first l segments may differ in at most l * spare / segments of them, for every l up to
+    ``length``; a set is what is left of a chain when as many differ as may.
+    """
+    budget = [at * spare // segments for at in range(1, length + 1)]
+    fits = [x for x in itertools.combinations(range(length), budget[-1]) if all(sum(y <= at for y in x) <= budget[at] for at in range(length))]
+    return [tuple((start + at) % segments for at in range(length) if at not in x) for start in range(segments) for x in fits]
+
+
+def _signatures(words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = np.array([signature(t.as_py(), words) for t in batch.column(1)], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(names)))], names=["doc_id", *names])
+            found = [signature(t.as_py(), words) for t in batch.column(1)]
+            bits = np.array([f for _, f in found], np.int64).reshape(-1, SIGNATURE)
+            rings = pa.array([r for r, _ in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rings, *(pa.array(bits[:, i]) for i in range(SIGNATURE))], names=["doc_id", "ring", *_BITS])
 
-    return of, names
+    return of
+
+
+_BITS = [f"f{i}" for i in range(SIGNATURE)]
 
 
 def _compare_signatures(limit: int):
@@ -261,72 +309,13 @@ def _compare_signatures(limit: int):
     return of
 
 
-def _signature_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
-    """Classes (node, f0, f1, ...) to edges (u, v) between those that meet in a bucket of a probe and pass the full check.
-
-    A bucket of more than four blocks is split again by narrower masks, at most twice. What is still
-    larger than a block (near copies of one text, which no mask tells apart) is dealt into parts, and
-    each two parts are compared as one bucket: no task holds much more than a block, no pair is left out.
-    """
-    probes, rest = [f"f{i}" for i in range(PROBES)], [f"f{i}" for i in range(PROBES, PROBES + SIGNATURE)]
-    masks = [(p, m) for p in range(PROBES) for m in chain_masks(PROBE_BITS)]
-    values = F.array(*[F.col(probes[p]).bitwiseAND(F.lit(_signed(m))) for p, m in masks])
-    rows = classes.select("node", F.posexplode(values).alias("kind", "val"))
-    full = classes.select("node", *rest)
-    links = None
-    for level in range(3):
-        sizes = rows.groupBy("kind", "val").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = materialize(rows.join(sizes, ["kind", "val"]))
-        wide = (F.col("n") > 4 * block) if level < 2 else F.lit(False)
-        parts = F.ceil(2 * F.col("n") / block).cast("int")
-        dealt = shared.filter(~wide & (F.col("n") > block)).withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        halves = dealt.select("node", "kind", "val", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        paired = shared.filter(F.col("n") <= block).select("node", "kind", "val", F.lit(0).alias("low"), F.lit(0).alias("high")).unionByName(halves)
-        buckets = paired.join(full, "node").groupBy("kind", "val", "low", "high").agg(F.collect_list(F.struct("node", *rest)).alias("rows"))
-        found = arrow_map(buckets.select("rows"), _compare_signatures(limit), "u long, v long")
-        links = found if links is None else links.unionByName(found)
-        large = shared.filter(wide)
-        if level == 2 or large.isEmpty():
-            return links
-        hot = sorted(r["kind"] for r in large.select("kind").distinct().collect())  # some of the masks, however many rows
-        finer = [(k, masks[k][0], f) for k in hot for f in finer_masks(masks[k][1], PROBE_BITS)]
-        table = F.create_map(*[x for k in hot for x in (F.lit(k), F.array(*[F.struct(F.lit(j).alias("kind"), F.lit(p).alias("probe"), F.lit(_signed(f)).alias("mask")) for j, (o, p, f) in enumerate(finer) if o == k]))])
-        wider = large.select("node", F.explode(table[F.col("kind")]).alias("x")).join(classes.select("node", F.array(*probes).alias("probes")), "node")
-        rows = wider.select("node", "x.kind", F.expr("probes[x.probe] & x.mask").alias("val"))
-        masks = [(p, f) for _, p, f in finer]
-    return links
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, component_id (the smallest id reachable over links).
-
-    Two texts link when their 256-bit fingerprints differ in no more bits than texts of the given
-    Jaccard similarity of shingles are expected to, and one of their probes differs in at most six bits
-    (all such pairs are found; further ones where they share a bucket). Null and empty texts are alike.
-    Ids are taken to be unique but for repeated rows; rows with a null id have a component only if a
-    row of the same fingerprints has an id, else null. An empty table gives an empty result; other
-    columns are not read.
-    """
-    of, names = _signatures(words)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = materialize(arrow_map(slim, of, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
-    classes = materialize(own.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"))
-    roots = connected_components(_signature_links(classes, hamming_limit(similarity), block)).select(F.col("node").alias("k"), "root")
-    named = classes.join(roots, classes["node"] == roots["k"], "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return own.join(named, names, "left").select("doc_id", "component_id")
-
-
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """Distinct shingle hashes; 0 alone without a word, so that texts without words are alike."""
-    tokens = (text or "").encode().lower().split()
-    return np.unique(_shingles(tokens, words)) if tokens else np.zeros(1, np.uint64)
-
-
 def _shingle_sets(words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["grp", "node", "shingles"])
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
+            digests = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["grp", "node", "digest", "shingles"])
 
     return of
 
@@ -381,45 +370,85 @@ def _compare_sets(similarity: float):
     return of
 
 
-def _exact_links(members: DataFrame, similarity: float, block: int, shingles: int) -> DataFrame:
-    """Members (grp, node, shingles) to edges (u, v) that connect what pairs of one group with at least this similarity connect.
+def _block_links(members: DataFrame, size: Column, block: int, compare) -> DataFrame:
+    """Members (grp, node, ...) to edges (u, v) that connect exactly what the pairs of a group that ``compare`` links connect.
 
-    A group beyond ``block`` members or ``shingles`` hashes is dealt into parts, and each two parts are compared as one bucket.
+    A group whose sizes add up to no more than ``block`` is compared at once. A larger one is first
+    dealt twice into random parts, each row going to one part of either dealing; as any two parts of
+    different dealings share rows, a group of near copies hangs together by that. What it leaves in
+    pieces is then compared in full: the rows outside the largest piece with all rows, by pairs of
+    parts. So a group of n near copies costs 2n rows, and no pair is left out.
     """
-    share = F.greatest(F.count("*") / F.lit(block), F.sum(F.size("shingles")) / F.lit(shingles))
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.when(share > 1, F.ceil(2 * share)).otherwise(1).cast("int").alias("parts")).filter("n > 1")
-    own = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    buckets = own.groupBy("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("node", "shingles")).alias("rows"))
-    return arrow_map(buckets.select("rows"), _compare_sets(similarity), "u long, v long")
-
-
-def exact_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    rest = [c for c in members.columns if c != "grp"]
+    totals = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum(size).alias("total")).filter("n > 1")
+    sized = materialize(members.join(totals, "grp").withColumn("parts", F.ceil(2 * F.col("total") / block).cast("int")).drop("n"))
+
+    def compared(rows: DataFrame, *keys: str) -> DataFrame:
+        buckets = rows.groupBy("grp", *keys).agg(F.collect_list(F.struct(*rest)).alias("rows"))
+        return arrow_map(buckets.select("rows"), compare, "u long, v long")
+
+    links = compared(sized.filter(F.col("total") <= block))
+    large = sized.filter(F.col("total") > block)
+    if large.isEmpty():
+        return links
+    dealings = F.array(*[F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")) + F.col("parts") * seed for seed in (0, 1)])
+    links = materialize(links.unionByName(compared(large.withColumn("part", F.explode(dealings)), "part")))
+    roots = connected_components(links)
+    pieces = large.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").withColumn("piece", F.coalesce("root", "node")).drop("k", "root", "total", "parts")
+    by_piece = pieces.groupBy("grp", "piece").agg(F.count("*").alias("c"), F.sum(size).alias("s"))
+    main = by_piece.groupBy("grp").agg(F.max(F.struct("c", "piece"))["piece"].alias("main"), F.max(F.struct("c", "piece", "s"))["s"].alias("main_size"), F.sum("s").alias("all_size"), F.count("*").alias("n")).filter("n > 1")
+    split = pieces.join(main, "grp")
+    few = F.ceil(2 * (F.col("all_size") - F.col("main_size")) / block).cast("int")  # parts of the rows outside the largest piece
+    many = F.ceil(2 * F.col("main_size") / block).cast("int")
+    outside = F.col("piece") != F.col("main")
+    hashed = F.xxhash64("node", F.lit(2))
+    own = F.when(outside, F.pmod(hashed, few)).otherwise(few + F.pmod(hashed, many)).cast("int")
+    others = F.sequence(F.lit(0), F.when(outside, few + many).otherwise(few) - 1)
+    dealt = split.withColumn("own", own).withColumn("other", F.explode(others))
+    pairs = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    return links.unionByName(compared(pairs, "low", "high"))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = SIGNATURES, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per input row: doc_id, component_id (the smallest id reachable over links; null without an id).
 
-    Two texts link when the Jaccard similarity of their sets of shingles is at least ``similarity``.
-    That is decided by the shingles for all pairs of a candidate group: what fingerprints within
-    :func:`candidate_limit` connect, among texts that meet in a bucket of a probe. Texts without words
-    are alike. An empty table gives an empty result; other columns are not read.
+    Two texts link when the Jaccard similarity of their sets of shingles is at least ``similarity``
+    (A-Z lower-cased, ASCII white space splits words; a text of fewer words than a shingle has is one
+    shingle). That is decided by the shingles for all pairs of a group of candidates: what fingerprints
+    within :func:`candidate_limit` connect, among texts that share a key of :func:`ring_chains`. Null
+    and empty texts, and others without words, are alike. Rows with a null id belong to no component.
+    Repeated rows of one id stand together. An empty table gives an empty result; other columns are
+    not read.
     """
-    of, names = _signatures(words)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = materialize(arrow_map(slim, of, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
-    classes = materialize(own.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count("doc_id").alias("n")).filter("node IS NOT NULL"))
-    stars = connected_components(_signature_links(classes.drop("n"), candidate_limit(similarity), block)).select(F.col("node").alias("k"), "root")
-    roots = stars.unionByName(stars.select(F.col("root").alias("k"), "root").distinct())
-    grouped = classes.join(roots, classes["node"] == roots["k"], "left").filter("root IS NOT NULL OR n > 1").select(*names, F.coalesce("root", "node").alias("grp"))
-    ids = own.join(grouped, names).select(F.col("doc_id").alias("node"), "grp").filter("node IS NOT NULL").distinct()
+    own = materialize(arrow_map(slim, _signatures(words), "doc_id long, ring array<int>, " + ", ".join(f"{n} long" for n in _BITS)))
+    alike = ["ring", *_BITS]
+    classes = materialize(own.groupBy(*alike).agg(F.min("doc_id").alias("node"), F.count("doc_id").alias("n")).filter("node IS NOT NULL"))
+    # keys of the chains, 64-bit hashes of their place and segments; only those that two classes share go on
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("ring")[at] for at in chain]) for i, chain in enumerate(ring_chains(spare_segments(similarity)))])
+    rows = classes.select("node", F.explode(keys).alias("grp"))
+    shared = rows.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp")
+    met = materialize(rows.join(shared, "grp"))
+    members = met.join(classes.select("node", *_BITS), "node").select("grp", "node", *_BITS)
+    near = connected_components(_block_links(members, F.lit(1), block, _compare_signatures(candidate_limit(similarity)))).select(F.col("node").alias("k"), "root")
+    roots = near.unionByName(near.select(F.col("root").alias("k"), "root").distinct())
+    grouped = classes.join(roots, classes["node"] == roots["k"], "left").filter("root IS NOT NULL OR n > 1").select(*alike, F.coalesce("root", "node").alias("grp"))
+    ids = own.join(grouped, alike).select(F.col("doc_id").alias("node"), "grp").filter("node IS NOT NULL").distinct()
     texts = slim.join(ids, slim["doc_id"] == ids["node"]).select("grp", "node", "text")
-    members = materialize(arrow_map(texts, _shingle_sets(words), "grp long, node long, shingles array<long>"))
-    linked = connected_components(_exact_links(members, similarity, block, shingles)).select(F.col("node").alias("k"), "root")
+    sets = materialize(arrow_map(texts, _shingle_sets(words), "grp long, node long, digest long, shingles array<long>"))
+    # equal sets are one member, the others hang on it
+    apart = sets.groupBy("grp", "digest").agg(F.min("node").alias("node"), F.first("shingles").alias("shingles"))
+    copies = sets.select("grp", "digest", F.col("node").alias("u")).join(apart.select("grp", "digest", F.col("node").alias("v")), ["grp", "digest"]).filter("u <> v").select("u", "v")
+    exact = _block_links(apart.select("grp", "node", "shingles"), F.size("shingles") + shingles // block, shingles, _compare_sets(similarity))
+    linked = connected_components(exact.unionByName(copies)).select(F.col("node").alias("k"), "root")
     return own.select("doc_id").join(linked, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component of near copies, with all their columns.
 
-    Rows with a null id are kept. Repeated rows of one id stay together. See :func:`exact_near_copies`.
+    Rows with a null id are kept. Repeated rows of one id stay together. See :func:`near_copies`.
     """
-    found = exact_near_copies(docs, similarity, words, id_col, text_col)
+    found = near_copies(docs, similarity, words, id_col, text_col)
     dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")
