@@ -2,7 +2,8 @@
 
 A conversation becomes windows of at most ``budget`` tokens made of whole turns: the system turn
 (repeated in every window), a limited stretch of turns that earlier windows already held, and new
-turns. Only assistant texts among the new turns are under the loss mask, so every assistant text is
+turns. A turn's tokens are those of its rendered form, and as no piece of the vocabulary's pattern goes
+over the end of a rendered turn, a window has exactly the sum of its turns' tokens. Only assistant texts among the new turns are under the loss mask, so every assistant text is
 a target exactly once; repeated ones are masked.
 
 Template: a turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts each ``<`` that is
@@ -25,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .tokens import CachedTokenizer, default_vocabulary
+from .common import arrow_map, materialize, slices
+from .tokens import RankTokenizer, default_vocabulary
 
 BUDGET = 1024
 HISTORY = 256
 STRETCH = 16
 RUN = 256
 START, END = "<|im_start|>", "<|im_end|>"
-OVERHEAD = 8  # tokens that the template adds to a turn, at most
 
 _RAW = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -64,9 +64,9 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 
 def _counted(vocabulary: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer.shared(vocabulary)
-        for batch in batches:
-            sizes = [len(x) // 4 + OVERHEAD for x in tokenizer.encode([t or "" for t in batch.column(3).to_pylist()])]
+        tokenizer = RankTokenizer.shared(vocabulary)
+        for batch in slices(batches):
+            sizes = [len(tokenizer.encode(render(r.as_py(), t.as_py())[0])) // 4 for r, t in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*batch.schema.names, "tokens"])
 
     return of
@@ -85,8 +85,13 @@ def _layout(budget: int, history: int):
         for r in past + new:
             sums.append(sums[-1] + r[3])
         turns, at, n = past + new, len(past), 0
-        fixed = sum(r[3] for r in system)
+        if system and turns[0][0] == system[0][0] + 1 and system[0][3] + turns[0][3] > budget:
+            head, _, _ = render(system[0][1], system[0][2])  # the first turn has no room beside the system turn
+            yield (key[0], key[1], n, 0, 1, system[0][0], 0, system[0][3], head, [])
+            n = 1
         while at < len(turns):
+            lead = system if sums[at + 1] - sums[at] + sum(r[3] for r in system) <= budget else []
+            fixed = sum(r[3] for r in lead)
             # new turns as far as the budget goes, one at least
             to = at + 1
             while to < len(turns) and sums[to + 1] - sums[at] + fixed <= budget:
@@ -97,13 +102,13 @@ def _layout(budget: int, history: int):
             while back and sums[at] - sums[back - 1] <= room:
                 back -= 1
             parts, spans, length = [], [], 0
-            for i, r in enumerate([*system, *turns[back:to]]):
+            for i, r in enumerate([*lead, *turns[back:to]]):
                 text, lo, hi = render(r[1], r[2])
-                if r[1] == "assistant" and i >= len(system) + at - back:
+                if r[1] == "assistant" and i >= len(lead) + at - back:
                     spans.append({"start": length + lo, "end": length + hi})
                 parts.append(text)
                 length += len(text)
-            yield (key[0], key[1], n, at - back, len(system), turns[at][0], to - at, fixed + sums[to] - sums[back], "".join(parts), spans)
+            yield (key[0], key[1], n, at - back, len(lead), turns[at][0], to - at, fixed + sums[to] - sums[back], "".join(parts), spans)
             at, n = to, n + 1
 
     names = ["conv_id", "stretch", "window", "n_repeated", "n_system", "first_position", "n_new", "n_tokens", "formatted", "loss_spans"]
@@ -141,16 +146,18 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     beginning repeat the system turn and history; first_position and n_new: the new turns; n_tokens;
     formatted text; loss_spans (code points in the formatted text).
 
-    A system turn counts as such at the beginning of a conversation only; elsewhere it is a turn like
-    others. Null texts and roles count as empty. Turns with equal numbers are ordered by role and
+    ``n_tokens`` is the number of ids of the formatted text, at most ``budget`` unless a single turn is
+    longer: that one has a window to itself, without system turn or history; so has one that fits only
+    without the system turn. A system turn counts as such at the beginning of a conversation only, and
+    if it takes at most half of the budget; elsewhere, or if longer, it is a turn like others. Null texts and roles count as empty. Turns with equal numbers are ordered by role and
     text, null numbers come first; repeated rows are turns of their own. Rows with a null conv_id form
-    one conversation. A turn longer than the budget has a window to itself. Other columns are ignored.
+    one conversation. An empty table gives an empty result. Other columns are ignored.
     """
     slim = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    sized = slim.mapInArrow(_counted(vocabulary or default_vocabulary()), "conv_id long, turn long, role string, text string, tokens long")
+    sized = arrow_map(slim, _counted(vocabulary or default_vocabulary()), "conv_id long, turn long, role string, text string, tokens long")
     # prefix sums: inside runs of turn numbers, then over the runs of a conversation
     sized = materialize(sized.withColumn("run", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / RUN)))
     totals = sized.groupBy("conv_id", "run").agg(F.sum("tokens").alias("run_tokens"), F.count("*").alias("run_rows"))
@@ -166,7 +173,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
         .join(bases, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
         .select("conv_id", "role", "text", "tokens", (F.col("rows_before") + F.col("n") - 1).alias("position"), (F.col("tokens_before") + F.col("s")).alias("start"))
     )
-    leading = (F.col("position") == 0) & (F.col("role") == "system")
+    leading = (F.col("position") == 0) & (F.col("role") == "system") & (F.col("tokens") <= budget // 2)
     width = budget * STRETCH
     stretch = F.floor(F.col("start") / width)
     # a turn goes to its stretch, and as history to the next where it begins within `history` of that one's start
@@ -184,7 +191,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     # history only where something new follows
     wanted = turns.filter("kind = 2").unionByName(turns.filter("kind = 1").alias("t").join(stretches.alias("s"), F.expr("t.conv_id <=> s.conv_id and t.stretch = s.stretch"), "left_semi"))
     rows = wanted.unionByName(heads).repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "position")
-    return rows.select("conv_id", "stretch", "position", "role", "text", "tokens", "kind").mapInArrow(_layout(budget, history), _WINDOW)
+    return arrow_map(rows.select("conv_id", "stretch", "position", "role", "text", "tokens", "kind"), _layout(budget, history), _WINDOW)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,4 +235,4 @@ def read_back(windows: DataFrame) -> DataFrame:
     windows in order, holding one batch of them at a time.
     """
     rows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "window").select("conv_id", "n_system", "n_repeated", "formatted", "loss_spans")
-    return rows.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return arrow_map(rows, _read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
-from .tokens import CachedTokenizer, default_vocabulary
+from .common import arrow_map, materialize, slices
+from .tokens import RankTokenizer, default_vocabulary
 
 CAPACITY = 2048
 END_OF_TEXT = 0
@@ -35,28 +35,25 @@ BUCKETS = 1024
 
 def _cut(vocabulary: str, capacity: int, keep_ids: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer.shared(vocabulary)
+        tokenizer = RankTokenizer.shared(vocabulary)
         end = np.asarray([END_OF_TEXT], "<u4").tobytes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                encoded = tokenizer.encode([t or "" for t in batch.column(1).to_pylist()])
-                row, piece, start, length, crc, blobs = [], [], [], [], [], []
-                for i, ids in enumerate(encoded):
-                    ids += end
-                    n = len(ids) // 4
-                    cut = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                    for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-                        row.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-                        if keep_ids:
-                            blobs.append(ids[4 * a : 4 * b])
-                arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(blobs, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
+        for batch in slices(batches):
+            row, piece, start, length, crc, blobs = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                ids = tokenizer.encode(text.as_py() or "") + end
+                n = len(ids) // 4
+                cut = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+                for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+                    row.append(i)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(ids[4 * a : 4 * b]))
+                    if keep_ids:
+                        blobs.append(ids[4 * a : 4 * b])
+            arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(blobs, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
     return of
 

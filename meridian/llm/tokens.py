@@ -1,23 +1,19 @@
-"""Byte-level BPE ids of whole texts, through a cache of word pieces.
+"""Byte-level BPE ids of whole texts.
 
-The vocabulary's pre-tokenizer never joins characters across a single space or line break before a
-non-space, so a text that has no other white space falls into lines and those into words whose ids
-don't depend on their neighbours. Each distinct word is encoded once per worker (the cache is
-emptied when it is full); any other text goes to the tokenizer as a whole.
+Texts are encoded by rank, which gives the same ids as the vocabulary's list of merges where the two
+have one order; that is checked when a vocabulary is loaded. Nothing is kept between texts.
 """
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import sys
 import types
+from array import array
 
-import numpy as np
-
-#: White space other than blank and line break, or runs of white space: such texts are encoded whole.
-_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
-CACHE_WORDS = 400_000
+#: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PART = 1 << 20  # characters encoded together
 
 
 def default_vocabulary() -> str:
@@ -38,76 +34,51 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
 
 
-class CachedTokenizer:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+def byte_ranks(vocabulary: str) -> dict[bytes, int]:
+    """Tokens of a vocabulary file as bytes, with their ids; an error where ids don't follow the merges or texts are changed before."""
+    with open(vocabulary, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError(f"{vocabulary} is not a plain byte-level vocabulary")
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        raise ValueError(f"the ids of {vocabulary} don't follow its merges")
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    return {bytes(map(byte_of.__getitem__, token)): number for token, number in model["vocab"].items()}
+
+
+class RankTokenizer:
+    """Encodes texts to little-endian unsigned 32-bit ids. Control strings in a text are ordinary text."""
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}  # word -> ids of " word"
-        self.plain: dict[str, bytes] = {}  # word -> ids of "word" at the start of a line
-        self.newline, *ends = self._ids(["\n", ",", "."])
-        self.stops = dict(zip(",.", ends, strict=True))
-        self.model = self.tokenizer.model
-        self.visible = byte_characters()
+        import tiktoken
+
+        self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=byte_ranks(vocabulary), special_tokens={}).encode_ordinary
 
     @classmethod
-    def shared(cls, vocabulary: str) -> CachedTokenizer:
+    def shared(cls, vocabulary: str) -> RankTokenizer:
+        """The worker's own one, made once."""
         state = worker_state()
         if (key := f"tokenizer {vocabulary}") not in state:
             state[key] = cls(vocabulary)
         return state[key]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are a single piece (letters, perhaps behind a blank): the merges alone."""
-        merge, table = self.model.tokenize, self.visible
-        table = {i: c for i, c in enumerate(table)}
-        return [np.asarray([t.id for t in merge(w.encode().decode("latin-1").translate(table))], "<u4").tobytes() for w in words]
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = words.difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = words
-        # a full stop or comma behind letters is a piece of its own: only the letters need encoding
-        ended = {w for w in new if w[-1:] in self.stops and w[:-1].isalpha()}
-        bare = {w[:-1] for w in ended}.difference(cache).union(new.difference(ended))
-        letters = [w for w in bare if w.isalpha()]
-        other = list(bare.difference(letters))
-        cache.update(zip(letters, self._letters([lead + w for w in letters]), strict=True))
-        cache.update(zip(other, self._ids([lead + w for w in other]), strict=True))
-        stops = self.stops
-        for w in ended:
-            cache[w] = cache[w[:-1]] + stops[w[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        whole: list[int] = []
-        split: list[tuple[int, list[list[str]]]] = []
-        first: set[str] = set()
-        rest: set[str] = set()
-        for i, text in enumerate(texts):
-            out.append(None)
-            if "  " in text or "\n\n" in text or " \n" in text or text.endswith(" ") or _OTHER_SPACE.search(text):
-                whole.append(i)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                first.add(line[0])
-                rest.update(line[1:])
-            split.append((i, lines))
-        self._learn(self.plain, first, "")
-        self._learn(self.spaced, rest, " ")
-        word, start = self.spaced.__getitem__, self.plain
-        for i, lines in split:
-            out[i] = self.newline.join([start[line[0]] + b"".join(map(word, line[1:])) for line in lines])
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def encode(self, text: str) -> bytes:
+        """A very long text is cut in front of blanks behind a non-space, where no piece of the pattern goes on."""
+        if len(text) <= PART:
+            return self._encode(text)
+        parts, at = [], 0
+        while at < len(text):
+            cut = text.find(" ", at + PART)
+            while cut > 0 and text[cut - 1].isspace():
+                cut = text.find(" ", cut + 1)
+            parts.append(self._encode(text[at:] if cut < 0 else text[at:cut]))
+            at = len(text) if cut < 0 else cut
+        return b"".join(parts)
+
+    def _encode(self, text: str) -> bytes:
+        found = array("I", self.ids(text))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()

@@ -11,12 +11,13 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from meridian.llm import chat, language_id, lcp, licenses, mixing, packing, simhash, toxicity, url_filter
+from meridian.llm import chat, language_id, lcp, licenses, mixing, packing, simhash, tokens, toxicity, url_filter
 from meridian.llm.common import LOWER, UPPER
 from meridian.llm.components import connected_components
 from meridian.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, radix_groups
-from meridian.llm.tokens import CachedTokenizer, default_vocabulary
+from meridian.llm.tokens import RankTokenizer, default_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, grp string, fp string, kept string"
 WORDS = "alpha beta gamma delta omega the of and idiot scum zeta eta theta iota kappa".split()
@@ -226,22 +227,27 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_cached_tokenizer_equals_the_tokenizer():
-    t = CachedTokenizer(default_vocabulary())
-    texts = ["a  b", "a \n b", "x\n\n\ny", " lead", "trail ", "\n", "", "a\tb", "it's  ok", "don't\nwe'll go.", " \xa0z", "<|endoftext|> x", "é 1234 !!", "word, word. word", "Ünïcode, straße.", "a b", "\n a\nb"]
-    texts += [t or "" for _, t, *_ in hard_rows()]
-    want = [x.ids for x in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in t.encode(texts)] == want
+def test_rank_tokenizer_equals_the_tokenizer():
+    plain = Tokenizer.from_file(default_vocabulary())
+    plain.encode_special_tokens = True
+    rng = random.Random(12)
+    bits = ["a", "b'", "'s", " ", "  ", "\n", "\t", "12", "é", "\u3000", "\xa0", ".", "Word", "\x85", "ß", "<|endoftext|>", "語", "Я", "🙂", "\u200d"]
+    texts = ["", " ", "it's  ok", "don't\nwe'll go.", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)), *(t or "" for _, t, *_ in hard_rows())]
+    t = RankTokenizer(default_vocabulary())
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(t.encode(x), "<u4").tolist() for x in texts] == want
+    long = "".join(rng.choice(bits) for _ in range(600_000))
+    assert len(long) > tokens.PART and np.frombuffer(t.encode(long), "<u4").tolist() == plain.encode(long, add_special_tokens=False).ids
+    assert len(t.encode("x" * (tokens.PART + 5))) > 0
 
 
 def test_packing(spark):
     rows = hard_rows()
     got = packing.pack_documents(table(spark, rows), capacity=64, keep_ids=True).toPandas()
-    t = CachedTokenizer(default_vocabulary())
+    t = RankTokenizer(default_vocabulary())
     for i, text in [(8, rows[7][1]), (2, ""), (12, rows[11][1])]:
         own = got[got.doc_id == i].sort_values("piece")
-        ids = t.encode([text])[0] + b"\0\0\0\0"
+        ids = t.encode(text) + b"\0\0\0\0"
         assert b"".join(own.ids) == ids and [zlib.crc32(x) for x in own.ids] == own.ids_crc32.tolist()
         assert own.length.iloc[1:].eq(64).all() and own.start.tolist() == (own.length.cumsum() - own.length).tolist()
     laid = got.sort_values(["sequence_id", "offset"])
@@ -385,10 +391,33 @@ def test_chat(spark):
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     shape = windows.toPandas()
-    assert shape[(shape.n_new > 1)].n_tokens.max() <= 200 and shape.n_repeated.max() > 0
+    count = RankTokenizer(default_vocabulary())
+    assert shape.n_tokens.tolist() == [len(count.encode(x)) // 4 for x in shape.formatted]
+    over = shape[shape.n_tokens > 200]
+    assert (over.n_new == 1).all() and (over.n_system == 0).all() and (over.n_repeated == 0).all() and shape.n_repeated.max() > 0
     assert chat.read_back(chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_windows_keep_the_budget_beside_long_system_turns(spark):
+    """Of 200 tokens: a system turn above the budget or above half of it is a turn like others; one below is left out where a turn has room only without it."""
+    rows, want = [], {}
+    for conv, (n_system, sizes) in enumerate([(3000, [5, 5, 300, 5]), (150, [5, 30, 5]), (70, [120, 5, 5, 150, 5, 5]), (70, [400, 5]), (70, []), (10, [5] * 30)]):
+        turns = [("system", "rules " * n_system)] + [(("user", "assistant")[k % 2], "word " * n) for k, n in enumerate(sizes)]
+        rows += [(conv, k, r, t) for k, (r, t) in enumerate(turns)]
+        want[conv] = turns
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=200, history=60)
+    shape = windows.toPandas().sort_values(["conv_id", "stretch", "window"])
+    count = RankTokenizer(default_vocabulary())
+    assert shape.n_tokens.tolist() == [len(count.encode(x)) // 4 for x in shape.formatted]
+    over = shape[shape.n_tokens > 200]
+    assert [(c, a, b, d) for c, a, b, d in zip(over.conv_id, over.n_system, over.n_repeated, over.n_new)] == [(0, 0, 0, 1), (0, 0, 0, 1), (3, 0, 0, 1)]
+    assert (shape[shape.conv_id == 0].n_system == 0).all() and (shape[shape.conv_id == 5].n_system == 1).all()
+    got = {r.conv_id: r for r in chat.read_back(windows).collect()}
+    for conv, turns in want.items():
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
+        assert got[conv].loss_sha256 == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+
+
 def test_escape_round_trip():
     rng = random.Random(10)
     for _ in range(3000):
