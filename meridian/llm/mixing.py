@@ -57,23 +57,35 @@ def share_out(budget: int, weights: list[float], room: list[int]) -> list[int]:
     return got
 
 
+def _children(leaves: list[Leaf], weights: dict) -> dict[str, tuple[float, dict, list[Leaf]]]:
+    """Children of a node by name: weight, weights below, leaves."""
+    named = {k: (v if isinstance(v, tuple) else (v, {})) for k, v in weights.items()}
+    least = min((w for w, _ in named.values()), default=1.0)
+    found: dict[str, list[Leaf]] = {}
+    for leaf in sorted(leaves):
+        found.setdefault(leaf.path[0], []).append(Leaf(leaf.path[1:], leaf.available))
+    return {name: (*named.get(name, (least, {})), own) for name, own in found.items()}
+
+
+def usable(leaves: list[Leaf], weights: dict) -> int:
+    """Tokens that a node can take: those of its children, but for children of weight 0."""
+    if not leaves or not leaves[0].path:
+        return sum(x.available for x in leaves)
+    return sum(usable(own, below) for weight, below, own in _children(leaves, weights).values() if weight > 0)
+
+
 def budgets(leaves: list[Leaf], weights: dict, total: int, max_epochs: int) -> dict[tuple[str, ...], int]:
-    """Tokens for each leaf."""
+    """Tokens for each leaf. A child of weight 0 takes nothing, and is no room to its ancestors either."""
     if not leaves:
         return {}
     if len(leaves[0].path) == 0:
         return {(): min(total, sum(x.available for x in leaves) * max_epochs)}
-    children: dict[str, list[Leaf]] = {}
-    for leaf in sorted(leaves):
-        children.setdefault(leaf.path[0], []).append(Leaf(leaf.path[1:], leaf.available))
-    named = {k: (v if isinstance(v, tuple) else (v, {})) for k, v in weights.items()}
-    least = min((w for w, _ in named.values()), default=1.0)
-    names = list(children)
-    shares = share_out(total, [named.get(n, (least, {}))[0] for n in names], [sum(x.available for x in children[n]) * max_epochs for n in names])
+    children = _children(leaves, weights)
+    shares = share_out(total, [w for w, _, _ in children.values()], [usable(own, below) * max_epochs if w > 0 else 0 for w, below, own in children.values()])
     return {
-        (n, *path): tokens
-        for n, share in zip(names, shares, strict=True)
-        for path, tokens in budgets(children[n], named.get(n, (least, {}))[1], share, max_epochs).items()
+        (name, *path): tokens
+        for (name, (_, below, own)), share in zip(children.items(), shares, strict=True)
+        for path, tokens in budgets(own, below, share, max_epochs).items()
     }
 
 
@@ -133,7 +145,8 @@ def _chosen(docs: DataFrame, tokens: Column | None, weights: dict, total: int |
     rows = keyed.join(F.broadcast(plan), _LEAF)
     own = F.struct(_order(seed).alias("h"), F.coalesce("__id", F.lit(0)).alias("id"), "__tokens")
     end = F.struct(F.col("__cut.h").alias("h"), F.col("__cut.id").alias("id"), F.col("__cut.__tokens").alias("__tokens"))
-    return rows.withColumn("__last", F.when(F.col("__cut").isNull(), 0).when(own < end, F.col("__tokens")).when(own == end, F.col("__cut.taken")).otherwise(0))
+    # null: not in the prefix; 0: in it, without tokens
+    return rows.withColumn("__last", F.when(F.col("__cut").isNotNull() & (own < end), F.col("__tokens")).when(own == end, F.col("__cut.taken")))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None, share: float = 0.8, max_epochs: int = 2, seed: int = 7, tokens: Column | None = None) -> DataFrame:
@@ -149,7 +162,7 @@ def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None,
     rows = _chosen(docs, tokens, WEIGHTS if weights is None else weights, total, share, max_epochs, seed)
     whole = F.when(F.col("__full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__full") - 1, F.lit(0))), lambda e: F.struct(e.alias("epoch"), F.col("__tokens").alias("taken"))))
     none = F.array().cast("array<struct<epoch:bigint,taken:bigint>>")
-    part = F.when(F.col("__last") > 0, F.array(F.struct(F.col("__full").alias("epoch"), F.col("__last").cast("long").alias("taken"))))
+    part = F.when(F.col("__last").isNotNull(), F.array(F.struct(F.col("__full").alias("epoch"), F.col("__last").cast("long").alias("taken"))))
     return rows.withColumn("__read", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(part, none)))).select(
         F.col("__id").alias("doc_id"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"),
         F.col("__read.epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"), F.col("__read.taken").alias("taken_tokens"), F.col("__budget").alias("leaf_budget"),
@@ -160,4 +173,4 @@ def select_documents(docs: DataFrame, weights: dict | None = None, share: float
     """The rows of ``docs`` that one epoch's mixture reads (the last of a leaf perhaps in part, kept whole), with all their columns."""
     rows = _chosen(docs, tokens, WEIGHTS if weights is None else weights, None, share, 1, seed)
     # a document without tokens is no burden on any budget
-    return rows.filter((F.col("__full") > 0) | (F.col("__last") > 0) | (F.col("__tokens") == 0)).select(*[docs[c] for c in docs.columns])
+    return rows.filter((F.col("__full") > 0) | F.col("__last").isNotNull() | (F.col("__tokens") == 0)).select(*[docs[c] for c in docs.columns])
