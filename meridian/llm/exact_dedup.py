@@ -139,8 +139,21 @@ def _next(width: int) -> list:
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumns({"__own": docs[id_col].cast("long"), "__digest": F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)})
-    rows = keyed.join(kept, keyed["__own"].eqNullSafe(kept["__id"]) & (keyed["__digest"] == kept["__sha"]), "left_semi")
-    return rows.dropDuplicates(["__own", "__digest"]).drop("__own", "__digest")
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
+
+    The row with the largest id of a group stays. Ids that lose all their rows go by an anti join, so
+    that no text is shuffled for it. Where an id has several rows and keeps some of them (null ids
+    among them), a digest tells its rows apart; which texts are equal was decided without one.
+    """
+    found = materialize(exact_duplicates(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"))
+    ids = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("n_kept"))
+    losing = materialize(ids.filter("n_kept < n").select("__id", (F.col("n_kept") > 0).alias("some")))
+    own = docs[id_col].cast("long")
+    whole = docs.join(losing.select("__id"), own.eqNullSafe(F.col("__id")), "left_anti")
+    some = losing.filter("some").select("__id")
+    if some.isEmpty():
+        return whole
+    kept = found.filter("kept").join(some, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
+    mixed = docs.withColumns({"__own": own, "__digest": digest}).join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    return whole.unionByName(mixed.dropDuplicates(["__own", "__digest"]).drop("__own", "__digest"))
