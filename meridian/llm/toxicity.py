@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialize, slices
 
 SAMPLE = 20_000
+LEAST = 20  # labelled rows below which nothing is estimated
 LEXICON_SIZE = 600
 MINED_VOTERS = 12
 STEMS = (4, 5, 6)
@@ -178,11 +179,12 @@ def _observe(lexicon: list[str]):
     return of
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, size: int = LEXICON_SIZE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, size: int = LEXICON_SIZE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled rows (labels: doc_id, toxic 0/1) for which ``usable`` (a condition on doc_id) holds.
 
-    Null labels are ignored; a document labelled twice counts as toxic if any label says so. Without
-    any toxic (or any clean) label the model knows only the seed lexicons.
+    Null labels are ignored; a document labelled twice counts as toxic if any label says so; of rows
+    with one id the greatest text counts. With fewer than ``least`` labelled rows, or without any toxic
+    (or any clean) label, nothing can be estimated: the model is the seed lexicons with fixed weights.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if usable is not None:
@@ -194,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     # at most about `sample` rows of two numbers: safe to send to every executor
     mine = F.broadcast(known.select(F.col("doc_id").alias("__id"), "toxic"))
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    rows = materialize(texts.join(mine, F.col("__doc") == F.col("__id")).select("text", "toxic"))
+    rows = materialize(texts.join(mine, F.col("__doc") == F.col("__id")).groupBy("__id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"))
 
     counted = arrow_map(rows, _count, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter("bad > 0")
     split = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -237,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     columns.append(-1 * ~x[:, : len(lexicon)].any(1))
     names.append("human label")
     columns.append(gold * 2 - 1)
-    if len(seen) < 20 or not (n_bad and n_good):
+    if len(seen) < least or not (n_bad and n_good):
         weights = [4.0 * (f in {s for _, s in seeds}) for f in lexicon] + [0.0] * SHAPES + [-2.0]
         return Model(lexicon, weights)
     votes = np.stack(columns, axis=1).astype(np.int8)
@@ -287,6 +289,6 @@ def _rejects(lexicon: list[str], weights: list[float], threshold: float):
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns. Null texts count as empty; repeated rows go or stay together; an empty table stays empty."""
     marked = docs.withColumn("__text", docs[text_col])
     return arrow_map(marked, _rejects(model.lexicon, model.weights, threshold), docs.schema)

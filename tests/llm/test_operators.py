@@ -64,6 +64,13 @@ def test_exact_duplicates(spark):
     assert sum(r.kept for r in got) == len(groups)
     kept = drop_exact_duplicates(table(spark, rows))
     assert kept.count() == len(groups) and kept.columns == table(spark, rows).columns
+    assert {low(r.text) for r in kept.collect()} == set(groups)
+    unique = [r for r in rows if r[0] not in (14, None)]  # ids of one row each: the anti join alone
+    best = {}
+    for i, t, *_ in unique:
+        best[low(t)] = max(best.get(low(t), -1), i)
+    assert sorted(r.doc_id for r in drop_exact_duplicates(table(spark, unique)).collect()) == sorted(best.values())
+    assert drop_exact_duplicates(table(spark, [])).count() == 0
     assert exact_duplicates(table(spark, [])).count() == 0
 
 
@@ -312,13 +319,13 @@ def test_label_model_finds_good_voters():
 def test_suffix_automaton_against_substrings():
     rng = random.Random(6)
     text = [rng.randint(0, 3) for _ in range(300)]
-    moves = language_id.suffix_automaton(np.asarray(text), 3)
+    moves = language_id.suffix_automaton(text)
     joined = "".join(map(str, text))
     for _ in range(3000):
         probe = [rng.randint(1, 3) for _ in range(rng.randint(1, 9))]
         state = 1
         for c in probe:
-            state = moves[state][c]
+            state = moves[state].get(c, 0)
         assert (state > 0) == ("".join(map(str, probe)) in joined)
 
 
@@ -335,22 +342,54 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
 
 
-def test_cross_parsing_counts_longest_phrases():
-    samples = {"a": ["abcabd abe"], "b": ["xyz xyy"]}
-    model = language_id.Model(samples)
-    text = "abcxyabdq"
-    counts = language_id.count_phrases([model.encode(text)], model)[0].tolist()
-
-    def plain(train):
-        i = n = 0
-        while i < len(text):
+def _plain_phrases(text, train):
+    """Longest phrases of a text that stand in any of the training texts, block by block."""
+    n = 0
+    for at in range(0, len(text), language_id.BLOCK):
+        block = text[at : at + language_id.BLOCK]
+        i = 0
+        while i < len(block):
             j = i + 1
-            while j < len(text) and text[i : j + 1] in train:
+            while j < len(block) and any(block[i : j + 1] in t for t in train):
                 j += 1
             i, n = j, n + 1
-        return n
+    return n
+
+
+def test_cross_parsing_counts_longest_phrases(monkeypatch):
+    rng = random.Random(13)
+    letters = [chr(c) for c in (*range(ord("a"), ord("g")), *range(0x4E00, 0x4E08))]
+    samples = {"a": ["abcabd abe", "".join(rng.choice(letters[:6]) for _ in range(200))], "b": ["xyz xyy", "".join(rng.choice(letters) for _ in range(200))]}
+    texts = ["abcxyabdq", "".join(rng.choice(letters) for _ in range(2000)), "q", "ab ab"]
+    for dense in (64, 4):  # few symbols with a dense table: the others are found in the list
+        monkeypatch.setattr(language_id, "DENSE", dense)
+        model = language_id.Model(samples)
+        counts = language_id.count_phrases([language_id.encode(t, model.tables["symbols"]) for t in texts], model.tables)
+        assert counts.tolist() == [[_plain_phrases(t, samples[x]) for x in "ab"] for t in texts]
+
+
+def test_languages_of_other_scripts(spark):
+    """Han, kana, Hangul, Cyrillic, Arabic and Devanagari are told apart, by letters of any script."""
+    words = {
+        "zh": "我们 今天 天气 很好 他们 学习 中文 经济 发展 社会 问题", "ja": "私たち は 今日 天気 が いい 日本語 を 勉強 して います こと", "ko": "우리 는 오늘 날씨 가 좋다 한국어 를 공부 한다 문제",
+        "ru": "мы сегодня погода хорошая они учат язык россия жизнь вопрос", "bg": "ние днес времето е хубаво те учат език българия живот въпрос", "ar": "نحن اليوم الطقس جميل هم يدرسون اللغة العربية الحياة", "hi": "हम आज मौसम अच्छा है वे हिन्दी भाषा पढ़ते हैं जीवन", "en": "we today the weather is good they study language life question",
+    }
+    rng = random.Random(14)
+    rows = []
+    for i in range(400):
+        lang = sorted(words)[i // 4 % 8]
+        rows.append((i, ("" if lang in ("zh", "ja") else " ").join(rng.choice(words[lang].split()) for _ in range(20)), lang, "s"))
+    docs = table(spark, rows)
+    model = language_id.fit(docs, F.col("doc_id") % 4 != 2, chars=4000)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert [got[i] for i, *_ in rows] == [x for _, _, x, _ in rows]
 
-    assert counts == [plain(samples["a"][0]), plain(samples["b"][0])]
+
+def test_training_texts_are_whole_and_bounded(spark):
+    rows = [(i, "short text " * 3, "en", "s") for i in range(50)] * 20 + [(1000, "long " * 40_000, "en", "s"), (1001, "nur lang " * 40_000, "de", "s")]
+    model = language_id.fit(table(spark, rows), chars=8000)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(table(spark, rows), model).collect()}
+    assert len(model.tables["dense"]) < 5000 and got[1001] == "de" and got[3] == "en"
 
 
 def test_lcp_fingerprints(spark):
@@ -521,3 +560,36 @@ def test_shortages_go_to_siblings_first():
     assert mixing.budgets(leaves, weights, 400, 1) == {("web", "en", "a"): 10, ("web", "en", "b"): 190, ("books", "en", "c"): 200}
     assert mixing.budgets(leaves, weights, 2000, 1) == {("web", "en", "a"): 10, ("web", "en", "b"): 990, ("books", "en", "c"): 1000}
     assert mixing.share_out(7, [1, 1, 1], [1, 9, 9]) == [1, 3, 3]
+
+
+def test_children_of_weight_zero_are_no_room():
+    leaves = [mixing.Leaf(("a", "x"), 10), mixing.Leaf(("a", "y"), 1000), mixing.Leaf(("b", "z"), 1000)]
+    weights = {"a": (1, {"x": (1, {}), "y": (0, {})}), "b": (1, {})}
+    assert mixing.budgets(leaves, weights, 300, 1) == {("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 290}
+
+
+def test_mixing_against_a_plain_selection(spark):
+    """Documents in the order of their hash, leaf by leaf, until the budget is used; documents without tokens count where they stand."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 0, 1, 5, 40])), rng.choice(["en", "de", None]), f"src{rng.randrange(12)}") for i in range(800)]
+    docs = table(spark, rows)
+    got = Counter((r.doc_id, r.epoch, r.taken_tokens) for r in mixing.mix(docs, share=0.9, max_epochs=2, seed=3).collect())
+    sizes = {i: len((t or "").split()) for i, t, *_ in rows}
+    leaf = {r.doc_id: (r.domain, r.lang or "", r.source) for r in docs.select("doc_id", mixing.domain_of(F.col("source")).alias("domain"), "lang", "source").collect()}
+    have = Counter()
+    for i, n in sizes.items():
+        have[leaf[i]] += n
+    budget = mixing.budgets([mixing.Leaf(k, n) for k, n in have.items()], mixing.WEIGHTS, int(sum(have.values()) * 0.9), 2)
+    full = {k: budget[k] // have[k] if have[k] else 0 for k in have}
+    keyed = spark.createDataFrame([(i, full[leaf[i]]) for i in sizes], "__id long, __full long")
+    place = {r[0]: r[1] for r in keyed.select("__id", mixing._order(3)).collect()}
+    want = Counter()
+    for k in have:
+        left = budget[k] - full[k] * have[k]
+        for epoch in range(full[k]):
+            want.update((i, epoch, sizes[i]) for i in sizes if leaf[i] == k)
+        for i in sorted((i for i in sizes if leaf[i] == k), key=lambda i: (place[i], i)):
+            if left > 0:
+                want[(i, full[k], min(left, sizes[i]))] += 1
+                left -= min(left, sizes[i])
+    assert got == want
