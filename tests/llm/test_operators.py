@@ -543,6 +543,36 @@ def test_rare_block_words_are_mined(spark):
     assert only.verdict == "block"
 
 
+def test_mining_a_template_of_many_tokens(spark):
+    """Sixteen tokens that always stand together are one item; ten that mostly do are combined up to a limit."""
+    fixed = [f"path:t{i:02}" for i in range(16)]
+    rng = random.Random(16)
+    rows = [([*fixed, "host:bad"], "block")] * 40 + [([*fixed, "host:good"], "allow")] * 60
+    rows += [([x for x in (f"query:q{i}" for i in range(12)) if rng.random() < 0.97], "allow") for _ in range(100)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string")
+    made = [r["items"] for r in url_filter.items(labelled, 0.01, 8).collect()]
+    assert len(made) == len(rows) and max(map(len, made)) <= 9
+    assert Counter(tuple(sorted(x)) for x in made)[("host:bad", "path:t00", "verdict:block")] == 40
+    rules = {(tuple(r.antecedent), r.verdict): r.confidence for r in url_filter.mine(labelled, seeds=[]).collect()}
+    assert rules[(("host:bad",), "block")] == 1.0 and not any("path:t01" in a for a, _ in rules)
+
+
+def test_rules_apply_as_in_a_plain_scan(spark):
+    rng = random.Random(17)
+    names = [f"t{i}" for i in range(12)]
+    rules = list({tuple(sorted(rng.sample(names, rng.randint(1, 3)))): (rng.choice(["block", "allow"]), rng.choice([0.7, 0.8, 0.9]), rng.choice([0.1, 0.2])) for _ in range(40)}.items())
+    sets = list({tuple(sorted(rng.sample(names, rng.randint(0, 8)))) for _ in range(200)})
+    table = spark.createDataFrame([(list(a), v, c, s, 2.0) for a, (v, c, s) in rules], "antecedent array<string>, verdict string, confidence double, support double, lift double")
+    got = {tuple(r.tokens): (r.mined.verdict, r.mined.confidence, r.mined.antecedent) for r in url_filter.apply(spark.createDataFrame([(list(x),) for x in sets], "tokens array<string>"), table).collect()}
+    want = {}
+    for x in sets:
+        fits = [(-c, -s, " ".join(a), v) for a, (v, c, s) in rules if {*a} <= {*x}]
+        if fits:
+            c, _, a, v = min(fits)
+            want[x] = (v, -c, a)
+    assert got == want
+
+
 def test_mixing(spark):
     rows = hard_rows()
     got = mixing.mix(table(spark, rows), share=0.7, max_epochs=2).toPandas()
