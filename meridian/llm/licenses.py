@@ -122,6 +122,27 @@ OTHER_NAMES = [
     ("gpl", r"gnu gpl", "gnu gpl"),
 ]
 
+#: Sentences of the license texts themselves (label, words, keyword).
+TEXTS = [
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
+    ("mit-0", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is", "permission is hereby granted"),
+    ("boost-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "permission is hereby granted"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "all advertising materials"),
+    ("apache-2.0", r"you may not use this file except in compliance with the license", "except in compliance"),
+    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public"),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "this library is free software"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v 2 0", "source code form"),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission is granted to anyone"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "free and unencumbered"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "verbatim or modified copies"),
+    ("cc0-1.0", r"to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights", "associated cc0"),
+    ("epl-2.0", r"the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license version 1 1", "open font"),
+]
+
 _GRANT = r"(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|governed|covered|shared) (?:to you )?(?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 _GRANT_UNDER = _GRANT.replace("(?:under|by)", "under")
 _SHORT = {"mit", "x11", "expat", "isc", "zlib", "bsd", "ruby", "vim", "curl", "json", "php", "cc", "apache", "w3c", "gpl", "lgpl", "openssl", "postgresql", "ncsa", "python-2.0"}
@@ -138,7 +159,7 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """From each signature: the identifier tag, the grant by name, the grant by identifier, the name, the identifier (unless an ordinary word); for further names the two by name."""
+    """From each signature: the identifier tag, the grant by name, the grant by identifier, the name, the identifier (unless an ordinary word); for further names the two by name; the sentences of license texts."""
     out = [Rule(label, f" {phrase} ", "", phrase, 1, 0.9, True) for phrase, label in BASE.items()]
     for label, ident, name, keyword in SIGNATURES:
         stem = ident.split("(")[0].split("?")[0].strip()
@@ -152,7 +173,7 @@ def rules() -> list[Rule]:
     for label, name, keyword in OTHER_NAMES:
         out.append(Rule(label, keyword, "", f"{_GRANT}(?:{name})", 4, 0.97, False))
         out.append(Rule(label, keyword, "", f"(?:{name})", 2, 0.9, False))
-    return out
+    return out + [Rule(label, keyword, "", words, 5, 0.98, False) for label, words, keyword in TEXTS]
 
 
 def stems(every: list[Rule]) -> list[str]:
@@ -223,9 +244,13 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     gate = F.lit(False)
     for stem in stems(every):
         gate = gate | F.contains(line, F.lit(stem))
-    chosen = F.filter(table, lambda r: F.contains(line, r["keyword"]) & F.contains(line, r["also"]))
+    # each keyword is looked for once, however many rules share it
+    wanted = F.array(*[F.lit(k) for k in sorted({x for r in every for x in (r.keyword, r.also)})])
+    present = F.filter(wanted, lambda k: F.contains(line, k))
+    chosen = F.filter(table, lambda r: F.array_contains(F.col("present"), r["keyword"]) & F.array_contains(F.col("present"), r["also"]))
     hits = F.flatten(F.transform(chosen, lambda r: _places(line, r)))
-    found = lines.select("doc_id", (_blanks(line) - 1).cast("long").alias("n_words"), F.when(gate, hits).otherwise(F.array().cast(_HIT)).alias("hits"))
+    lines = lines.withColumn("present", F.when(gate, present))
+    found = lines.select("doc_id", (_blanks(line) - 1).cast("long").alias("n_words"), F.when(F.col("present").isNotNull(), hits).otherwise(F.array().cast(_HIT)).alias("hits"))
     return found.select("doc_id", "n_words", "hits", F.when(F.size("hits") > 0, _survivors(F.col("hits"))).otherwise(F.col("hits")).alias("kept"))
 
 

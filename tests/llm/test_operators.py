@@ -514,6 +514,30 @@ def test_license_names_without_the_usual_keyword(spark):
     assert [r.labels for r in sorted(got, key=lambda r: r.doc_id)] == list(texts.values())
 
 
+def test_license_texts(spark):
+    """Sentences of license files, with their punctuation; a very long text around one of them."""
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+        "Redistribution and use in source and binary forms, with or without\n   modification, are permitted provided that the following conditions are met:\n 3. Neither the name of X may be used to endorse or promote products\n derived from this software without specific prior written permission.": "bsd,bsd-3-clause",
+        "you may not use this file except in compliance with the License.": "apache-2.0",
+        "lorem ipsum, " * 50_000 + "This is free and unencumbered software released into the public domain." + " dolor sit" * 50_000: "unlicense",
+    }
+    got = licenses.license_labels(table(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert [r.labels for r in sorted(got, key=lambda r: r.doc_id)] == list(texts.values())
+
+
+def test_license_base_places_against_a_plain_scan(spark):
+    rng = random.Random(18)
+    bits = ["GNU", "general", "public", "License", "apache", "cc", "by", "CC-BY", "mit", "MIT", "license", "x", "É", ",", "\n", "\u00a0", "cc by by"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 60))), None, None) for i in range(300)] + [(900, None, None, None)]
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_labels(table(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low(t))
+        found = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        at = [k for k, _ in found]
+        assert got[i] == (len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found})))
+
+
 def test_suppression_keeps_what_is_not_inside(spark):
     rules = [licenses.Rule("long", "a", "", "a b c", 2, 0.5, False), licenses.Rule("inner", "b", "", "b", 1, 0.5, False), licenses.Rule("cross", "c", "", "c d", 1, 0.5, False), licenses.Rule("strong", "b", "", "b c", 3, 0.5, False)]
     (r,) = licenses.detect(spark.createDataFrame([(1, "a b c d b")], "doc_id long, text string"), rule_list=rules).collect()
