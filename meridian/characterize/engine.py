@@ -30,13 +30,22 @@ def _first(rows: DataFrame, table: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
+def _inside(cdm: Cdm, table: str) -> DataFrame:
+    """A table's rows inside observation, with the columns that analyses read: joined once for all of them."""
+    texts = " ".join(" ".join([*a.keys, a.where, a.value, a.entity, *a.extra]) for a in ANALYSES.values() if a.table == table) + " person_id provider_id care_site_id"
+    rows = cdm[table]
+    return inside_period(rows, cdm["observation_period"], START[table]).select(*[c for c in rows.columns if re.search(rf"\b{c}\b", texts)])
+
+
 def frame(cdm: Cdm, a: Analysis) -> DataFrame:
     """The rows that an analysis looks at."""
     rows = cdm[a.table]
     if a.extra[:1] == ("first period",):
         rows = _first(rows, a.table)
-    if a.op:
-        rows = inside_period(rows, cdm["observation_period"], START[a.table], END[a.table] if a.extra[:1] == ("ends inside",) else None)
+    if a.op and a.extra[:1] == ("ends inside",):
+        rows = inside_period(rows, cdm["observation_period"], START[a.table], END[a.table])
+    elif a.op:
+        rows = cdm.derived(f"{a.table} inside observation", lambda: _inside(cdm, a.table))
     if a.person:
         rows = rows.join(cdm["person"].select("person_id", "gender_concept_id", "year_of_birth"), "person_id")
     if a.extra[:1] == ("join",):
@@ -76,7 +85,8 @@ def count_distinct(cdm: Cdm, a: Analysis) -> DataFrame:
 
 def orphan(cdm: Cdm, a: Analysis) -> DataFrame:
     parent, key = a.extra
-    lost = cdm[a.table].filter(F.col(key).isNotNull()).join(cdm[parent].select(key), key, "left_anti")
+    known = ("person_id",) if "person_id" in cdm[a.table].columns else ()  # what is counted are person ids
+    lost = cdm[a.table].dropna(subset=[key, *known]).join(cdm[parent].select(key), key, "left_anti")
     return results(a, lost.agg(F.count("*").alias("n")), [], F.col("n"))
 
 
@@ -102,13 +112,26 @@ def at_least(cdm: Cdm, a: Analysis) -> DataFrame:
 
 
 def top_pairs(cdm: Cdm, a: Analysis, k: int = 10) -> DataFrame:
-    """Concept pairs within a person, the k best by persons, cases and ids. A person's records are counted per concept before they are paired."""
+    """For every concept the k others that most of its persons have too, then by cases and id. A person's records are counted per concept before they are paired."""
     (concept,) = a.keys
     own = cdm[a.table].filter(F.col(concept) != 0).groupBy("person_id", F.col(concept).alias("c")).agg(F.count("*").alias("n"))
     left, right = own.withColumnsRenamed({"c": "c1", "n": "n1"}), own.withColumnsRenamed({"c": "c2", "n": "n2"})
     pairs = left.join(right, "person_id").filter("c1 <> c2").groupBy("c1", "c2").agg(F.count("*").alias("persons"), F.sum(F.col("n1") * F.col("n2")).alias("cases"))
-    best = pairs.orderBy(F.desc("persons"), F.desc("cases"), "c1", "c2").limit(k)
-    return results(a, best, [F.col("c1"), F.col("c2"), F.col("cases")], F.col("persons"))
+    rank = F.row_number().over(Window.partitionBy("c1").orderBy(F.desc("persons"), F.desc("cases"), "c2"))
+    best = pairs.withColumn("place", rank).filter(F.col("place") <= k)
+    return results(a, best, [F.col(c) for c in ("c1", "c2", "place", "persons", "cases")], F.col("persons"))
+
+
+def source(cdm: Cdm, a: Analysis, name: str = "meridian", version: str = "1") -> DataFrame:
+    """The database: its name, the version of the analyses, the day of the run, all persons."""
+    return results(a, cdm[a.table].agg(F.countDistinct("person_id").alias("n")), [F.lit(name), F.lit(version), F.current_date()], F.col("n"))
+
+
+def every_record(cdm: Cdm, a: Analysis) -> DataFrame:
+    """Records, once for each period that holds them, and those outside all periods."""
+    rows = cdm[a.table]
+    both = rows.join(cdm["observation_period"].withColumnRenamed("person_id", "__p"), (F.col("person_id") == F.col("__p")) & F.col(START[a.table]).between(F.col("observation_period_start_date"), F.col("observation_period_end_date")), "left")
+    return results(a, both.agg(F.count("*").alias("n")), [], F.col("n"))
 
 
 def periods(cdm: Cdm, a: Analysis) -> DataFrame:
@@ -117,7 +140,10 @@ def periods(cdm: Cdm, a: Analysis) -> DataFrame:
 
 
 def calendar(cdm: Cdm, a: Analysis) -> DataFrame:
-    """Persons by calendar year or month that a period covers whole, or touches: every period lists its own units instead of meeting a calendar."""
+    """Persons by calendar year or month that a period covers whole, or touches: every period lists its own units instead of meeting a calendar.
+
+    ``started``: only units in which some period starts, and known persons.
+    """
     unit, mode, *more = a.extra
     start, end = F.col(f"{a.table}_start_date"), F.col(f"{a.table}_end_date")
     rows = cdm[a.table].filter(start <= end)
@@ -126,9 +152,12 @@ def calendar(cdm: Cdm, a: Analysis) -> DataFrame:
     listed = rows.select("person_id", start.alias("s"), end.alias("e"), F.explode(F.sequence(first, last, step)).alias("u"))
     if mode == "covered":
         listed = listed.filter((F.col("s") <= F.col("u")) & (F.col("e") >= F.date_add((F.col("u") + step).cast("date"), -1)))
+    if "started" in more:
+        starts = cdm[a.table].select(F.trunc(start, unit).alias("u")).distinct()  # as many as there are years or months
+        listed = listed.join(F.broadcast(starts), "u", "left_semi").join(cdm["person"].select("person_id"), "person_id", "left_semi")
     key = F.year("u") if unit == "year" else F.year("u") * 100 + F.month("u")
     keys = [key]
-    if more:
+    if "by person" in more:
         listed = listed.join(cdm["person"].select("person_id", "gender_concept_id", "year_of_birth"), "person_id")
         keys += [F.col("gender_concept_id"), F.floor((key - F.col("year_of_birth")) / 10)]
     return _grouped(a, listed, keys, F.countDistinct("person_id"))
@@ -149,12 +178,17 @@ def union_count(cdm: Cdm, a: Analysis) -> DataFrame:
 def no_value(cdm: Cdm, a: Analysis) -> DataFrame:
     valued = F.coalesce(expr(a.extra[0]), F.lit(False))
     each = frame(cdm, a).groupBy(*a.keys).agg(F.count(F.when(~valued, 1)).alias("n"), F.count("*").alias("d"))
-    return results(a, each, [F.col(a.keys[0]), ratio(F.col("n"), F.col("d")), F.col("n"), F.col("d")], F.col("n"))
+    return results(a, each, [F.col(a.keys[0]), F.col("n"), ratio(F.col("n"), F.col("d"))], F.col("d"))
 
 
 def unmapped(cdm: Cdm, a: Analysis) -> DataFrame:
-    """Source concepts of records without a mapped concept, by table."""
-    parts = [cdm[t].filter(F.col(c) == 0).select(F.lit(t).alias("t"), F.lit(s).alias("f"), F.col(s).alias("v")) for t, c, s in MAPPED]
+    """Source values of what was mapped to concept 0, by table and column; of the columns that a table has."""
+    parts = []
+    for table, value, concept in MAPPED:
+        rows = cdm[table]
+        if concept in rows.columns:
+            found = F.col(value) if value in rows.columns else F.lit(None)
+            parts.append(rows.filter(F.col(concept) == 0).select(F.lit(table).alias("t"), F.lit(value).alias("f"), found.cast("string").alias("v")))
     return _grouped(a, reduce(DataFrame.unionByName, parts), [F.col("t"), F.col("f"), F.col("v")], F.count("*"))
 
 
@@ -173,10 +207,11 @@ OVERLAPPING = ("condition_occurrence", "drug_exposure", "device_exposure", "meas
 def overlap(cdm: Cdm, a: Analysis) -> DataFrame:
     """Persons that have at least the domains of each of 127 combinations: one mask per person, each mask lists what it contains."""
     flags = reduce(DataFrame.unionByName, [cdm[t].select("person_id", F.lit(1 << (6 - i)).alias("bit")) for i, t in enumerate(OVERLAPPING)])
-    masks = flags.groupBy("person_id").agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
-    wanted = masks.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(127)))).filter(F.col("mask").bitwiseAND(F.col("b")) == F.col("b"))
-    each = wanted.groupBy("b").agg(F.sum("n").alias("n")).crossJoin(cdm["person"].agg(F.count("*").alias("d")))
-    return results(a, each, [F.lpad(F.bin("b"), 7, "0"), ratio(F.col("n"), F.col("d")), F.col("n"), F.col("d")], F.col("n"))
+    masks = flags.groupBy("person_id").agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))  # at most 127 rows
+    held = masks.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(127)))).filter(F.col("mask").bitwiseAND(F.col("b")) == F.col("b")).groupBy("b").agg(F.sum("n").alias("n"))
+    every = cdm["person"].agg(F.countDistinct("person_id").alias("d")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(127))))
+    each = every.join(held, "b", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return results(a, each, [F.lpad(F.bin("b"), 7, "0"), ratio(F.col("n"), F.col("d"))], F.col("n"))
 
 
 def _values(cdm: Cdm, a: Analysis) -> tuple[DataFrame, list[str]]:
@@ -187,27 +222,60 @@ def _values(cdm: Cdm, a: Analysis) -> tuple[DataFrame, list[str]]:
         concept = a.keys[0]
         first = frame(cdm, a).groupBy("person_id", concept).agg(F.min(F.year(a.value)).alias("y")).join(cdm["person"], "person_id")
         return first.select(F.col(concept).alias("k0"), F.col("gender_concept_id").alias("k1"), (F.col("y") - F.col("year_of_birth")).alias("value")), ["k0", "k1"]
-    if a.table == "death" and a.value in ("last", ""):
-        last = cdm[a.extra[0]].groupBy("person_id").agg(F.max(a.extra[1]).alias("last"))
+    if kind == "age at earliest":
+        first = frame(cdm, a).groupBy("person_id").agg(F.min(F.year(a.value)).alias("y")).join(cdm["person"], "person_id")
+        return first.select(F.col(a.keys[0]).alias("k0"), (F.col("y") - F.col("year_of_birth")).alias("value")), ["k0"]
+    if a.value == "last":
+        last = inside_period(cdm[a.extra[0]], cdm["observation_period"], a.extra[1]).groupBy("person_id").agg(F.max(a.extra[1]).alias("last"))
         return frame(cdm, a).join(last, "person_id").select(F.datediff("last", "death_date").alias("value")), []
     names = [f"k{i}" for i in range(len(a.keys))]
     return frame(cdm, a).select(*[expr(k).alias(n) for k, n in zip(a.keys, names, strict=True)], expr(a.value).alias("value")), names
 
 
+def _placed(made: DataFrame, names: list[str], number: Column) -> DataFrame:
+    strata = [F.col(n).cast("string") for n in names] + [F.lit(None).cast("string")] * (2 - len(names))
+    return made.select(number.cast("int").alias("analysis_id"), strata[0].alias("stratum_1"), strata[1].alias("stratum_2"), *[c for c in made.columns if c.endswith("_value")])
+
+
 def dist(cdm: Cdm, a: Analysis) -> DataFrame:
     rows, names = _values(cdm, a)
+    if a.valued:
+        rows = rows.filter("value IS NOT NULL")
     made = (rank_distribution if a.family == "DIST9999" else distribution)(rows, "value", names)
-    strata = [F.col(n).cast("string") for n in names] + [F.lit(None).cast("string")] * (2 - len(names))
-    return made.select(F.lit(a.id).alias("analysis_id"), strata[0].alias("stratum_1"), strata[1].alias("stratum_2"), *[c for c in made.columns if c not in names])
+    return _placed(made, names, F.lit(a.id))
+
+
+_OWN_VALUES = ("distinct per person", "age at first", "age at earliest")
+
+
+def _alike(a: Analysis):
+    """What distributions of one frame share; None for those that prepare their values."""
+    if a.family != "DIST" or a.extra[:1] in [(x,) for x in _OWN_VALUES] or a.value == "last":
+        return None
+    return a.table, a.keys, a.where, a.op, a.person, a.extra, a.valued
+
+
+def dists_together(cdm: Cdm, group: list[Analysis]) -> DataFrame:
+    """Distributions of several values of the same rows: read, joined, counted and ranked once."""
+    a = group[0]
+    names = [f"k{i}" for i in range(len(a.keys))]
+    values = F.array(*[F.struct(F.lit(x.id).alias("id"), expr(x.value).cast("double").alias("v")) for x in group])
+    rows = frame(cdm, a).select(*[expr(k).alias(n) for k, n in zip(a.keys, names, strict=True)], F.explode(values).alias("x")).select(*names, F.col("x.id").alias("__id"), F.col("x.v").alias("value"))
+    if a.valued:
+        rows = rows.filter("value IS NOT NULL")
+    return _placed(distribution(rows, "value", ["__id", *names]), names, F.col("__id"))
 
 
 FAMILIES = {
-    "COUNT": count, "COUNTD": count_distinct, "ORPHAN": orphan, "OUTSIDE": outside, "PROP": proportion, "ATLEAST": at_least, "TOPK": top_pairs, "PERIODS": periods, "CALENDAR": calendar,
+    "SOURCE": source, "ALL": every_record, "COUNT": count, "COUNTD": count_distinct, "ORPHAN": orphan, "OUTSIDE": outside, "PROP": proportion, "ATLEAST": at_least, "TOPK": top_pairs, "PERIODS": periods, "CALENDAR": calendar,
     "UNIONCOUNT": union_count, "NOVALUE": no_value, "UNMAPPED": unmapped, "DOMAINS": domains, "OVERLAP": overlap, "DIST": dist, "DIST9999": dist,
 }
 
 
 def run(cdm: Cdm, ids: list[int], small_cell: int | None = None) -> DataFrame:
     """Analyses of one shape (counts or distributions) as one tall table; cells of at most ``small_cell`` go."""
-    made = reduce(DataFrame.unionByName, [FAMILIES[ANALYSES[i].family](cdm, ANALYSES[i]) for i in ids])
+    groups: dict = {}
+    for i in ids:
+        groups.setdefault(_alike(ANALYSES[i]) or i, []).append(ANALYSES[i])
+    made = reduce(DataFrame.unionByName, [dists_together(cdm, g) if len(g) > 1 else FAMILIES[g[0].family](cdm, g[0]) for g in groups.values()])
     return made if small_cell is None else made.filter(F.col("count_value") > small_cell)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from ..sources.adapter import with_prefix
-from .engine import OVERLAPPING, STRATA
-from .registry import ANALYSES, DOMAINS, END, MAPPED, START, Analysis
+from .engine import STRATA
+from .registry import ANALYSES, DOMAINS, START, Analysis
+from .statements import COUNTS, VALUES
 
 
 def duck(text: str) -> str:
@@ -23,8 +24,6 @@ def _rows(a: Analysis) -> str:
         source = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY {a.table}_start_date, {a.table}_id) AS rn FROM {a.table}) z WHERE rn = 1)"
     if a.op:
         joins += f" JOIN observation_period op ON op.person_id = t.person_id AND t.{START[a.table]} BETWEEN op.observation_period_start_date AND op.observation_period_end_date"
-        if a.extra[:1] == ("ends inside",):
-            joins += f" AND t.{END[a.table]} BETWEEN op.observation_period_start_date AND op.observation_period_end_date"
     if a.person:
         joins += " JOIN person p ON p.person_id = t.person_id"
         columns += ["p.gender_concept_id", "p.year_of_birth"]
@@ -51,6 +50,8 @@ def _ratio(n: str, d: str) -> str:
 
 
 def counts(a: Analysis) -> str:
+    if a.id in COUNTS:
+        return COUNTS[a.id]
     keys = [duck(k) for k in a.keys]
     group = (" GROUP BY " + ", ".join(keys)) if keys else ""
     t, start = a.table, START.get(a.table, "")
@@ -67,10 +68,6 @@ def counts(a: Analysis) -> str:
     if a.family == "ATLEAST":
         per = f"(SELECT {keys[0]} AS c, person_id, count(*) AS x FROM {_rows(a)} x GROUP BY ALL)"
         return _out(a, ["v.c", "v.x"], "(SELECT count(*) FROM " + per + " w WHERE w.c = v.c AND w.x >= v.x)", f"(SELECT DISTINCT c, x FROM {per} u) v")
-    if a.family == "TOPK":
-        c = keys[0]
-        pairs = f"(SELECT l.{c} AS c1, r.{c} AS c2, count(DISTINCT l.person_id) AS persons, count(*) AS cases FROM {t} l JOIN {t} r ON l.person_id = r.person_id AND l.{c} <> r.{c} AND l.{c} <> 0 AND r.{c} <> 0 GROUP BY ALL ORDER BY persons DESC, cases DESC, c1, c2 LIMIT 10)"
-        return _out(a, ["c1", "c2", "cases"], "persons", f"{pairs} x")
     if a.family == "PERIODS":
         return _out(a, ["k"], "count(*)", f"(SELECT person_id, count(*) AS k FROM {t} GROUP BY person_id) x GROUP BY k")
     if a.family == "CALENDAR":
@@ -86,32 +83,22 @@ def counts(a: Analysis) -> str:
         parts = [f"SELECT coalesce(v.{concept}, 0) AS c, '{o}' AS n FROM {o} o LEFT JOIN {t} v ON v.{key} = o.visit_occurrence_id" for o in ("drug_exposure", "condition_occurrence", "device_exposure", "procedure_occurrence", "measurement", "observation")]
         parts.append(f"SELECT coalesce({concept}, 0), '{t}' FROM {t}")
         return _out(a, ["c", "n"], "count(*)", f"({' UNION ALL '.join(parts)}) x GROUP BY c, n")
-    if a.family == "NOVALUE":
-        each = f"(SELECT {keys[0]} AS c, count(*) FILTER (WHERE ({a.extra[0]}) IS NOT TRUE) AS n, count(*) AS d FROM {_rows(a)} x GROUP BY 1)"
-        return _out(a, ["c", _ratio("n", "d"), "n", "d"], "n", f"{each} x")
-    if a.family == "UNMAPPED":
-        parts = " UNION ALL ".join(f"SELECT '{o}' AS t, '{s}' AS f, {s} AS v FROM {o} WHERE {c} = 0" for o, c, s in MAPPED)
-        return _out(a, ["t", "f", "v"], "count(*)", f"({parts}) x GROUP BY t, f, v")
     if a.family == "DOMAINS":
         parts = " INTERSECT ".join(f"SELECT person_id FROM {DOMAINS[n].table} t WHERE {_IN.format(DOMAINS[n].start)}" for n in a.extra)
         return _out(a, [], "count(*)", f"({parts}) x")
-    if a.family == "OVERLAP":
-        sums = " + ".join(f"CASE WHEN person_id IN (SELECT person_id FROM {o}) THEN {1 << (6 - i)} ELSE 0 END" for i, o in enumerate(OVERLAPPING))
-        everyone = " UNION ".join(f"SELECT person_id FROM {o}" for o in OVERLAPPING)
-        each = f"(SELECT b, count(*) AS n, (SELECT count(*) FROM person) AS d FROM (SELECT {sums} AS m FROM ({everyone}) e) k JOIN range(1, 128) g(b) ON m & b = b GROUP BY b)"
-        return _out(a, ["lpad(bin(b), 7, '0')", _ratio("n", "d"), "n", "d"], "n", f"{each} x")
     raise ValueError(a.family)
 
 
 def dist(a: Analysis) -> str:
     keys = [duck(k) for k in a.keys]
     kind = a.extra[0] if a.extra else ""
-    if kind == "distinct per person":
+    if a.id in VALUES:
+        rows, n = VALUES[a.id]
+        rows, keys = f"({rows})", ["k0"] * n
+    elif kind == "distinct per person":
         rows, keys = f"(SELECT count(DISTINCT {a.value}) AS v FROM {_rows(a)} x GROUP BY person_id)", []
     elif kind == "age at first":
         rows = f"(SELECT {keys[0]} AS k0, p.gender_concept_id AS k1, min(year({a.value})) - min(p.year_of_birth) AS v FROM {_rows(a)} x JOIN person p ON p.person_id = x.person_id GROUP BY x.person_id, {keys[0]}, p.gender_concept_id)"
-    elif a.table == "death" and a.value in ("last", ""):
-        rows, keys = f"(SELECT CAST(m - death_date AS BIGINT) AS v FROM {_rows(a)} x JOIN (SELECT person_id, max({a.extra[1]}) AS m FROM {a.extra[0]} GROUP BY person_id) l ON l.person_id = x.person_id)", []
     else:
         rows = f"(SELECT {''.join(f'{k} AS k{i}, ' for i, k in enumerate(keys))}{duck(a.value)} AS v FROM {_rows(a)} x)"
     names = [f"k{i}" for i in range(len(keys))]
@@ -125,7 +112,7 @@ def dist(a: Analysis) -> str:
         cells = [f"coalesce(list_sort(list(CAST(v AS DOUBLE)), 'ASC', 'NULLS LAST')[CAST(ceil({p} * count(*) / 100) AS BIGINT)], max(CAST(v AS DOUBLE))) AS {n}" for n, p in points.items()]
     return (
         f"SELECT CAST({a.id} AS INTEGER) AS analysis_id, {strata[0]} AS stratum_1, {strata[1]} AS stratum_2, count(*) AS count_value, min(CAST(v AS DOUBLE)) AS min_value, max(CAST(v AS DOUBLE)) AS max_value, "
-        f"round(avg(CAST(v AS DOUBLE)), 4) AS avg_value, round(stddev_samp(CAST(v AS DOUBLE)), 4) AS stdev_value, {', '.join(cells)} FROM {rows} y{where}{group}"
+        f"round(CAST(sum(CAST(CAST(v AS DOUBLE) AS DECIMAL(28, 10))) AS DOUBLE) / count(v), 4) AS avg_value, round(stddev_samp(CAST(v AS DOUBLE)), 4) AS stdev_value, {', '.join(cells)} FROM {rows} y{where}{group}"
     )
 
 

@@ -21,6 +21,7 @@ class Analysis(NamedTuple):
     value: str = ""  # distributions
     entity: str = "person_id"  # what COUNTD counts
     extra: tuple[str, ...] = ()
+    valued: bool = False  # distributions: rows without a value are left out
 
 
 class Domain(NamedTuple):
@@ -93,7 +94,7 @@ _RANGED = "value_as_number IS NOT NULL AND unit_concept_id IS NOT NULL AND range
 
 #: What doesn't follow from the domains.
 SPECIAL = [
-    Analysis(0, "COUNTD", "person"),
+    Analysis(0, "SOURCE", "person"),
     Analysis(1, "COUNTD", "person"),
     Analysis(2, "COUNTD", "person", ("gender_concept_id",)),
     Analysis(3, "COUNTD", "person", ("year_of_birth",)),
@@ -114,13 +115,13 @@ SPECIAL = [
     Analysis(107, "DIST", "observation_period", (decile("observation_period_start_date"),), person=True, value=_OP_DAYS, extra=_FIRST),
     Analysis(108, "COUNTD", "observation_period", (f"CAST(floor({_OP_DAYS} / 30) AS BIGINT)",), extra=_FIRST),
     Analysis(109, "CALENDAR", "observation_period", extra=("year", "covered")),
-    Analysis(110, "CALENDAR", "observation_period", extra=("month", "covered")),
+    Analysis(110, "CALENDAR", "observation_period", extra=("month", "covered", "started")),
     Analysis(111, "COUNTD", "observation_period", (month("observation_period_start_date"),)),
     Analysis(112, "COUNTD", "observation_period", (month("observation_period_end_date"),)),
     Analysis(113, "PERIODS", "observation_period"),
     Analysis(114, "COUNTD", "observation_period", where="year_of_birth > year(observation_period_start_date)", person=True, extra=_FIRST),
     Analysis(115, "COUNTD", "observation_period", where="observation_period_end_date < observation_period_start_date"),
-    Analysis(116, "CALENDAR", "observation_period", extra=("year", "touched", "by person")),
+    Analysis(116, "CALENDAR", "observation_period", extra=("year", "touched", "started", "by person")),
     Analysis(117, "CALENDAR", "observation_period", extra=("month", "touched")),
     Analysis(118, "ORPHAN", "observation_period", extra=("person", "person_id")),
     Analysis(119, "COUNT", "observation_period", ("period_type_concept_id",)),
@@ -142,21 +143,21 @@ SPECIAL = [
     Analysis(502, "COUNTD", "death", (month("death_date"),), op=True),
     Analysis(504, "COUNTD", "death", ("year(death_date)", "gender_concept_id", decile("death_date")), op=True, person=True),
     Analysis(505, "COUNT", "death", ("death_type_concept_id",), op=True),
-    Analysis(506, "DIST", "death", ("gender_concept_id",), op=True, person=True, value="year(death_date) - year_of_birth"),
+    Analysis(506, "DIST", "death", ("gender_concept_id",), op=True, value="death_date", extra=("age at earliest",)),
     Analysis(509, "ORPHAN", "death", extra=("person", "person_id")),
     Analysis(510, "OUTSIDE", "death"),
-    Analysis(511, "DIST9999", "death", op=True, extra=("condition_occurrence", "condition_start_date")),
-    Analysis(512, "DIST", "death", op=True, value="last", extra=("drug_exposure", "drug_exposure_start_date")),
-    Analysis(513, "DIST", "death", op=True, value="last", extra=("visit_occurrence", "visit_start_date")),
-    Analysis(514, "DIST", "death", op=True, value="last", extra=("procedure_occurrence", "procedure_date")),
-    Analysis(515, "DIST", "death", op=True, value="last", extra=("observation", "observation_date")),
+    Analysis(511, "DIST9999", "death", value="last", extra=("condition_occurrence", "condition_start_date")),
+    Analysis(512, "DIST", "death", value="last", extra=("drug_exposure", "drug_exposure_start_date")),
+    Analysis(513, "DIST", "death", value="last", extra=("visit_occurrence", "visit_start_date")),
+    Analysis(514, "DIST", "death", value="last", extra=("procedure_occurrence", "procedure_date")),
+    Analysis(515, "DIST", "death", value="last", extra=("observation", "observation_date")),
     Analysis(525, "COUNT", "death", ("cause_source_concept_id",)),
     Analysis(530, "COUNT", "death", op=True),
     Analysis(531, "PROP", "death", extra=("persons",)),
     Analysis(532, "PROP", "death", extra=("records",)),
-    Analysis(715, "DIST", "drug_exposure", ("drug_concept_id",), op=True, value="days_supply"),
-    Analysis(716, "DIST", "drug_exposure", ("drug_concept_id",), op=True, value="refills"),
-    Analysis(717, "DIST", "drug_exposure", ("drug_concept_id",), op=True, value="quantity"),
+    Analysis(715, "DIST", "drug_exposure", ("drug_concept_id",), op=True, value="days_supply", valued=True),
+    Analysis(716, "DIST", "drug_exposure", ("drug_concept_id",), op=True, value="refills", valued=True),
+    Analysis(717, "DIST", "drug_exposure", ("drug_concept_id",), op=True, value="quantity", valued=True),
     Analysis(807, "COUNT", "observation", ("observation_concept_id", "unit_concept_id"), op=True),
     Analysis(814, "COUNT", "observation", where="value_as_number IS NULL AND value_as_string IS NULL AND value_as_concept_id IS NULL"),
     Analysis(815, "DIST", "observation", ("observation_concept_id", "unit_concept_id"), where="unit_concept_id IS NOT NULL AND value_as_number IS NOT NULL", op=True, value="value_as_number"),
@@ -179,23 +180,23 @@ SPECIAL = [
     Analysis(1307, "ORPHAN", "visit_detail", extra=("person", "person_id")),
     Analysis(1309, "ORPHAN", "visit_detail", extra=("care_site", "care_site_id")),
     Analysis(1312, "COUNTD", "visit_detail", ("year(visit_detail_start_date)", "gender_concept_id", decile("visit_detail_start_date")), op=True, person=True),
-    Analysis(1313, "DIST", "visit_detail", ("visit_detail_concept_id",), op=True, value="DAYS(visit_detail_start_date, visit_detail_end_date)", extra=("ends inside",)),
+    Analysis(1313, "DIST", "visit_detail", ("visit_detail_concept_id",), op=True, value="DAYS(visit_detail_start_date, visit_detail_end_date)"),
     Analysis(1321, "COUNTD", "visit_detail", ("year(visit_detail_start_date)",), op=True),
     Analysis(1326, "UNIONCOUNT", "visit_detail", extra=("visit_occurrence_id", "visit_detail_concept_id")),
     Analysis(1406, "DIST", "payer_plan_period", ("gender_concept_id",), person=True, value=_PAYER_DAYS, extra=_FIRST),
     Analysis(1407, "DIST", "payer_plan_period", (decile("payer_plan_period_start_date"),), person=True, value=_PAYER_DAYS, extra=_FIRST),
     Analysis(1408, "COUNTD", "payer_plan_period", (f"CAST(floor({_PAYER_DAYS} / 30) AS BIGINT)",), extra=_FIRST),
-    Analysis(1409, "CALENDAR", "payer_plan_period", extra=("year", "touched")),
-    Analysis(1410, "CALENDAR", "payer_plan_period", extra=("month", "covered")),
+    Analysis(1409, "CALENDAR", "payer_plan_period", extra=("year", "touched", "started")),
+    Analysis(1410, "CALENDAR", "payer_plan_period", extra=("month", "covered", "started")),
     Analysis(1411, "COUNTD", "payer_plan_period", ("make_date(year(payer_plan_period_start_date), month(payer_plan_period_start_date), 1)",)),
     Analysis(1412, "COUNTD", "payer_plan_period", ("make_date(year(payer_plan_period_start_date), month(payer_plan_period_start_date), 1)",)),
     Analysis(1413, "PERIODS", "payer_plan_period"),
     Analysis(1414, "COUNTD", "payer_plan_period", where="year_of_birth > year(payer_plan_period_start_date)", person=True, extra=_FIRST),
     Analysis(1415, "COUNTD", "payer_plan_period", where="payer_plan_period_end_date < payer_plan_period_start_date"),
     Analysis(1425, "COUNT", "payer_plan_period", ("payer_source_concept_id",)),
-    *[Analysis(1502 + i, "DIST", "cost", ("drug_concept_id",), where="cost_domain_id = 'Drug'", value=v, extra=("join on", "drug_exposure", "cost_event_id", "drug_exposure_id"))
+    *[Analysis(1502 + i, "DIST", "cost", ("drug_concept_id",), where="cost_domain_id = 'Drug'", value=v, valued=True, extra=("join on", "drug_exposure", "cost_event_id", "drug_exposure_id"))
       for i, v in enumerate(("paid_patient_copay", "paid_patient_coinsurance", "paid_patient_deductible", "paid_by_payer", "paid_by_primary", "paid_by_patient", "total_paid", "paid_ingredient_cost", "paid_dispensing_fee", "total_cost"))],
-    *[Analysis(1602 + i, "DIST", "cost", ("procedure_concept_id",), where="cost_domain_id = 'Procedure'", value=v, extra=("join on", "procedure_occurrence", "cost_event_id", "procedure_occurrence_id"))
+    *[Analysis(1602 + i, "DIST", "cost", ("procedure_concept_id",), where="cost_domain_id = 'Procedure'", value=v, valued=True, extra=("join on", "procedure_occurrence", "cost_event_id", "procedure_occurrence_id"))
       for i, v in enumerate(("paid_patient_copay", "paid_patient_coinsurance", "paid_patient_deductible", "paid_by_payer", "paid_by_primary", "paid_by_patient", "total_paid"))],
     Analysis(1610, "COUNT", "cost", ("revenue_code_concept_id",), where="revenue_code_concept_id IS NOT NULL AND cost_domain_id = 'Procedure'"),
     Analysis(1807, "COUNT", "measurement", ("measurement_concept_id", "unit_concept_id"), op=True),
@@ -223,11 +224,25 @@ SPECIAL = [
 ]
 
 ANALYSES: dict[int, Analysis] = {a.id: a for a in [*(a for d in DOMAINS.values() for a in _domain(d)), *SPECIAL]}
+ANALYSES[230] = Analysis(230, "ALL", "visit_occurrence")
 #: The start date that ties a table's rows to observation periods.
 START = {d.table: d.start for d in DOMAINS.values()} | {"death": "death_date"}
 END = {d.table: d.end for d in DOMAINS.values()}
-#: The 1900 report: columns that should hold a mapped concept, by table.
-MAPPED = [(d.table, d.concept, d.source) for d in DOMAINS.values() if d.source]
+#: The columns of the 1900 report, a table's source values and the concepts that they are mapped to.
+MAPPED = [
+    ("measurement", "measurement_source_value", "measurement_concept_id"), ("measurement", "unit_source_value", "unit_concept_id"),
+    ("procedure_occurrence", "procedure_source_value", "procedure_concept_id"), ("procedure_occurrence", "modifier_source_value", "modifier_concept_id"),
+    ("drug_exposure", "drug_source_value", "drug_concept_id"), ("drug_exposure", "route_source_value", "route_concept_id"),
+    ("condition_occurrence", "condition_source_value", "condition_concept_id"), ("condition_occurrence", "condition_status_source_value", "condition_status_concept_id"),
+    ("observation", "observation_source_value", "observation_concept_id"), ("observation", "unit_source_value", "unit_concept_id"), ("observation", "qualifier_source_value", "qualifier_concept_id"),
+    ("payer_plan_period", "payer_source_value", "payer_concept_id"), ("payer_plan_period", "plan_source_value", "plan_concept_id"), ("payer_plan_period", "sponsor_source_value", "sponsor_concept_id"), ("payer_plan_period", "stop_reason_source_value", "stop_reason_concept_id"),
+    ("provider", "specialty_source_value", "specialty_concept_id"), ("provider", "gender_source_value", "gender_concept_id"),
+    ("person", "gender_source_value", "gender_concept_id"), ("person", "race_source_value", "race_concept_id"), ("person", "ethnicity_source_value", "ethnicity_concept_id"),
+    ("specimen", "specimen_source_value", "specimen_concept_id"), ("specimen", "unit_source_value", "unit_concept_id"), ("specimen", "anatomic_site_source_value", "anatomic_site_concept_id"), ("specimen", "disease_status_source_value", "disease_status_concept_id"),
+    ("visit_detail", "visit_detail_source_value", "visit_detail_concept_id"), ("visit_detail", "admitted_from_source_value", "admitted_from_concept_id"), ("visit_detail", "discharged_to_source_value", "discharged_to_concept_id"), ("visit_detail", "admitting_source_value", "admitting_source_concept_id"), ("visit_detail", "discharge_to_source_value", "discharge_to_concept_id"),
+    ("visit_occurrence", "visit_source_value", "visit_concept_id"), ("visit_occurrence", "admitted_from_source_value", "admitted_from_concept_id"), ("visit_occurrence", "discharged_to_source_value", "discharged_to_concept_id"), ("visit_occurrence", "admitting_source_value", "admitting_source_concept_id"), ("visit_occurrence", "discharge_to_source_value", "discharge_to_concept_id"),
+    ("device_exposure", "device_source_value", "device_concept_id"), ("death", "cause_source_value", "cause_concept_id"),
+]
 
 
 def section(a: Analysis) -> str:

@@ -10,7 +10,9 @@ POINTS = {"median_value": 50, "p10_value": 10, "p25_value": 25, "p75_value": 75,
 
 def _stats() -> list[Column]:
     v = F.col("__v")
-    return [F.count("*").alias("count_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.round(F.avg(v), 4).alias("avg_value"), F.round(F.stddev_samp(v), 4).alias("stdev_value")]
+    # a sum of decimals doesn't depend on the order of its rows, so neither does a mean at the edge of rounding
+    mean = F.round(F.sum(v.cast("decimal(28,10)")).cast("double") / F.count(v), 4)
+    return [F.count("*").alias("count_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), mean.alias("avg_value"), F.round(F.stddev_samp(v), 4).alias("stdev_value")]
 
 
 def distribution(rows: DataFrame, value: str, strata: list[str]) -> DataFrame:
@@ -36,11 +38,17 @@ def distribution(rows: DataFrame, value: str, strata: list[str]) -> DataFrame:
 
 
 def rank_distribution(rows: DataFrame, value: str, strata: list[str]) -> DataFrame:
-    """As :func:`distribution`, with percentiles by rank / (n + 1): the largest value at or below the point, -9999 where there is none."""
-    known = rows.select(*strata, F.col(value).cast("double").alias("__v")).withColumn("__all", F.lit(0))
+    """As :func:`distribution`, with percentiles by rank / (n + 1): the largest value at or below the point, -9999 where there is none.
+
+    Ranks come from counted values: a value's first rank is one more than how many rows are below it.
+    """
+    known = rows.select(*strata, F.col(value).cast("double").alias("__v"))
+    keys = strata or [F.lit(0).alias("__all")]
     names = strata or ["__all"]
-    place = F.row_number().over(Window.partitionBy(*names).orderBy("__v"))
-    total = F.count("*").over(Window.partitionBy(*names))
-    ranked = known.withColumns({"__r": place, "__t": total + 1})
-    points = [F.max(F.when(F.col("__r") * 100 <= p * F.col("__t"), F.col("__v")).otherwise(-9999.0)).alias(n) for n, p in POINTS.items()]
-    return ranked.groupBy(*names).agg(*_stats(), *points).select(*strata, "count_value", "min_value", "max_value", "avg_value", "stdev_value", *POINTS)
+    counted = known.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    first = F.sum("__n").over(Window.partitionBy(*names).orderBy("__v")) - F.col("__n") + 1
+    total = F.sum("__n").over(Window.partitionBy(*names))
+    ranked = counted.withColumns({"__r": first, "__t": total + 1})
+    points = ranked.groupBy(*names).agg(*[F.max(F.when(F.col("__r") * 100 <= p * F.col("__t"), F.col("__v")).otherwise(-9999.0)).alias(n) for n, p in POINTS.items()])
+    stats = known.groupBy(*keys).agg(*_stats())
+    return stats.join(points, names).select(*strata, "count_value", "min_value", "max_value", "avg_value", "stdev_value", *POINTS)

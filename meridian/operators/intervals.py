@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def inside_period(rows: DataFrame, periods: DataFrame, start: str, end: str | None = None, keep: bool = False) -> DataFrame:
-    """Rows whose start (and end, if named) lies inside an observation period of their person; once for each such period.
+    """Rows whose start lies inside an observation period of their person; once for each such period.
+
+    Where an end is named, it (the start, if it is missing) bounds the row instead at the period's end.
 
     ``keep`` adds the period as op_start_date and op_end_date.
     """
     p = periods.select(F.col("person_id").alias("__p"), F.col("observation_period_start_date").alias("op_start_date"), F.col("observation_period_end_date").alias("op_end_date"))
-    on = (F.col("person_id") == F.col("__p")) & (F.col(start) >= F.col("op_start_date")) & (F.col(start) <= F.col("op_end_date"))
-    if end:
-        on = on & (F.col(end) >= F.col("op_start_date")) & (F.col(end) <= F.col("op_end_date"))
+    last = F.coalesce(end, start) if end else F.col(start)
+    on = (F.col("person_id") == F.col("__p")) & (F.col(start) >= F.col("op_start_date")) & (last <= F.col("op_end_date"))
     found = rows.join(p, on).drop("__p")
     return found if keep else found.drop("op_start_date", "op_end_date")
 

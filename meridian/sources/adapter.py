@@ -31,7 +31,7 @@ TABLES: dict[str, str] = {
         SELECT o_orderkey AS visit_occurrence_id, o_custkey AS person_id, CAST(9200 AS BIGINT) + CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS visit_concept_id,
                CAST(o_orderdate AS DATE) AS visit_start_date, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 12 AS INT) - CASE WHEN o_orderkey % 101 = 0 THEN 20 ELSE 0 END END AS visit_end_date,
                CAST(32000 + o_orderkey % 3 AS BIGINT) AS visit_type_concept_id, o_custkey % 130 AS provider_id, o_orderkey % 27 AS care_site_id,
-               CAST(o_orderkey % 5 AS BIGINT) AS visit_source_concept_id, CAST(o_orderkey % 4 AS BIGINT) AS discharge_to_concept_id FROM orders""",
+               CAST(o_orderkey % 5 AS BIGINT) AS visit_source_concept_id, CAST(o_orderkey % 4 AS BIGINT) AS discharge_to_concept_id, 'home ' || CAST(o_orderkey % 3 AS VARCHAR(9)) AS discharge_to_source_value FROM orders""",
     "visit_detail": """
         SELECT visit_occurrence_id * 10 AS visit_detail_id, person_id, visit_concept_id + 100 AS visit_detail_concept_id, visit_start_date AS visit_detail_start_date, visit_end_date AS visit_detail_end_date,
                visit_type_concept_id AS visit_detail_type_concept_id, provider_id, care_site_id, visit_occurrence_id, visit_source_concept_id AS visit_detail_source_concept_id
@@ -50,18 +50,18 @@ TABLES: dict[str, str] = {
     "drug_exposure": """
         SELECT n AS drug_exposure_id, person_id, 4000 + l_partkey % 50 AS drug_concept_id, d AS drug_exposure_start_date,
                CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE d + CAST(l_quantity AS INT) - CASE WHEN l_suppkey % 89 = 0 THEN 60 ELSE 0 END END AS drug_exposure_end_date, CAST(32810 + l_linenumber AS BIGINT) AS drug_type_concept_id,
-               CAST(l_quantity AS INT) AS days_supply, CAST(l_linenumber - 1 AS INT) AS refills, l_quantity AS quantity, CAST(4112421 + l_linenumber AS BIGINT) AS route_concept_id, CASE WHEN l_linenumber = 4 THEN 'LOT4' END AS lot_number,
+               CASE WHEN l_suppkey % 19 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS days_supply, CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE CAST(l_linenumber - 1 AS INT) END AS refills, CASE WHEN l_suppkey % 29 = 0 THEN NULL ELSE l_quantity END AS quantity, CAST(4112421 + l_linenumber AS BIGINT) AS route_concept_id, CASE WHEN l_linenumber = 4 THEN 'LOT4' END AS lot_number,
                l_suppkey % 125 AS provider_id, l_orderkey AS visit_occurrence_id, 7000 + l_partkey % 20 AS drug_source_concept_id
         FROM line WHERE l_returnflag = 'N'""",
     "procedure_occurrence": """
         SELECT n AS procedure_occurrence_id, person_id, 5000 + l_partkey % 40 AS procedure_concept_id, d AS procedure_date, CAST(32820 + l_linenumber AS BIGINT) AS procedure_type_concept_id,
-               CAST(l_linenumber % 3 AS BIGINT) AS modifier_concept_id, CAST(l_quantity AS INT) AS quantity, l_suppkey % 125 AS provider_id, l_orderkey AS visit_occurrence_id, 8000 + l_partkey % 20 AS procedure_source_concept_id
+               CAST(l_linenumber % 3 AS BIGINT) AS modifier_concept_id, CASE WHEN l_linenumber = 6 THEN NULL ELSE 'M' || CAST(l_linenumber AS VARCHAR(9)) END AS modifier_source_value, CAST(l_quantity AS INT) AS quantity, l_suppkey % 125 AS provider_id, l_orderkey AS visit_occurrence_id, 8000 + l_partkey % 20 AS procedure_source_concept_id
         FROM line WHERE l_returnflag = 'A'""",
     "device_exposure": """
         SELECT n AS device_exposure_id, person_id, 5500 + l_partkey % 15 AS device_concept_id, d AS device_exposure_start_date, d + CAST(l_suppkey % 30 AS INT) AS device_exposure_end_date, CAST(32830 + l_linenumber AS BIGINT) AS device_type_concept_id,
                CAST(l_quantity AS INT) AS quantity, l_suppkey % 125 AS provider_id, l_orderkey AS visit_occurrence_id, 8500 + l_partkey % 7 AS device_source_concept_id FROM line WHERE l_linenumber = 7""",
     "measurement": """
-        SELECT event_id AS measurement_id, user_id AS person_id, CAST(CASE event_type WHEN 'view' THEN 9001 WHEN 'click' THEN 9002 ELSE 9003 END AS BIGINT) AS measurement_concept_id, CAST(ts AS DATE) AS measurement_date,
+        SELECT event_id AS measurement_id, user_id AS person_id, CAST(CASE event_type WHEN 'view' THEN 9001 WHEN 'click' THEN 9002 ELSE 9003 END AS BIGINT) AS measurement_concept_id, event_type AS measurement_source_value, CAST(ts AS DATE) AS measurement_date,
                CAST(44818700 + event_id % 2 AS BIGINT) AS measurement_type_concept_id, CAST(4171754 + event_id % 4 AS BIGINT) AS operator_concept_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value_as_number,
                CASE WHEN event_id % 7 = 0 THEN CAST(4155142 + event_id % 3 AS BIGINT) END AS value_as_concept_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(8800 + event_id % 3 AS BIGINT) END AS unit_concept_id,
                CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id % 4 * 5 AS DOUBLE) END AS range_low, CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id % 4 * 5 + 40 AS DOUBLE) END AS range_high,
@@ -69,7 +69,7 @@ TABLES: dict[str, str] = {
     "observation": """
         SELECT event_id AS observation_id, user_id AS person_id, CAST(CASE event_type WHEN 'error' THEN 9101 ELSE 9102 END AS BIGINT) AS observation_concept_id, CAST(ts AS DATE) AS observation_date, CAST(38000276 + event_id % 3 AS BIGINT) AS observation_type_concept_id,
                CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value_as_number, CASE WHEN event_id % 4 = 0 THEN 'text ' || CAST(event_id % 9 AS VARCHAR(9)) END AS value_as_string, CASE WHEN event_id % 6 = 0 THEN CAST(45877994 + event_id % 2 AS BIGINT) END AS value_as_concept_id,
-               CAST(event_id % 3 AS BIGINT) AS qualifier_concept_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(8800 + event_id % 3 AS BIGINT) END AS unit_concept_id, event_id % 125 AS provider_id, event_id AS visit_occurrence_id, 9600 + event_id % 9 AS observation_source_concept_id
+               CAST(event_id % 3 AS BIGINT) AS qualifier_concept_id, 'Q' || CAST(event_id % 6 AS VARCHAR(9)) AS qualifier_source_value, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(8800 + event_id % 3 AS BIGINT) END AS unit_concept_id, event_id % 125 AS provider_id, event_id AS visit_occurrence_id, 9600 + event_id % 9 AS observation_source_concept_id
         FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')""",
     "death": """
         SELECT c_custkey AS person_id, DATE '1999-01-01' + CAST(c_custkey * 7 % 1500 AS INT) AS death_date, CAST(38003569 + c_custkey % 2 AS BIGINT) AS death_type_concept_id, CAST(3000 + c_custkey % 50 AS BIGINT) AS cause_concept_id, CAST(6000 + c_custkey % 20 AS BIGINT) AS cause_source_concept_id
@@ -86,7 +86,7 @@ TABLES: dict[str, str] = {
           SELECT person_id, drug_concept_id, g, min(s) AS s, max(e) AS e, CAST(count(*) AS INT) AS c FROM (
             SELECT person_id, drug_concept_id, s, e, sum(CASE WHEN p IS NULL OR s > p + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id, drug_concept_id ORDER BY s, e, i) AS g FROM (
               SELECT person_id, drug_concept_id, s, e, i, max(e) OVER (PARTITION BY person_id, drug_concept_id ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (
-                SELECT person_id, drug_concept_id, drug_exposure_id AS i, drug_exposure_start_date AS s, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply) AS e FROM drug_exposure) a) b) c
+                SELECT person_id, drug_concept_id, drug_exposure_id AS i, drug_exposure_start_date AS s, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply, drug_exposure_start_date + 1) AS e FROM drug_exposure) a) b) c
           GROUP BY person_id, drug_concept_id, g) d""",
     "payer_plan_period": """
         SELECT c_custkey * 2 + k AS payer_plan_period_id, c_custkey AS person_id, s AS payer_plan_period_start_date, e AS payer_plan_period_end_date, CAST(c_custkey % 6 AS BIGINT) AS payer_source_concept_id, CAST(100 + c_custkey % 4 AS BIGINT) AS payer_concept_id FROM (
@@ -149,7 +149,7 @@ def needs(sql: str) -> list[str]:
 
 def with_prefix(sql: str) -> str:
     """A DuckDB query over the derived tables, complete in itself."""
-    parts = [f"{t} AS ({TABLES[t]})" for t in needs(sql)]
+    parts = [f"{t} AS MATERIALIZED ({TABLES[t]})" for t in needs(sql)]
     if not parts:
         return sql
     body = sql.lstrip()
@@ -180,6 +180,12 @@ class Cdm:
                 self._made[name] = materialize(self.sql(TABLES[name]))
         return self._made[name]
 
+    def derived(self, name: str, make) -> DataFrame:
+        """A further table under a name of its own, written like the others when first asked for."""
+        if name not in self._made:
+            self._made[name] = materialize(make())
+        return self._made[name]
+
     def sql(self, text: str) -> DataFrame:
         """A query over base and derived tables."""
         used = [t for t in (*BASE, *TABLES) if _NAME[t].search(text)]
