@@ -127,6 +127,12 @@ def source(cdm: Cdm, a: Analysis, name: str = "meridian", version: str = "1") ->
     return results(a, cdm[a.table].agg(F.countDistinct("person_id").alias("n")), [F.lit(name), F.lit(version), F.current_date()], F.col("n"))
 
 
+def source_distribution(cdm: Cdm, name: str = "meridian") -> DataFrame:
+    """The database among the distributions: all persons, without statistics."""
+    none = [F.lit(None).cast("double").alias(f"{n}_value") for n in ("min", "max", "avg", "stdev", "median", "p10", "p25", "p75", "p90")]
+    return cdm["person"].agg(F.countDistinct("person_id").alias("count_value")).select(F.lit(0).alias("analysis_id"), F.lit(name).alias("stratum_1"), F.lit(None).cast("string").alias("stratum_2"), "count_value", *none)
+
+
 def every_record(cdm: Cdm, a: Analysis) -> DataFrame:
     """Records, once for each period that holds them, and those outside all periods."""
     rows = cdm[a.table]

@@ -50,9 +50,10 @@ SPECS: dict[str, Spec] = {
     "DrugEra": Spec("drug_era", "drug_era_id", "drug_era_start_date", "drug_era_end_date", "drug_concept_id", visit=False, filters=_ERA | {"OccurrenceCount": ("int", "drug_exposure_count"), "GapDays": ("int", "gap_days")}),
     # the end-date filter looks at the start date, as cohort definitions in use expect
     "DrugExposure": Spec("drug_exposure", "drug_exposure_id", "drug_exposure_start_date", "coalesce(drug_exposure_end_date, date_add(drug_exposure_start_date, days_supply), date_add(drug_exposure_start_date, 1))", "drug_concept_id", "DrugSourceConcept|drug_source_concept_id",
-                         filters=_dates(end="start_date") | _typed("DrugType", "drug_type_concept_id") | _typed("RouteConcept", "route_concept_id") | {"Refills": ("int", "refills"), "Quantity": ("decimal", "quantity"), "DaysSupply": ("int", "days_supply"), "LotNumber": ("text", "lot_number"), "StopReason": ("text", "stop_reason")} | _PEOPLE),
-    "Episode": Spec("episode", "episode_id", "episode_start_date", "coalesce(episode_end_date, date_add(episode_start_date, 1))", "episode_concept_id", visit=False, filters=_dates() | _typed("EpisodeObject", "episode_object_concept_id") | _typed("EpisodeType", "episode_type_concept_id") | {"EpisodeNumber": ("int", "episode_number")}),
-    "LocationRegion": Spec("location_region", "location_id", "start_date_", "coalesce(end_date_, date '2099-12-31')", "region_concept_id", visit=False),
+                         filters=_dates(end="start_date") | _typed("DrugType", "drug_type_concept_id") | _typed("RouteConcept", "route_concept_id") | {"Refills": ("int", "refills"), "Quantity": ("decimal", "quantity"), "DaysSupply": ("int", "days_supply"), "EffectiveDrugDose": ("decimal", "effective_drug_dose"), "LotNumber": ("text", "lot_number"), "StopReason": ("text", "stop_reason")} | _typed("DoseUnit", "dose_unit_concept_id") | _PEOPLE),
+    "Episode": Spec("episode", "episode_id", "episode_start_date", "coalesce(episode_end_date, date_add(episode_start_date, 1))", "episode_concept_id", visit=False,
+                    filters={"EpisodeStartDate": ("date", "start_date"), "EpisodeEndDate": ("date", "end_date"), "EpisodeNumber": ("int", "episode_number"), "EpisodeObjectConceptCS": ("codeset", "episode_object_concept_id"), "EpisodeTypeCS": ("codeset", "episode_type_concept_id")}),
+    "LocationRegion": Spec("location_region", "location_id", "start_date_", "coalesce(end_date_, date '2099-12-31')", "region_concept_id", visit=False, filters={"StartDate": ("date", "start_date"), "EndDate": ("date", "end_date")}),
     "Measurement": Spec("measurement", "measurement_id", "measurement_date", "date_add(measurement_date, 1)", "measurement_concept_id", "MeasurementSourceConcept|measurement_source_concept_id",
                         filters=_dates() | _typed("MeasurementType", "measurement_type_concept_id") | _typed("Operator", "operator_concept_id") | _typed("ValueAsConcept", "value_as_concept_id") | _typed("Unit", "unit_concept_id")
                         | {"ValueAsNumber": ("decimal", "value_as_number"), "RangeLow": ("decimal", "range_low"), "RangeHigh": ("decimal", "range_high"), "RangeLowRatio": ("ratio", "range_low"), "RangeHighRatio": ("ratio", "range_high"), "Abnormal": ("abnormal", "")} | _PEOPLE),
@@ -65,14 +66,24 @@ SPECS: dict[str, Spec] = {
                             | {n: ("id codeset", c) for n, c in (("PayerConcept", "payer_concept_id"), ("PlanConcept", "plan_concept_id"), ("SponsorConcept", "sponsor_concept_id"), ("StopReasonConcept", "stop_reason_concept_id"), ("PayerSourceConcept", "payer_source_concept_id"), ("PlanSourceConcept", "plan_source_concept_id"), ("SponsorSourceConcept", "sponsor_source_concept_id"), ("StopReasonSourceConcept", "stop_reason_source_concept_id"))}),
     "ProcedureOccurrence": Spec("procedure_occurrence", "procedure_occurrence_id", "procedure_date", "date_add(procedure_date, 1)", "procedure_concept_id", "ProcedureSourceConcept|procedure_source_concept_id",
                                 filters=_dates() | _typed("ProcedureType", "procedure_type_concept_id") | _typed("Modifier", "modifier_concept_id") | {"Quantity": ("int", "quantity")} | _PEOPLE),
-    "Specimen": Spec("specimen", "specimen_id", "specimen_date", "date_add(specimen_date, 1)", "specimen_concept_id", visit=False,
+    "Specimen": Spec("specimen", "specimen_id", "specimen_date", "date_add(specimen_date, 1)", "specimen_concept_id", "SpecimenSourceConcept|specimen_source_concept_id", visit=False,
                      filters=_dates(end=None) | _typed("SpecimenType", "specimen_type_concept_id") | _typed("Unit", "unit_concept_id") | _typed("AnatomicSite", "anatomic_site_concept_id") | _typed("DiseaseStatus", "disease_status_concept_id") | {"Quantity": ("decimal", "quantity"), "SourceId": ("text", "specimen_source_id")}),
     "VisitDetail": Spec("visit_detail", "visit_detail_id", "visit_detail_start_date", "coalesce(visit_detail_end_date, date_add(visit_detail_start_date, 1))", "visit_detail_concept_id", "VisitDetailSourceConcept|visit_detail_source_concept_id", age="end_date",
-                        filters={"VisitDetailStartDate": ("date", "start_date"), "VisitDetailEndDate": ("date", "end_date"), "VisitDetailLength": ("days", "")} | _typed("VisitDetailType", "visit_detail_type_concept_id") | {k: v for k, v in _PEOPLE.items() if "Provider" in k}),
+                        filters={"VisitDetailStartDate": ("date", "start_date"), "VisitDetailEndDate": ("date", "end_date"), "VisitDetailLength": ("days", ""), "PlaceOfServiceCS": ("place codeset", ""), "PlaceOfServiceLocation": ("region", "visit_detail")} | _typed("VisitDetailType", "visit_detail_type_concept_id") | {k: v for k, v in _PEOPLE.items() if "Provider" in k}),
     "VisitOccurrence": Spec("visit_occurrence", "visit_occurrence_id", "visit_start_date", "coalesce(visit_end_date, date_add(visit_start_date, 1))", "visit_concept_id", "VisitSourceConcept|visit_source_concept_id",
-                            filters=_dates() | _typed("VisitType", "visit_type_concept_id") | {"VisitLength": ("days", ""), "PlaceOfService": ("place", ""), "PlaceOfServiceCS": ("place codeset", "")} | {k: v for k, v in _PEOPLE.items() if "Provider" in k}),
+                            filters=_dates() | _typed("VisitType", "visit_type_concept_id") | {"VisitLength": ("days", ""), "PlaceOfService": ("place", ""), "PlaceOfServiceCS": ("place codeset", ""), "PlaceOfServiceLocation": ("region", "visit")} | {k: v for k, v in _PEOPLE.items() if "Provider" in k}),
 }
 
+#: Fields that every criterion may have.
+_COMMON = {"CodesetId", "First", "Age", "Gender", "GenderCS", "Race", "RaceCS", "Ethnicity", "EthnicityCS", "UserDefinedPeriod", "DateAdjustment", "CorrelatedCriteria"}
+
+
+def unknown_fields(kind: str, c: dict) -> list[str]:
+    """Fields of a criterion that mean nothing to it: a definition that has them must not run without them."""
+    spec = SPECS[kind]
+    known = _COMMON | set(spec.filters) | {f"{n}Exclude" for n, (how, _) in spec.filters.items() if how in ("concepts", "visit", "specialty", "place")} | {spec.source.split("|")[0]}
+    return sorted(n for n, v in c.items() if n not in known and v is not None)
+
 
 # --- leaf predicates ---
 
@@ -154,6 +165,8 @@ class Evaluator:
         if kind not in SPECS:
             raise ValueError(f"unknown criterion {kind!r}")
         spec = SPECS[kind]
+        if strange := unknown_fields(kind, c):
+            raise ValueError(f"{kind} has no field {', '.join(strange)}")
         rows = self._region() if kind == "LocationRegion" else self.cdm[spec.table]
         if spec.concept and c.get("CodesetId") is not None:
             rows = self.in_codeset(rows, spec.concept, c["CodesetId"])
@@ -177,8 +190,7 @@ class Evaluator:
             for side in ("StartDate", "EndDate"):
                 if period.get(side):
                     rows = rows.filter((F.col("start_date") <= day(period[side])) & (F.col("end_date") >= day(period[side])))
-        if kind != "LocationRegion":
-            rows = self.filtered(rows, spec, c)
+        rows = self.filtered(rows, spec, c)
         if period:  # replaces the dates that come out; the filters above see the row's own
             rows = rows.withColumns({n: day(period[s]) for n, s in (("start_date", "StartDate"), ("end_date", "EndDate")) if period.get(s)})
         return rows.select(*[F.col(x) for x in EVENT], *[F.col(x) for x in self.countable(rows)])
@@ -186,7 +198,7 @@ class Evaluator:
     @staticmethod
     def countable(rows: DataFrame) -> list[str]:
         """Further columns that distinct counts may use."""
-        return [x for x in rows.columns if x.endswith("_concept_id") or x in ("value_as_number", "quantity", "days_supply", "refills", "provider_id")]
+        return [x for x in rows.columns if x.endswith("_concept_id") or x in ("value_as_number", "quantity", "days_supply", "refills", "provider_id", "range_low", "range_high", "gap_days", "condition_occurrence_count", "drug_exposure_count", "visit_detail_id")]
 
     def _region(self) -> DataFrame:
         places = self.cdm["location"].select("location_id", "region_concept_id")
@@ -219,12 +231,21 @@ class Evaluator:
                 rows = self.selection(rows, column, wanted)
             elif kind == "id codeset":
                 rows = self.in_codeset(rows, column, wanted)
+            elif kind == "region":
+                rows = self.in_region(rows, column, wanted)
             elif kind == "age":
                 rows = self.of_age(rows, wanted, column)
             else:
                 rows = self.through(rows, kind, wanted, bool(c.get(f"{name}Exclude")))
         return self.of_person(rows, c, spec.age)
 
+    def in_region(self, rows: DataFrame, table: str, codeset: int) -> DataFrame:
+        """Events at a care site that lay in a region of the codeset during all of the event; once for each such stay."""
+        stays = self.cdm["location_history"].filter("domain_id = 'CARE_SITE'").join(self.cdm["location"].select("location_id", "region_concept_id"), "location_id")
+        stays = self.in_codeset(stays, "region_concept_id", codeset).select(F.col("entity_id").alias("__site"), F.col("start_date").alias("__from"), F.coalesce("end_date", F.lit("2099-12-31").cast("date")).alias("__to"))
+        start, end = F.col(f"{table}_start_date"), F.col(f"{table}_end_date")
+        return rows.join(stays, (F.col("care_site_id") == F.col("__site")) & (start >= F.col("__from")) & (end <= F.col("__to"))).drop("__site", "__from", "__to")
+
     def of_age(self, rows: DataFrame, wanted: dict, at: str) -> DataFrame:
         people = self.cdm["person"].select(F.col("person_id").alias("__p"), "year_of_birth")
         return rows.join(people, F.col("person_id") == F.col("__p")).filter(number_range(F.year(at) - F.col("year_of_birth"), wanted, True)).drop("__p", "year_of_birth")

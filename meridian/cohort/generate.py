@@ -121,8 +121,7 @@ class Builder:
         key = ["person_id", "event_id"]
         what = F.col("a_id")
         if occurrence.get("IsDistinct"):
-            named = str(occurrence.get("CountColumn") or "DOMAIN_CONCEPT").upper()
-            what = F.col({"START_DATE": "a_start", "END_DATE": "a_end", "VISIT_ID": "a_visit", "DOMAIN_CONCEPT": f"a_{_domain_concept(c['Criteria'])}"}.get(named, f"a_{named.lower()}"))
+            what = _counted_column(c["Criteria"], str(occurrence.get("CountColumn") or "DOMAIN_CONCEPT").upper(), set(pairs.columns))
             counted = pairs.groupBy(*key).agg(F.countDistinct(what).alias("n"))
         else:
             counted = pairs.groupBy(*key).agg(F.count(what).alias("n"))
@@ -209,6 +208,21 @@ def _by_date(column: str, limit: str):
     return Window.partitionBy("person_id").orderBy(first, "event_id")
 
 
+def _counted_column(criteria: dict, name: str, columns: set[str]) -> Column:
+    """What a distinct count counts; an error where the criterion has no such column."""
+    (kind,) = [k for k in criteria if k in SPECS or k == "CustomEra"]
+    source = SPECS[kind].source.split("|")[-1] if kind in SPECS else ""
+    if name == "DURATION":
+        return F.datediff("a_end", "a_start")
+    column = {
+        "START_DATE": "a_start", "END_DATE": "a_end", "VISIT_ID": "a_visit", "DOMAIN_CONCEPT": f"a_{_domain_concept(criteria)}", "DOMAIN_SOURCE_CONCEPT": f"a_{source}", "UNIT": "a_unit_concept_id",
+        "ERA_OCCURRENCES": "a_condition_occurrence_count" if kind == "ConditionEra" else "a_drug_exposure_count",
+    }.get(name, f"a_{name.lower()}")
+    if column not in columns:
+        raise ValueError(f"{kind} has no column to count by {name}")
+    return F.col(column)
+
+
 def _domain_concept(wrapped: dict) -> str:
     ((kind, _),) = wrapped.items()
     return SPECS[kind].concept

@@ -97,7 +97,7 @@ EVENTS: dict[str, tuple[dict, str]] = {
     "DeviceExposure": ({"Quantity": {"Op": "!bt", "Value": 5.9, "Extent": 40}, "VisitType": [{"CONCEPT_ID": 9201}, {"CONCEPT_ID": 9203}]}, "SELECT t.person_id, device_exposure_id, device_exposure_start_date, device_exposure_end_date FROM device_exposure t JOIN visit_occurrence v ON v.visit_occurrence_id = t.visit_occurrence_id AND v.person_id = t.person_id WHERE NOT (quantity BETWEEN 5 AND 40) AND visit_concept_id IN (9201, 9203)"),
     "DoseEra": ({"DoseValue": {"Op": "gt", "Value": 4.99996}, "Unit": [{"CONCEPT_ID": 8576}]}, "SELECT person_id, dose_era_id, dose_era_start_date, dose_era_end_date FROM dose_era WHERE dose_value > 5.0 AND unit_concept_id = 8576"),
     "DrugEra": ({"CodesetId": 1, "GapDays": {"Op": "eq", "Value": 0}, "EraStartDate": {"Op": "gte", "Value": "1997-01-01"}}, "SELECT person_id, drug_era_id, drug_era_start_date, drug_era_end_date FROM drug_era WHERE drug_concept_id % 2 = 0 AND drug_era_start_date >= DATE '1997-01-01'"),
-    "DrugExposure": ({"CodesetId": 1, "DaysSupply": {"Op": "lte", "Value": 20}, "Refills": {"Op": "!eq", "Value": 2}, "OccurrenceEndDate": {"Op": "lt", "Value": "1999-01-01"}, "GenderCS": {"CodesetId": 3}, "LotNumber": {"Op": "startsWith", "Text": "LOT"}}, "SELECT t.person_id, drug_exposure_id, drug_exposure_start_date, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply) FROM drug_exposure t JOIN person p ON p.person_id = t.person_id WHERE drug_concept_id % 2 = 0 AND days_supply <= 20 AND refills <> 2 AND drug_exposure_start_date < DATE '1999-01-01' AND gender_concept_id = 8507 AND lot_number LIKE 'LOT%'"),
+    "DrugExposure": ({"CodesetId": 1, "DaysSupply": {"Op": "lte", "Value": 20}, "Refills": {"Op": "!eq", "Value": 2}, "OccurrenceEndDate": {"Op": "lt", "Value": "1999-01-01"}, "GenderCS": {"CodesetId": 3}, "LotNumber": {"Op": "startsWith", "Text": "LOT"}}, "SELECT t.person_id, drug_exposure_id, drug_exposure_start_date, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply, drug_exposure_start_date + 1) FROM drug_exposure t JOIN person p ON p.person_id = t.person_id WHERE drug_concept_id % 2 = 0 AND days_supply <= 20 AND refills <> 2 AND drug_exposure_start_date < DATE '1999-01-01' AND gender_concept_id = 8507 AND lot_number LIKE 'LOT%'"),
     "Episode": ({"EpisodeNumber": {"Op": "gte", "Value": 2}}, "SELECT person_id, episode_id, episode_start_date, coalesce(episode_end_date, episode_start_date + 1) FROM episode WHERE episode_number >= 2"),
     "LocationRegion": ({}, "SELECT entity_id, h.location_id, start_date, coalesce(end_date, DATE '2099-12-31') FROM location_history h JOIN location l ON l.location_id = h.location_id WHERE domain_id = 'PERSON'"),
     "Measurement": ({"ValueAsNumber": {"Op": "bt", "Value": 1.5, "Extent": 60}, "RangeHighRatio": {"Op": "lt", "Value": 0.9}, "Abnormal": True, "OperatorCS": {"CodesetId": None, "IsExclusion": False}}, "SELECT person_id, measurement_id, measurement_date, measurement_date + 1 FROM measurement WHERE value_as_number BETWEEN 1.5 AND 60 AND value_as_number / nullif(range_high, 0) < 0.9 AND (value_as_number < range_low OR value_as_number > range_high OR value_as_concept_id IN (4155142, 4155143)) AND operator_concept_id IS NOT NULL"),
@@ -191,7 +191,7 @@ ORACLE_SQL = {
         WITH prim AS (
           SELECT t.person_id, row_number() OVER (PARTITION BY t.person_id ORDER BY drug_exposure_start_date, drug_exposure_id) AS event_id, drug_exposure_start_date AS s, op.observation_period_end_date AS oe
           FROM drug_exposure t JOIN observation_period op ON {_PERIOD.format('drug_exposure_start_date')} WHERE drug_concept_id % 2 = 0 AND op.observation_period_start_date + 30 <= drug_exposure_start_date),
-        eras AS ({_merged("SELECT person_id, drug_exposure_start_date AS s, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply) + 7 AS e FROM drug_exposure WHERE drug_concept_id % 2 = 0", 30)}),
+        eras AS ({_merged("SELECT person_id, drug_exposure_start_date AS s, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply, drug_exposure_start_date + 1) + 7 AS e FROM drug_exposure WHERE drug_concept_id % 2 = 0", 30)}),
         ends AS (
           SELECT person_id, event_id, s, oe AS c FROM prim
           UNION ALL SELECT p.person_id, p.event_id, p.s, r.e FROM prim p JOIN eras r ON r.person_id = p.person_id AND p.s BETWEEN r.s AND r.e
@@ -213,7 +213,7 @@ ORACLE_SQL = {
                  row_number() OVER (PARTITION BY ancestor_concept_id, person_id ORDER BY condition_start_date, condition_occurrence_id) AS rn
           FROM condition_occurrence c JOIN concept_ancestor a ON a.descendant_concept_id = c.condition_concept_id WHERE ancestor_concept_id IN (3001, 3007, 3100)) x WHERE rn = 1"""),
     "criteria_custom_era": with_prefix(f"""
-        WITH eras AS ({_merged(f"SELECT person_id, condition_start_date AS s, {_COND} AS e FROM condition_occurrence WHERE condition_concept_id % 5 = 0 UNION ALL SELECT person_id, drug_exposure_start_date, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply) FROM drug_exposure WHERE drug_concept_id % 2 = 0", 0)})
+        WITH eras AS ({_merged(f"SELECT person_id, condition_start_date AS s, {_COND} AS e FROM condition_occurrence WHERE condition_concept_id % 5 = 0 UNION ALL SELECT person_id, drug_exposure_start_date, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply, drug_exposure_start_date + 1) FROM drug_exposure WHERE drug_concept_id % 2 = 0", 0)})
         SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY s, e) AS event_id, s AS start_date, e AS end_date FROM eras"""),
     **{f"criteria_{kind.lower()}": with_prefix(f"SELECT q.* FROM ({sql}) q(person_id, event_id, start_date, end_date)") for kind, (_, sql) in EVENTS.items()},
 }

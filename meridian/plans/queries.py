@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,14 +55,19 @@ _VOCABULARY = {
     "vocab_hierarchy": (lambda c: V.hierarchy(c, "Condition", "Clinical Finding", ["HLT", "SOC"]), "SELECT concept_id, concept_name, (SELECT t.concept_name FROM concept_ancestor a JOIN concept t ON t.concept_id = a.ancestor_concept_id WHERE a.descendant_concept_id = c.concept_id AND t.concept_class_id = 'HLT' ORDER BY t.concept_id DESC LIMIT 1) AS level1_concept_name, (SELECT t.concept_name FROM concept_ancestor a JOIN concept t ON t.concept_id = a.ancestor_concept_id WHERE a.descendant_concept_id = c.concept_id AND t.concept_class_id = 'SOC' ORDER BY t.concept_id DESC LIMIT 1) AS level2_concept_name FROM concept c WHERE domain_id = 'Condition' AND concept_class_id = 'Clinical Finding'"),
 }
 
-_NEEDED = [1, 3, 101, 108, 109, 110, 113, 116, 117, 111, 220, 420, 502, 620, 720, 820, 920, 1020, 1820, 400, 401, 402, 404, 405, 700, 701, 702, 704, 791, 505]
+#: The distributions that reports read.
 _NEEDED_DIST = [104, 107, 406, 506, 715, 907]
 
 
-@functools.cache
-def _tall(spark, sf_dir: str, kind: str) -> DataFrame:
-    """Results of the analyses that the reports read, written once."""
-    return materialize(engine.run(Cdm(spark, sf_dir), _NEEDED if kind == "counts" else _NEEDED_DIST))
+class _Tall:
+    """Results of analyses as a report asks for them, each analysis written once for a directory."""
+
+    def __init__(self, cdm: Cdm):
+        self.cdm = cdm
+
+    def __call__(self, *ids: int) -> DataFrame:
+        made = [self.cdm.derived(f"analysis {i}", lambda i=i: engine.run(self.cdm, [i])) for i in ids]
+        return functools.reduce(DataFrame.unionByName, made)
 
 
 def _counts_sql(body: str, ids: list[int]) -> str:
@@ -80,7 +86,7 @@ _LEVELS = "(SELECT t.concept_name FROM concept_ancestor a JOIN concept t ON t.co
 
 _REPORTS = {
     **{f"report_share_{i}": ((lambda t, d, c, i=i: R.share_of_persons(t, i)), _counts_sql(f"SELECT CAST(stratum_1 AS BIGINT) AS stratum, count_value, round(CAST(count_value AS DOUBLE) / {_P}, 5) AS share FROM res WHERE analysis_id = {i}", [1, i])) for i in (3, 101, 109, 110, 113)},
-    "report_cumulative_observation": (lambda t, d, c: R.cumulative_share(t, 108), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS stratum, round(CAST((SELECT sum(count_value) FROM res q WHERE analysis_id = 108 AND CAST(q.stratum_1 AS BIGINT) >= CAST(r.stratum_1 AS BIGINT)) AS DOUBLE) / {_P}, 5) AS share FROM res r WHERE analysis_id = 108", [1, 108])),
+    "report_cumulative_observation": (lambda t, d, c: R.cumulative_share(t, 108), _counts_sql(f"SELECT 30 * CAST(r.stratum_1 AS BIGINT) AS days, round(CAST((SELECT sum(count_value) FROM res q WHERE analysis_id = 108 AND CAST(q.stratum_1 AS BIGINT) >= CAST(r.stratum_1 AS BIGINT)) AS DOUBLE) / {_P}, 5) AS share FROM res r WHERE analysis_id = 108", [1, 108])),
     "report_condition_types": (lambda t, d, c: R.concept_counts(t, c["concept"], 405, 3001), _counts_sql("SELECT concept_id, concept_name, stratum_2, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 405 AND stratum_1 = '3001'", [405])),
     **{f"report_month_{i}": ((lambda t, d, c, i=i: R.prevalence_by_month(t, i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(r.stratum_2 AS BIGINT) AS month, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_2 WHERE r.analysis_id = {i}", [117, i])) for i in (402, 702)},
     **{f"report_gender_age_year_{i}": ((lambda t, d, c, i=i: R.prevalence_by_gender_age_year(t, c["concept"], i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(CAST(r.stratum_4 AS BIGINT) * 10 AS VARCHAR) || '-' || CAST(CAST(r.stratum_4 AS BIGINT) * 10 + 9 AS VARCHAR) AS age_decile, concept_name AS gender, CAST(r.stratum_2 AS BIGINT) AS year, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 116 AND q.stratum_1 = r.stratum_2 AND q.stratum_2 = r.stratum_3 AND q.stratum_3 = r.stratum_4 JOIN concept ON CAST(concept_id AS VARCHAR) = r.stratum_3 WHERE r.analysis_id = {i} AND r.stratum_3 IN ('8507', '8532')", [116, i])) for i in (404, 704)},
@@ -92,8 +98,16 @@ _REPORTS = {
 }
 
 
-def _report(make):
-    return lambda spark, sf_dir: make(_tall(spark, sf_dir, "counts"), _tall(spark, sf_dir, "dist"), Cdm(spark, sf_dir))
+def _report(make, sql: str):
+    ids = sorted({int(x) for x in re.findall(r"\) q(\d+)\b", sql)})  # the analyses that its SQL reads
+    counts, dists = [i for i in ids if i not in _NEEDED_DIST], [i for i in ids if i in _NEEDED_DIST]
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        cdm = Cdm(spark, sf_dir)
+        tall = _Tall(cdm)
+        return make(tall(*counts) if counts else None, tall(*dists) if dists else None, cdm)
+
+    return run
 
 
 def era_merge(spark, sf_dir: str) -> DataFrame:
@@ -116,17 +130,35 @@ def translated_sql(spark, sf_dir: str) -> DataFrame:
     return Cdm(spark, sf_dir).sql(statement).select(F.col("y").cast("bigint"), "n", F.col("d").cast("bigint"))
 
 
+_UNITS_SCRIPT = """
+    IF OBJECT_ID('tempdb..#late', 'U') IS NOT NULL DROP TABLE #late;
+    SELECT visit_occurrence_id AS id, visit_start_date AS s, ISNULL(visit_end_date, DATEADD(wk, 1, visit_start_date)) AS e INTO #late FROM @t WHERE visit_start_date >= DATEFROMPARTS(@y, 7, 1);
+    SELECT id, DATEADD(yy, 2, s) AS y2, DATEADD(mm, -1, s) AS m1, DATEADD(qq, 1, s) AS q1, DATEDIFF(year, s, e) AS dy, DATEDIFF(month, s, e) AS dm, DATEDIFF(quarter, s, e) AS dq, DATEDIFF(week, s, e) AS dw, DATEDIFF(dd, s, e) AS dd, 'DATEADD(dd, 1, x) #t' AS quoted FROM #late;
+"""
+
+
+def script_with_units(spark, sf_dir: str) -> DataFrame:
+    """A script of several statements: a temporary table, date arithmetic in every unit, a quoted text that must stay."""
+    rows = sqltemplate.run_script(Cdm(spark, sf_dir), _UNITS_SCRIPT, t="visit_occurrence", y=2000)
+    return rows.select("id", "y2", "m1", "q1", *[F.col(c).cast("bigint").alias(c) for c in ("dy", "dm", "dq", "dw", "dd")], "quoted")
+
+
 QUERIES = {
     **{name: (lambda spark, sf_dir, make=make: make(Cdm(spark, sf_dir))) for name, (make, _) in _VOCABULARY.items()},
-    **{name: _report(make) for name, (make, _) in _REPORTS.items()},
+    **{name: _report(make, sql) for name, (make, sql) in _REPORTS.items()},
     "interval_era_merge": era_merge,
     "storage_export_and_load": stored_visits,
     "sql_translation": translated_sql,
+    "sql_script": script_with_units,
 }
 ORACLE_SQL = {
     **{name: with_prefix(sql) for name, (_, sql) in _VOCABULARY.items()},
     **{name: sql for name, (_, sql) in _REPORTS.items()},
     "interval_era_merge": with_prefix("WITH v AS (SELECT person_id, visit_start_date AS s, coalesce(visit_end_date, visit_start_date) AS e, visit_occurrence_id AS i FROM visit_occurrence WHERE coalesce(visit_end_date, visit_start_date) >= visit_start_date) SELECT person_id, min(s) AS s, max(e) AS e, count(*) AS visits FROM (SELECT *, sum(f) OVER (PARTITION BY person_id ORDER BY s, e, i) AS g FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY person_id ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 >= s THEN 0 ELSE 1 END AS f FROM v) x) y GROUP BY person_id, g"),
     "storage_export_and_load": with_prefix("SELECT CAST(year(visit_start_date) AS INTEGER) AS year, count(*) AS n, count(visit_end_date) AS ended, CAST(0 AS BIGINT) AS admitted FROM visit_occurrence GROUP BY 1"),
+    "sql_script": with_prefix("""
+        SELECT id, CAST(s + INTERVAL 2 YEAR AS DATE) AS y2, CAST(s - INTERVAL 1 MONTH AS DATE) AS m1, CAST(s + INTERVAL 3 MONTH AS DATE) AS q1, date_diff('year', s, e) AS dy, date_diff('month', s, e) AS dm, date_diff('quarter', s, e) AS dq,
+               CAST(floor((e - DATE '1899-12-31') / 7) - floor((s - DATE '1899-12-31') / 7) AS BIGINT) AS dw, CAST(e - s AS BIGINT) AS dd, 'DATEADD(dd, 1, x) #t' AS quoted
+        FROM (SELECT visit_occurrence_id AS id, visit_start_date AS s, coalesce(visit_end_date, visit_start_date + 7) AS e FROM visit_occurrence WHERE visit_start_date >= DATE '2000-07-01') v"""),
     "sql_translation": with_prefix("SELECT year(visit_start_date) AS y, count(*) AS n, CAST(sum(coalesce(visit_end_date, visit_start_date + 1) - visit_start_date) AS BIGINT) AS d FROM visit_occurrence WHERE visit_start_date >= DATE '1999-01-01' GROUP BY 1"),
 }

@@ -26,10 +26,10 @@ def share_of_persons(results: DataFrame, analysis_id: int) -> DataFrame:
 
 
 def cumulative_share(results: DataFrame, analysis_id: int) -> DataFrame:
-    """Share of persons at or above each stratum: a running total from the top, no self join."""
+    """Share of persons with at least so many days (strata are stretches of 30): a running total from the top, no self join."""
     rows = share_of_persons(results, analysis_id)
     above = F.sum("count_value").over(Window.orderBy(F.desc("stratum")))  # strata of one analysis: a short list
-    return rows.crossJoin(F.broadcast(_persons(results))).select("stratum", F.round(above.cast("double") / F.col("persons"), 5).alias("share"))
+    return rows.crossJoin(F.broadcast(_persons(results))).select((F.col("stratum") * 30).alias("days"), F.round(above.cast("double") / F.col("persons"), 5).alias("share"))
 
 
 def concept_counts(results: DataFrame, concept: DataFrame, analysis_id: int, concept_id: int | None = None) -> DataFrame:

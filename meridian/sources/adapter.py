@@ -99,7 +99,7 @@ TABLES: dict[str, str] = {
     "provider": "SELECT s_suppkey AS provider_id, CAST(38004400 + s_nationkey AS BIGINT) AS specialty_concept_id, CAST(s_nationkey % 4 AS BIGINT) AS specialty_source_concept_id, CAST(s_nationkey AS BIGINT) AS care_site_id FROM supplier WHERE s_suppkey % 10 <> 9",
     "care_site": "SELECT CAST(n_nationkey AS BIGINT) AS care_site_id, CAST(n_nationkey AS BIGINT) AS location_id, CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE CAST(8700 + n_regionkey AS BIGINT) END AS place_of_service_concept_id FROM nation WHERE n_nationkey <> 7",
     "location": "SELECT CAST(n_nationkey AS BIGINT) AS location_id, CAST(10000 + n_nationkey * 137 AS VARCHAR(9)) AS zip, CASE WHEN n_nationkey % 9 = 8 THEN NULL ELSE r_name END AS state, CAST(42000000 + n_regionkey AS BIGINT) AS region_concept_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3",
-    "location_history": "SELECT c_custkey AS entity_id, 'PERSON' AS domain_id, CAST(c_nationkey AS BIGINT) AS location_id, DATE '1994-01-01' + CAST(c_custkey % 300 AS INT) AS start_date, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE DATE '1999-01-01' END AS end_date FROM customer",
+    "location_history": "SELECT c_custkey AS entity_id, 'PERSON' AS domain_id, CAST(c_nationkey AS BIGINT) AS location_id, DATE '1994-01-01' + CAST(c_custkey % 300 AS INT) AS start_date, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE DATE '1999-01-01' END AS end_date FROM customer UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'CARE_SITE', CAST(n_nationkey AS BIGINT), DATE '1990-01-01', CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE DATE '1999-06-30' END FROM nation",
     "specimen": "SELECT event_id AS specimen_id, user_id AS person_id, CAST(9700 + event_id % 4 AS BIGINT) AS specimen_concept_id, CAST(ts AS DATE) AS specimen_date, CAST(32850 + event_id % 2 AS BIGINT) AS specimen_type_concept_id, value AS quantity, CAST(8800 + event_id % 3 AS BIGINT) AS unit_concept_id FROM events WHERE event_id % 6 = 1",
     "note": "SELECT event_id AS note_id, user_id AS person_id, CAST(ts AS DATE) AS note_date, CAST(44814637 + event_id % 4 AS BIGINT) AS note_type_concept_id FROM events WHERE event_id % 10 = 3",
     "dose_era": "SELECT drug_era_id AS dose_era_id, person_id, drug_concept_id, CAST(8576 + drug_concept_id % 2 AS BIGINT) AS unit_concept_id, CAST(drug_exposure_count * 2.5 AS DOUBLE) AS dose_value, drug_era_start_date AS dose_era_start_date, drug_era_end_date AS dose_era_end_date FROM drug_era WHERE drug_exposure_count > 1",
