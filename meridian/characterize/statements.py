@@ -21,7 +21,7 @@ _PAID = ("paid_patient_copay", "paid_patient_coinsurance", "paid_patient_deducti
 
 #: Values of distributions: a query with v and, where there are strata, k0; and how many strata.
 VALUES: dict[int, tuple[str, int]] = {
-    213: ("SELECT t.visit_concept_id AS k0, CAST(t.visit_end_date - t.visit_start_date AS BIGINT) AS v FROM visit_occurrence t, observation_period op WHERE op.person_id = t.person_id AND t.visit_start_date >= op.observation_period_start_date AND coalesce(t.visit_end_date, t.visit_start_date) <= op.observation_period_end_date", 1),
+    213: ("SELECT t.visit_concept_id AS k0, CAST(t.visit_end_date - t.visit_start_date AS BIGINT) AS v FROM visit_occurrence t JOIN observation_period op ON op.person_id = t.person_id AND t.visit_start_date >= op.observation_period_start_date AND coalesce(t.visit_end_date, t.visit_start_date) <= op.observation_period_end_date", 1),
     506: (f"SELECT gender_concept_id AS k0, y - year_of_birth AS v FROM person JOIN (SELECT t.person_id, min(year(t.death_date)) AS y FROM {_within('death', 'death_date')} GROUP BY ALL) d USING (person_id)", 1),
     511: (_last("condition_occurrence", "condition_start_date"), 0),
     512: (_last("drug_exposure", "drug_exposure_start_date"), 0),

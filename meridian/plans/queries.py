@@ -56,7 +56,7 @@ _VOCABULARY = {
 }
 
 #: The distributions that reports read.
-_NEEDED_DIST = [104, 107, 406, 506, 715, 907]
+_NEEDED_DIST = [104, 106, 107, 206, 213, 406, 506, 606, 706, 715, 716, 717, 806, 815, 906, 907, 1006, 1007, 1806, 1815, 1816, 1817]
 
 
 class _Tall:
@@ -88,9 +88,14 @@ _REPORTS = {
     **{f"report_share_{i}": ((lambda t, d, c, i=i: R.share_of_persons(t, i)), _counts_sql(f"SELECT CAST(stratum_1 AS BIGINT) AS stratum, count_value, round(CAST(count_value AS DOUBLE) / {_P}, 5) AS share FROM res WHERE analysis_id = {i}", [1, i])) for i in (3, 101, 109, 110, 113)},
     "report_cumulative_observation": (lambda t, d, c: R.cumulative_share(t, 108), _counts_sql(f"SELECT 30 * CAST(r.stratum_1 AS BIGINT) AS days, round(CAST((SELECT sum(count_value) FROM res q WHERE analysis_id = 108 AND CAST(q.stratum_1 AS BIGINT) >= CAST(r.stratum_1 AS BIGINT)) AS DOUBLE) / {_P}, 5) AS share FROM res r WHERE analysis_id = 108", [1, 108])),
     "report_condition_types": (lambda t, d, c: R.concept_counts(t, c["concept"], 405, 3001), _counts_sql("SELECT concept_id, concept_name, stratum_2, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 405 AND stratum_1 = '3001'", [405])),
-    **{f"report_month_{i}": ((lambda t, d, c, i=i: R.prevalence_by_month(t, i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(r.stratum_2 AS BIGINT) AS month, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_2 WHERE r.analysis_id = {i}", [117, i])) for i in (402, 702)},
-    **{f"report_gender_age_year_{i}": ((lambda t, d, c, i=i: R.prevalence_by_gender_age_year(t, c["concept"], i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(CAST(r.stratum_4 AS BIGINT) * 10 AS VARCHAR) || '-' || CAST(CAST(r.stratum_4 AS BIGINT) * 10 + 9 AS VARCHAR) AS age_decile, concept_name AS gender, CAST(r.stratum_2 AS BIGINT) AS year, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 116 AND q.stratum_1 = r.stratum_2 AND q.stratum_2 = r.stratum_3 AND q.stratum_3 = r.stratum_4 JOIN concept ON CAST(concept_id AS VARCHAR) = r.stratum_3 WHERE r.analysis_id = {i} AND r.stratum_3 IN ('8507', '8532')", [116, i])) for i in (404, 704)},
+    **{f"report_month_{i}": ((lambda t, d, c, i=i: R.prevalence_by_month(t, i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(r.stratum_2 AS BIGINT) AS month, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_2 WHERE r.analysis_id = {i}", [117, i])) for i in (202, 402, 602, 702, 802, 902, 1002, 1802)},
+    **{f"report_gender_age_year_{i}": ((lambda t, d, c, i=i: R.prevalence_by_gender_age_year(t, c["concept"], i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(CAST(r.stratum_4 AS BIGINT) * 10 AS VARCHAR) || '-' || CAST(CAST(r.stratum_4 AS BIGINT) * 10 + 9 AS VARCHAR) AS age_decile, concept_name AS gender, CAST(r.stratum_2 AS BIGINT) AS year, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 116 AND q.stratum_1 = r.stratum_2 AND q.stratum_2 = r.stratum_3 AND q.stratum_3 = r.stratum_4 JOIN concept ON CAST(concept_id AS VARCHAR) = r.stratum_3 WHERE r.analysis_id = {i} AND r.stratum_3 IN ('8507', '8532')", [116, i])) for i in (204, 404, 604, 704, 804, 904, 1004, 1804)},
     "report_drug_frequency": (lambda t, d, c: R.frequency(t, c["concept"], 791), _counts_sql(f"SELECT concept_id, concept_name, CAST(stratum_2 AS BIGINT) AS x, round(100.0::DOUBLE * CAST(count_value AS DOUBLE) / {_P}, 4) AS percent FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 791", [1, 791])),
+    **{f"report_frequency_{i}": ((lambda t, d, c, i=i: R.frequency(t, c["concept"], i)), _counts_sql(f"SELECT concept_id, concept_name, CAST(stratum_2 AS BIGINT) AS x, round(100.0::DOUBLE * CAST(count_value AS DOUBLE) / {_P}, 4) AS percent FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = {i}", [1, i])) for i in (691, 891, 1891)},
+    **{f"report_kinds_{i}": ((lambda t, d, c, i=i: R.concept_counts(t, c["concept"], i)), _counts_sql(f"SELECT concept_id, concept_name, stratum_2, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = {i}", [i])) for i in (2, 4, 5, 605, 705, 805, 807, 822, 823, 1805, 1807, 1822, 1823)},
+    "report_values_to_norm": (lambda t, d, c: R.values_to_norm(t, c["concept"]), _counts_sql("SELECT concept_id, concept_name, stratum_2 AS unit, stratum_3 AS place, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 1818", [1818])),
+    "report_deaths_by_month": (lambda t, d, c: R.deaths_by_month(t), _counts_sql("SELECT CAST(r.stratum_1 AS BIGINT) AS month, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_1 WHERE r.analysis_id = 502", [117, 502])),
+    "report_population": (lambda t, d, c: R.population(t), _counts_sql(f"SELECT CAST({_P} AS BIGINT) AS persons", [1])),
     "report_condition_treemap": (lambda t, d, c: R.treemap(t, V.hierarchy(c, "Condition", "Clinical Finding", ["HLT", "SOC"]), 400, 401), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, concat_ws('||', coalesce({_LEVELS.format('SOC')}, 'NA'), coalesce({_LEVELS.format('HLT')}, 'NA'), concept_name) AS concept_path, r.count_value AS num_persons, round(CAST(r.count_value AS DOUBLE) / {_P}, 5) AS percent_persons, round(CAST(q.count_value AS DOUBLE) / r.count_value, 5) AS records_per_person FROM res r JOIN res q ON q.analysis_id = 401 AND q.stratum_1 = r.stratum_1 JOIN concept ON CAST(concept_id AS VARCHAR) = r.stratum_1 WHERE r.analysis_id = 400", [1, 400, 401])),
     "report_total_records": (lambda t, d, c: R.total_records(t), _counts_sql("SELECT CASE analysis_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in R.DENSITY.items()) + f" END AS table_name, CAST(stratum_1 AS BIGINT) AS month, count_value FROM res WHERE analysis_id IN ({', '.join(map(str, R.DENSITY))})", list(R.DENSITY))),
     "report_records_per_person": (lambda t, d, c: R.records_per_person(t), _counts_sql("SELECT CASE r.analysis_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in R.DENSITY.items()) + f" END AS table_name, CAST(r.stratum_1 AS BIGINT) AS month, round(CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS records_per_person FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_1 WHERE r.analysis_id IN ({', '.join(map(str, R.DENSITY))})", [117, *R.DENSITY])),

@@ -106,3 +106,21 @@ def records_per_person(results: DataFrame) -> DataFrame:
     """The same per person under observation in that month."""
     seen = _of(results, 117).select(_number("stratum_1").alias("month"), F.col("count_value").alias("observed"))
     return total_records(results).join(seen, "month").select("table_name", "month", F.round(F.col("count_value").cast("double") / F.col("observed"), 5).alias("records_per_person"))
+
+
+def values_to_norm(results: DataFrame, concept: DataFrame) -> DataFrame:
+    """Records below, within and above the normal range, by concept and unit."""
+    label = concept.select(F.col("concept_id").cast("string").alias("stratum_1"), "concept_name")
+    rows = _of(results, 1818).join(label, "stratum_1")
+    return rows.select(_number("stratum_1").alias("concept_id"), "concept_name", F.col("stratum_2").alias("unit"), F.col("stratum_3").alias("place"), "count_value")
+
+
+def deaths_by_month(results: DataFrame) -> DataFrame:
+    """Deaths per thousand persons observed in each month."""
+    seen = _of(results, 117).select(F.col("stratum_1").alias("m"), F.col("count_value").alias("observed"))
+    rows = _of(results, 502).join(seen, F.col("stratum_1") == F.col("m"))
+    return rows.select(_number("m").alias("month"), F.round(1000.0 * F.col("count_value").cast("double") / F.col("observed"), 5).alias("prevalence_1000pp"))
+
+
+def population(results: DataFrame) -> DataFrame:
+    return _persons(results)

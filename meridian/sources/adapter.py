@@ -7,6 +7,7 @@ before it. Spark gets DataFrames from it, the DuckDB oracles a common WITH prefi
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -114,6 +115,8 @@ TABLES: dict[str, str] = {
           UNION ALL SELECT 3200, 'All conditions', 'Condition', 'MedDRA', 'SOC', 'C', 'ALLC', NULL
           UNION ALL SELECT 4200, 'All drugs', 'Drug', 'ATC', 'ATC 1st', 'C', 'ALLD', NULL
           UNION ALL SELECT 8507, 'MALE', 'Gender', 'Gender', 'Gender', 'S', 'M', NULL UNION ALL SELECT 8532, 'FEMALE', 'Gender', 'Gender', 'Gender', 'S', 'F', NULL
+          UNION ALL SELECT * FROM (VALUES (9001, 'Viewed', 'Measurement', 'LOINC', 'Lab Test', 'S', 'V1', NULL), (9002, 'Clicked', 'Measurement', 'LOINC', 'Lab Test', 'S', 'V2', NULL), (9003, 'Bought', 'Measurement', 'LOINC', 'Lab Test', 'S', 'V3', NULL), (9101, 'Error', 'Observation', 'LOINC', 'Survey', 'S', 'E1', NULL), (9102, 'Other', 'Observation', 'LOINC', 'Survey', 'S', 'E2', NULL)) m(c1, c2, c3, c4, c5, c6, c7, c8)
+          UNION ALL SELECT * FROM (VALUES (9201, 'Inpatient Visit', 'Visit', 'Visit', 'Visit', 'S', 'IP', NULL), (9202, 'Outpatient Visit', 'Visit', 'Visit', 'Visit', 'S', 'OP', NULL), (9203, 'Emergency Room Visit', 'Visit', 'Visit', 'Visit', 'S', 'ER', NULL), (2001, 'Group 1', 'Ethnicity', 'Ethnicity', 'Ethnicity', 'S', 'G1', NULL), (1001, 'Race 1', 'Race', 'Race', 'Race', 'S', 'R1', NULL)) v(c1, c2, c3, c4, c5, c6, c7, c8)
           UNION ALL SELECT DISTINCT 6000 + p_partkey % 20, 'Source condition ' || CAST(p_partkey % 20 AS VARCHAR(9)), 'Condition', 'ICD10CM', 'Code', NULL, 'I' || CAST(p_partkey % 20 AS VARCHAR(9)), NULL FROM part) c""",
     "concept_ancestor": """
         SELECT CAST(a AS BIGINT) AS ancestor_concept_id, CAST(d AS BIGINT) AS descendant_concept_id, CAST(lo AS INT) AS min_levels_of_separation, CAST(lo AS INT) AS max_levels_of_separation FROM (
@@ -180,6 +183,15 @@ class Cdm:
                 self._made[name] = materialize(self.sql(TABLES[name]))
         return self._made[name]
 
+    def load(self, names: list[str] | None = None, threads: int = 6) -> None:
+        """Writes derived tables that are not there yet; those that don't read each other at the same time."""
+        todo = [t for t in TABLES if names is None or t in names]
+        while todo:
+            ready = [t for t in todo if not any(o in todo for o in needs(TABLES[t]))]
+            with ThreadPoolExecutor(threads) as pool:
+                list(pool.map(self.__getitem__, ready))
+            todo = [t for t in todo if t not in ready]
+
     def derived(self, name: str, make) -> DataFrame:
         """A further table under a name of its own, written like the others when first asked for."""
         if name not in self._made:
