@@ -82,17 +82,21 @@ def search(cdm, text: str, limit: int = 20_000, **filters: list[str]) -> DataFra
 
 
 def search_lexical(cdm, words: list[str], limit: int = 100) -> DataFrame:
-    """Standard concepts whose name or synonym holds all words, by how much of it the words make up."""
-    names = cdm["concept"].filter("standard_concept = 'S'").select("concept_id", F.lower("concept_name").alias("n"))
-    more = cdm["concept_synonym"].join(names.select("concept_id"), "concept_id", "left_semi").select("concept_id", F.lower("concept_synonym_name").alias("n"))
-    rows = names.union(more).distinct()
-    rest = F.col("n")
-    for w in words:
-        rows = rows.filter(F.contains("n", F.lit(w.lower())))
-        rest = F.replace(rest, F.lit(w.lower()), F.lit(""))
-    score = F.round(1 - F.length(rest).cast("double") / F.length("n"), 6)
-    best = rows.select("concept_id", score.alias("score")).groupBy("concept_id").agg(F.max("score").alias("score"))
-    return best.orderBy(F.desc("score"), "concept_id").limit(limit)
+    """Standard concepts whose name, or one of whose synonyms, holds all words; by the share of the name that the words make up.
+
+    Lengths are those without blanks and hyphens; ties by id.
+    """
+    def holds(name: str) -> Column:
+        return reduce(Column.__and__, [F.contains(F.lower(name), F.lit(w.lower())) for w in words], F.lit(True))
+
+    def size(text: Column) -> Column:
+        return F.length(F.regexp_replace(text, "[ -]", ""))
+
+    hits = cdm["concept"].filter(holds("concept_name")).select("concept_id").union(cdm["concept_synonym"].filter(holds("concept_synonym_name")).select("concept_id")).distinct()
+    rest = reduce(lambda text, w: F.replace(text, F.lit(w.lower()), F.lit("")), words, F.lower("concept_name"))
+    score = F.round(1 - size(rest).cast("double") / size(F.col("concept_name")), 6)
+    found = cdm["concept"].filter("standard_concept = 'S'").join(hits, "concept_id", "left_semi").select("concept_id", "concept_name", score.alias("score"))
+    return found.orderBy(F.desc("score"), "concept_id").limit(limit)
 
 
 def descendants(cdm, ids: list[int], others_only: bool = False) -> DataFrame:
@@ -166,10 +170,24 @@ def compare(cdm, first: dict, second: dict) -> DataFrame:
     return both.select("concept_id", flag(F.col("b").isNull()).alias("only_first"), flag(F.col("a").isNull()).alias("only_second"), flag(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("in_both"))
 
 
-def optimize(cdm, ids: list[int]) -> DataFrame:
-    """Of chosen concepts (each standing for its descendants), those that no other chosen one subsumes."""
-    inside = cdm["concept_ancestor"].filter(F.col("ancestor_concept_id").isin(ids) & F.col("descendant_concept_id").isin(ids) & (F.col("ancestor_concept_id") != F.col("descendant_concept_id")))
-    return cdm["concept"].filter(F.col("concept_id").isin(ids)).join(inside.select(F.col("descendant_concept_id").alias("concept_id")), "concept_id", "left_anti").select("concept_id", "concept_name")
+def optimize(cdm, ids: list[int], below: list[int]) -> DataFrame:
+    """Chosen concepts that are valid, with ``removed`` 1 where another one, chosen with its descendants (``below``), subsumes them."""
+    chosen = cdm["concept"].filter(F.col("concept_id").isin(ids) & F.col("invalid_reason").isNull()).select("concept_id", "concept_name")
+    pairs = cdm["concept_ancestor"].filter(F.col("ancestor_concept_id").isin(below) & (F.col("ancestor_concept_id") != F.col("descendant_concept_id")))
+    subsumed = pairs.select(F.col("descendant_concept_id").alias("concept_id")).distinct().withColumn("s", F.lit(1))
+    return chosen.join(subsumed, "concept_id", "left").select("concept_id", "concept_name", F.coalesce("s", F.lit(0)).alias("removed"))
+
+
+def ancestor_pairs(cdm, ancestors: list[int]) -> DataFrame:
+    """Ancestors with all their descendants, and every known one with itself."""
+    pairs = cdm["concept_ancestor"].filter(F.col("ancestor_concept_id").isin(ancestors)).select(F.col("ancestor_concept_id").alias("ancestor_id"), F.col("descendant_concept_id").alias("descendant_id"))
+    return pairs.union(cdm["concept"].filter(F.col("concept_id").isin(ancestors)).select("concept_id", "concept_id")).distinct()
+
+
+def pairs_between(cdm, ancestors: list[int], descendants: list[int]) -> DataFrame:
+    """Which of some ancestors lie above which of some descendants."""
+    rows = cdm["concept_ancestor"].filter(F.col("ancestor_concept_id").isin(ancestors) & F.col("descendant_concept_id").isin(descendants))
+    return rows.select(F.col("ancestor_concept_id").alias("ancestor_id"), F.col("descendant_concept_id").alias("descendant_id")).distinct()
 
 
 def domains(cdm) -> DataFrame:

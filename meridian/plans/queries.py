@@ -31,7 +31,7 @@ _OWN = "SELECT condition_concept_id AS concept_id, count(*) AS n FROM condition_
 _VOCABULARY = {
     "vocab_concept_set": (lambda c: V.concept_set(c, _A), f"SELECT c AS concept_id FROM {_SET_A} s"),
     "vocab_search": (lambda c: V.search(c, "drug 1", standard_concept=["S"]), f"SELECT {_LABELLED} FROM concept WHERE (lower(concept_name) LIKE '%drug 1%' OR lower(concept_code) LIKE '%drug 1%' OR CAST(concept_id AS VARCHAR) = 'drug 1') AND standard_concept = 'S'"),
-    "vocab_search_lexical": (lambda c: V.search_lexical(c, ["condition", "3"]), "SELECT concept_id, max(round(1 - CAST(length(replace(replace(n, 'condition', ''), '3', '')) AS DOUBLE) / length(n), 6)) AS score FROM (SELECT concept_id, lower(concept_name) AS n FROM concept WHERE standard_concept = 'S' UNION SELECT s.concept_id, lower(concept_synonym_name) FROM concept_synonym s JOIN concept c ON c.concept_id = s.concept_id WHERE standard_concept = 'S') x WHERE n LIKE '%condition%' AND n LIKE '%3%' GROUP BY concept_id"),
+    "vocab_search_lexical": (lambda c: V.search_lexical(c, ["condition", "3"]), "SELECT concept_id, concept_name, round(1 - CAST(length(replace(replace(replace(replace(lower(concept_name), 'condition', ''), '3', ''), ' ', ''), '-', '')) AS DOUBLE) / length(replace(replace(concept_name, ' ', ''), '-', '')), 6) AS score FROM concept WHERE standard_concept = 'S' AND concept_id IN (SELECT concept_id FROM concept WHERE lower(concept_name) LIKE '%condition%' AND lower(concept_name) LIKE '%3%' UNION SELECT concept_id FROM concept_synonym WHERE lower(concept_synonym_name) LIKE '%condition%' AND lower(concept_synonym_name) LIKE '%3%') ORDER BY score DESC, concept_id LIMIT 100"),
     "vocab_concepts": (lambda c: V.get_concepts(c, [3001, 3049, 6001, 4200]), f"SELECT {_LABELLED} FROM concept WHERE concept_id IN (3001, 3049, 6001, 4200)"),
     "vocab_codes": (lambda c: V.lookup_codes(c, ["C1", "D2", "I3"]), f"SELECT {_LABELLED} FROM concept WHERE concept_code IN ('C1', 'D2', 'I3')"),
     "vocab_code_and_vocabulary": (lambda c: V.by_code_and_vocabulary(c, [("C1", "SNOMED"), ("D2", "SNOMED")]), "SELECT concept_id, concept_code, vocabulary_id FROM concept WHERE (concept_code, vocabulary_id) IN (('C1', 'SNOMED'), ('D2', 'SNOMED'))"),
@@ -48,7 +48,9 @@ _VOCABULARY = {
     "vocab_standard_targets": (lambda c: V.standard_targets(c, [6001, 6002, 6019]), "SELECT concept_id, concept_name, count(DISTINCT concept_id_1) AS mapped_from FROM concept_relationship r JOIN concept c ON concept_id = concept_id_2 WHERE relationship_id = 'Maps to' AND r.invalid_reason IS NULL AND concept_id_1 IN (6001, 6002, 6019) AND standard_concept IN ('S', 'C') GROUP BY ALL"),
     "vocab_recommended": (lambda c: V.recommended(c, [3001, 3039]), "SELECT DISTINCT concept_id, concept_name, relationship_id FROM concept_recommended JOIN concept ON concept_id = concept_id_2 WHERE concept_id_1 IN (3001, 3039)"),
     "vocab_compare": (lambda c: V.compare(c, _A, _B), f"SELECT coalesce(a.c, b.d) AS concept_id, CASE WHEN b.d IS NULL THEN 1 ELSE 0 END AS only_first, CASE WHEN a.c IS NULL THEN 1 ELSE 0 END AS only_second, CASE WHEN a.c = b.d THEN 1 ELSE 0 END AS in_both FROM {_SET_A} a FULL OUTER JOIN {_IN.format('3100, 3101')} b(d) ON a.c = b.d"),
-    "vocab_optimize": (lambda c: V.optimize(c, [3100, 3000, 3001, 4003, 4100]), "SELECT concept_id, concept_name FROM concept c WHERE concept_id IN (3100, 3000, 3001, 4003, 4100) AND NOT EXISTS (SELECT 1 FROM concept_ancestor a WHERE a.descendant_concept_id = c.concept_id AND a.ancestor_concept_id <> c.concept_id AND a.ancestor_concept_id IN (3100, 3000, 3001, 4003, 4100))"),
+    "vocab_optimize": (lambda c: V.optimize(c, [3100, 3000, 3001, 3049, 4003, 4100, 4005], [3100, 4100]), "SELECT concept_id, concept_name, CASE WHEN EXISTS (SELECT 1 FROM concept_ancestor a WHERE a.descendant_concept_id = c.concept_id AND a.ancestor_concept_id <> c.concept_id AND a.ancestor_concept_id IN (3100, 4100)) THEN 1 ELSE 0 END AS removed FROM concept c WHERE invalid_reason IS NULL AND concept_id IN (3100, 3000, 3001, 3049, 4003, 4100, 4005)"),
+    "vocab_ancestor_pairs": (lambda c: V.ancestor_pairs(c, [3100, 3200, 8507, 6001]), "SELECT ancestor_concept_id AS ancestor_id, descendant_concept_id AS descendant_id FROM concept_ancestor WHERE ancestor_concept_id IN (3100, 3200, 8507, 6001) UNION SELECT concept_id, concept_id FROM concept WHERE concept_id IN (3100, 3200, 8507, 6001)"),
+    "vocab_pairs_between": (lambda c: V.pairs_between(c, [3100, 3200, 4100], [3000, 3001, 4002, 4003]), "SELECT DISTINCT ancestor_concept_id AS ancestor_id, descendant_concept_id AS descendant_id FROM concept_ancestor JOIN (VALUES (3100), (3200), (4100)) a(x) ON x = ancestor_concept_id WHERE descendant_concept_id IN (3000, 3001, 4002, 4003)"),
     "vocab_domains": (V.domains, "SELECT domain_id, count(*) AS n FROM concept GROUP BY domain_id"),
     "vocab_vocabularies": (V.vocabularies, "SELECT vocabulary_id, count(*) AS n FROM concept GROUP BY vocabulary_id"),
     "vocab_concept_counts": (lambda c: V.concept_counts(c, c["condition_occurrence"].groupBy(F.col("condition_concept_id").alias("concept_id")).agg(F.count("*").alias("n"))), f"SELECT e.concept_id, CAST(coalesce((SELECT n FROM ({_OWN}) o WHERE o.concept_id = e.concept_id), 0) AS BIGINT) AS record_count, CAST(coalesce((SELECT sum(n) FROM ({_OWN}) o JOIN concept_ancestor a ON a.descendant_concept_id = o.concept_id WHERE a.ancestor_concept_id = e.concept_id), 0) AS BIGINT) AS descendant_record_count FROM (SELECT concept_id FROM concept UNION SELECT ancestor_concept_id FROM concept_ancestor) e"),
