@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import inside_period, merge_eras
 from ..operators.vocabulary import codesets
+from ..sources import storage
 from ..sources.scratch import materialize
 from .criteria import SPECS, Evaluator, date_range, day, whole_number
 
@@ -293,6 +294,54 @@ def censor_statistics(cohort: Cohort) -> DataFrame:
     return lost.agg(F.count("*").alias("lost_count"))
 
 
+def inclusion_groups(cohort: Cohort) -> DataFrame:
+    """(mode_id, rules_met, name, size): what events or persons met, as one 0 or 1 for each rule in order, by how many rules they met."""
+    bit = [F.when(F.col("inclusion_rule_mask").bitwiseAND(F.lit(1 << i)) != 0, "1").otherwise("0") for i in range(len(cohort.rule_names))]
+    return inclusion_results(cohort).select("mode_id", F.bit_count("inclusion_rule_mask").alias("rules_met"), F.concat(F.lit(""), *bit).alias("name"), F.col("person_count").alias("size"))
+
+
+def inclusion_report(cdm, cohort: Cohort, mode: int = 0) -> dict:
+    """The report of a generated cohort: its summary, each rule's shares, and the masks as a tree, most rules first.
+
+    What reaches the driver is one row per rule and per mask that occurs. Without events all counts are 0.
+    """
+    def share(n: int, d: int) -> str:
+        return f"{100.0 * n / d:.2f}%" if d else "0.00%"
+
+    in_mode = F.col("mode_id") == mode
+    total = summary_statistics(cohort).filter(in_mode).first()
+    base, final = (total.base_count, total.final_count) if total else (0, 0)
+    stats = {r.rule_sequence: r for r in rule_statistics(cdm, cohort).filter(in_mode).collect()}
+    rules = []
+    for i, name in enumerate(cohort.rule_names):
+        met, of = (stats[i].person_count, stats[i].person_total) if i in stats else (0, 0)
+        rules.append({"id": i, "name": name, "countSatisfying": met, "percentSatisfying": share(met, of), "percentExcluded": share(of - met, of)})
+    groups: dict[int, list[dict]] = {}
+    for r in inclusion_groups(cohort).filter(in_mode).orderBy("name").collect():
+        groups.setdefault(r.rules_met, []).append({"name": r.name, "size": r.size})
+    return {
+        "summary": {"baseCount": base, "finalCount": final, "lostCount": censor_statistics(cohort).first().lost_count, "percentMatched": share(final, base)},
+        "inclusionRuleStats": rules,
+        "treemapData": {"name": "Everyone", "children": [{"name": f"Group {n}", "children": groups[n]} for n in sorted(groups, reverse=True)]},
+    }
+
+
+def store(cdm, definition: dict | str, path: str, cohort_id: int = 1) -> Cohort:
+    """Generates a cohort and replaces its rows, its rules and all their statistics in the result tables below ``path``."""
+    cohort = Builder(cdm, definition).build()
+    storage.init_results(cdm.spark, path)
+    rules = [(i, name, None) for i, name in enumerate(cohort.rule_names)]
+    of = {"cohort_definition_id": cohort_id}
+    storage.upsert(cohort.rows, path, "cohort", **of)
+    storage.upsert(cdm.spark.createDataFrame(rules, "rule_sequence int, name string, description string"), path, "cohort_inclusion", **of)
+    storage.upsert(censor_statistics(cohort), path, "cohort_censor_stats", **of)
+    made = {"cohort_inclusion_result": inclusion_results(cohort), "cohort_inclusion_stats": rule_statistics(cdm, cohort), "cohort_summary_stats": summary_statistics(cohort)}
+    for table, rows in made.items():
+        for mode in (0, 1):
+            storage.upsert(rows.filter(F.col("mode_id") == mode), path, table, **of, mode_id=mode)
+    return cohort
+
+
 def negative_controls(cdm, concept_ids: list[int], first: bool = True) -> DataFrame:
     """Outcome cohorts of single concepts with their descendants: first or all occurrences of conditions."""
     below = cdm["concept_ancestor"].filter(F.col("ancestor_concept_id").isin(concept_ids)).select(F.col("ancestor_concept_id").alias("cohort_definition_id"), F.col("descendant_concept_id").alias("condition_concept_id"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import storage
 from ..sources.adapter import Cdm, with_prefix
+from ..sources.scratch import scratch_dir
 from . import generate as G
 from .criteria import SPECS, Evaluator
 
@@ -89,6 +93,22 @@ def attrition_censored(spark, sf_dir: str) -> DataFrame:
     return G.censor_statistics(G.Builder(cdm, ATTRITION).build())
 
 
+def attrition_groups(spark, sf_dir: str) -> DataFrame:
+    return G.inclusion_groups(G.Builder(Cdm(spark, sf_dir), ATTRITION).build()).select(F.col("mode_id").cast("int"), F.col("rules_met").cast("int"), "name", "size")
+
+
+def stored_statistics(spark, sf_dir: str) -> DataFrame:
+    """A cohort and its statistics written into the result tables, then replaced by another definition's, and its rules read back."""
+    cdm = Cdm(spark, sf_dir)
+    path = f"{scratch_dir(spark)}/results-{uuid.uuid4().hex}"
+    G.store(cdm, FLAGSHIP, path, 5)
+    G.store(cdm, FLAGSHIP, path, 4)
+    G.store(cdm, ATTRITION, path, 5)
+    rules = storage.read_results(spark, path, "cohort_inclusion")
+    stats = storage.read_results(spark, path, "cohort_inclusion_stats").filter("cohort_definition_id = 5")
+    return stats.join(rules, ["cohort_definition_id", "rule_sequence"]).select("cohort_definition_id", "mode_id", "rule_sequence", "name", "person_count", "gain_count", "person_total")
+
+
 #: One criterion of each type, with filters of every kind, and its SQL: rows of (person_id, event_id, start, end).
 EVENTS: dict[str, tuple[dict, str]] = {
     "ConditionEra": ({"CodesetId": 0, "EraLength": {"Op": "gt", "Value": 3}, "OccurrenceCount": {"Op": "gte", "Value": 1}, "AgeAtStart": {"Op": "lt", "Value": 60}}, "SELECT e.person_id, condition_era_id AS event_id, condition_era_start_date AS s, condition_era_end_date AS e FROM condition_era e JOIN person p ON p.person_id = e.person_id WHERE condition_concept_id % 5 = 0 AND condition_era_end_date - condition_era_start_date > 3 AND year(condition_era_start_date) - year_of_birth < 60"),
@@ -142,6 +162,8 @@ QUERIES = {
     "cohort_rule_statistics": attrition_rules,
     "cohort_summary_statistics": attrition_summary,
     "cohort_censor_statistics": attrition_censored,
+    "cohort_inclusion_groups": attrition_groups,
+    "cohort_stored_statistics": stored_statistics,
     "cohort_negative_controls": negative_controls,
     "criteria_custom_era": custom_era_events,
     **{f"criteria_{kind.lower()}": criterion_events(kind) for kind in SPECS},
@@ -185,6 +207,8 @@ ORACLE_SQL = {
     "cohort_attrition": with_prefix(f"WITH {_ATTRITION}, eras AS ({_ATTRITION_ERAS}) SELECT CAST(1 AS INTEGER) AS cohort_definition_id, person_id AS subject_id, greatest(s, DATE '1996-06-01') AS cohort_start_date, least(e, DATE '2000-12-31') AS cohort_end_date FROM eras WHERE greatest(s, DATE '1996-06-01') <= least(e, DATE '2000-12-31')"),
     "cohort_inclusion_masks": with_prefix(f"WITH {_ATTRITION} SELECT mode_id, m AS inclusion_rule_mask, n AS person_count FROM masks"),
     "cohort_rule_statistics": with_prefix(f"WITH {_ATTRITION} SELECT mode_id, CAST(r AS INTEGER) AS rule_sequence, CAST(sum(CASE WHEN (m >> CAST(r AS INTEGER)) & 1 = 1 THEN n ELSE 0 END) AS BIGINT) AS person_count, CAST(sum(CASE WHEN m = 7 - (1 << CAST(r AS INTEGER)) THEN n ELSE 0 END) AS BIGINT) AS gain_count, CAST(sum(n) AS BIGINT) AS person_total FROM masks CROSS JOIN range(3) g(r) GROUP BY mode_id, r"),
+    "cohort_inclusion_groups": with_prefix(f"WITH {_ATTRITION} SELECT mode_id, CAST(m % 2 + m // 2 % 2 + m // 4 AS INTEGER) AS rules_met, CAST(m % 2 AS VARCHAR) || CAST(m // 2 % 2 AS VARCHAR) || CAST(m // 4 AS VARCHAR) AS name, n AS size FROM masks"),
+    "cohort_stored_statistics": with_prefix(f"WITH {_ATTRITION} SELECT CAST(5 AS INTEGER) AS cohort_definition_id, mode_id, CAST(r AS INTEGER) AS rule_sequence, CASE r WHEN 0 THEN 'a drug within 90 days' WHEN 1 THEN 'no procedure in the period afterwards' ELSE 'women, or two drugs' END AS name, CAST(sum(CASE WHEN (m >> CAST(r AS INTEGER)) & 1 = 1 THEN n ELSE 0 END) AS BIGINT) AS person_count, CAST(sum(CASE WHEN m = 7 - (1 << CAST(r AS INTEGER)) THEN n ELSE 0 END) AS BIGINT) AS gain_count, CAST(sum(n) AS BIGINT) AS person_total FROM masks CROSS JOIN range(3) g(r) GROUP BY mode_id, r"),
     "cohort_summary_statistics": with_prefix(f"WITH {_ATTRITION} SELECT mode_id, CAST(sum(n) AS BIGINT) AS base_count, CAST(sum(CASE WHEN m = 7 THEN n ELSE 0 END) AS BIGINT) AS final_count FROM masks GROUP BY mode_id"),
     "cohort_censor_statistics": with_prefix(f"WITH {_ATTRITION}, eras AS ({_ATTRITION_ERAS}) SELECT count(*) AS lost_count FROM (SELECT DISTINCT person_id FROM eras EXCEPT SELECT person_id FROM eras WHERE greatest(s, DATE '1996-06-01') <= least(e, DATE '2000-12-31')) x"),
     "cohort_drug_era_exit": with_prefix(f"""

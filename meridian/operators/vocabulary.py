@@ -198,6 +198,40 @@ def vocabularies(cdm) -> DataFrame:
     return cdm["concept"].groupBy("vocabulary_id").agg(F.count("*").alias("n"))
 
 
+def domain_list(cdm) -> DataFrame:
+    return cdm["domain"].select("domain_id", "domain_name", "domain_concept_id").orderBy("domain_name")
+
+
+def vocabulary_list(cdm) -> DataFrame:
+    return cdm["vocabulary"].select("vocabulary_id", "vocabulary_name", "vocabulary_reference", "vocabulary_version", "vocabulary_concept_id").orderBy("vocabulary_name")
+
+
+def version(cdm) -> DataFrame:
+    """The version of the vocabularies as a whole."""
+    return cdm["vocabulary"].filter("vocabulary_id = 'None'").select("vocabulary_version")
+
+
+def mapped_from(cdm, ids: list[int]) -> DataFrame:
+    """Standard and classification concepts with each of the given ones that maps to them."""
+    maps = cdm["concept_relationship"].filter("relationship_id = 'Maps to' AND invalid_reason IS NULL").filter(F.col("concept_id_1").isin(ids))
+    good = cdm["concept"].filter("standard_concept IN ('S', 'C')").select("concept_id")
+    return maps.join(good, F.col("concept_id_2") == F.col("concept_id")).select("concept_id", F.col("concept_id_1").cast("string").alias("mapped_from_id")).distinct()
+
+
+def related_filtered(cdm, ids: list[int], **filters: list[str]) -> DataFrame:
+    """Labels of all that the given concepts are connected to (as in ``related``, themselves as their own ancestors included); filters by columns of the label."""
+    relations, pairs = cdm["concept_relationship"], cdm["concept_ancestor"]
+    known = relations.join(cdm["relationship"], "relationship_id", "left_semi")
+    direct = known.filter(F.col("concept_id_1").isin(ids) & F.col("invalid_reason").isNull()).select(F.col("concept_id_2").alias("concept_id"))
+    up = pairs.filter(F.col("descendant_concept_id").isin(ids)).select("ancestor_concept_id")
+    below = pairs.filter(F.col("ancestor_concept_id").isin(ids)).select("descendant_concept_id").distinct()
+    sources = known.filter("relationship_id = 'Mapped from'").join(below, F.col("concept_id_1") == F.col("descendant_concept_id")).select("concept_id_2")
+    rows = _labelled(cdm["concept"].join(direct.union(up).union(below).union(sources).distinct(), "concept_id", "left_semi"))
+    for column, allowed in filters.items():
+        rows = rows.filter(F.col(column).isin(allowed))
+    return rows.orderBy("concept_name", "concept_id")
+
+
 def concept_counts(cdm, own: DataFrame) -> DataFrame:
     """Record counts of concepts (concept_id, n) with those of their descendants, for every concept and ancestor; 0 where absent."""
     every = cdm["concept"].select("concept_id").union(cdm["concept_ancestor"].select("ancestor_concept_id")).distinct()

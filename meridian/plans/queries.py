@@ -8,8 +8,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..characterize import engine, oracle
-from ..operators import intervals
+from ..characterize import engine, oracle, runner
+from ..operators import hierarchy, intervals
 from ..operators import vocabulary as V
 from ..sources import storage
 from ..sources.adapter import Cdm, with_prefix
@@ -54,6 +54,15 @@ _VOCABULARY = {
     "vocab_domains": (V.domains, "SELECT domain_id, count(*) AS n FROM concept GROUP BY domain_id"),
     "vocab_vocabularies": (V.vocabularies, "SELECT vocabulary_id, count(*) AS n FROM concept GROUP BY vocabulary_id"),
     "vocab_concept_counts": (lambda c: V.concept_counts(c, c["condition_occurrence"].groupBy(F.col("condition_concept_id").alias("concept_id")).agg(F.count("*").alias("n"))), f"SELECT e.concept_id, CAST(coalesce((SELECT n FROM ({_OWN}) o WHERE o.concept_id = e.concept_id), 0) AS BIGINT) AS record_count, CAST(coalesce((SELECT sum(n) FROM ({_OWN}) o JOIN concept_ancestor a ON a.descendant_concept_id = o.concept_id WHERE a.ancestor_concept_id = e.concept_id), 0) AS BIGINT) AS descendant_record_count FROM (SELECT concept_id FROM concept UNION SELECT ancestor_concept_id FROM concept_ancestor) e"),
+    "vocab_domain_list": (V.domain_list, "SELECT domain_id, domain_name, domain_concept_id FROM domain"),
+    "vocab_vocabulary_list": (V.vocabulary_list, "SELECT vocabulary_id, vocabulary_name, vocabulary_reference, vocabulary_version, vocabulary_concept_id FROM vocabulary"),
+    "vocab_version": (V.version, "SELECT vocabulary_version FROM vocabulary WHERE vocabulary_id = 'None'"),
+    "vocab_mapped_from": (lambda c: V.mapped_from(c, [6001, 6002, 6019, 3001]), "SELECT DISTINCT c.concept_id, CAST(concept_id_1 AS VARCHAR) AS mapped_from_id FROM concept_relationship r JOIN concept c ON c.concept_id = concept_id_2 WHERE relationship_id = 'Maps to' AND r.invalid_reason IS NULL AND concept_id_1 IN (6001, 6002, 6019, 3001) AND standard_concept IN ('S', 'C')"),
+    "vocab_related_filtered": (lambda c: V.related_filtered(c, [3002, 3100], vocabulary_id=["ICD10CM", "MedDRA"]), f"""SELECT {_LABELLED} FROM concept WHERE vocabulary_id IN ('ICD10CM', 'MedDRA') AND concept_id IN (
+        SELECT concept_id_2 FROM concept_relationship WHERE invalid_reason IS NULL AND concept_id_1 IN (3002, 3100)
+        UNION SELECT ancestor_concept_id FROM concept_ancestor WHERE descendant_concept_id IN (3002, 3100) UNION SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id IN (3002, 3100)
+        UNION SELECT concept_id_2 FROM concept_relationship JOIN concept_ancestor ON descendant_concept_id = concept_id_1 WHERE relationship_id = 'Mapped from' AND ancestor_concept_id IN (3002, 3100))"""),
+    "vocab_concept_hierarchy": (hierarchy.concept_hierarchy, f"{hierarchy.SQL} SELECT * FROM hier"),
     "vocab_hierarchy": (lambda c: V.hierarchy(c, "Condition", "Clinical Finding", ["HLT", "SOC"]), "SELECT concept_id, concept_name, (SELECT t.concept_name FROM concept_ancestor a JOIN concept t ON t.concept_id = a.ancestor_concept_id WHERE a.descendant_concept_id = c.concept_id AND t.concept_class_id = 'HLT' ORDER BY t.concept_id DESC LIMIT 1) AS level1_concept_name, (SELECT t.concept_name FROM concept_ancestor a JOIN concept t ON t.concept_id = a.ancestor_concept_id WHERE a.descendant_concept_id = c.concept_id AND t.concept_class_id = 'SOC' ORDER BY t.concept_id DESC LIMIT 1) AS level2_concept_name FROM concept c WHERE domain_id = 'Condition' AND concept_class_id = 'Clinical Finding'"),
 }
 
@@ -84,12 +93,31 @@ def _dist_sql(body: str, ids: list[int]) -> str:
 
 _P = "(SELECT count_value FROM res WHERE analysis_id = 1)"
 _DISTS = "min_value, max_value, median_value, p10_value, p25_value, p75_value, p90_value"
-_LEVELS = "(SELECT t.concept_name FROM concept_ancestor a JOIN concept t ON t.concept_id = a.ancestor_concept_id WHERE a.descendant_concept_id = CAST(r.stratum_1 AS BIGINT) AND t.concept_class_id = '{0}' ORDER BY t.concept_id DESC LIMIT 1)"
+_PATH_SQL = {k: " || '||' || ".join(f"coalesce({f'level{i}_concept_name' if i else 'concept_name'}, 'NA')" for i in v) for k, v in R.PATHS.items()}
+
+
+def _treemap_sql(domain: str) -> str:
+    shape, persons, other, rounded = R.TREEMAPS[domain]
+    tree = f"(SELECT concept_id, {_PATH_SQL[shape]} AS concept_path FROM hier WHERE treemap = '{shape}')" if shape else "(SELECT concept_id, concept_name AS concept_path FROM concept)"
+    show = "round({0}, 5)".format if rounded else "{0}".format
+    share = show(f"CAST(r.count_value AS DOUBLE) / {_P}")
+    if domain.endswith("era"):
+        last, rest = show("q.avg_value") + " AS length_of_era", f"(SELECT * FROM ({oracle.dist(oracle.ANALYSES[other])}) q{other})"
+    else:
+        last, rest = show("CAST(q.count_value AS DOUBLE) / r.count_value") + " AS records_per_person", f"(SELECT * FROM ({oracle.counts(oracle.ANALYSES[other])}) q{other})"
+    people = " UNION ALL ".join(f"SELECT * FROM ({oracle.counts(oracle.ANALYSES[i])}) q{i}" for i in (1, persons))
+    head = f"{hierarchy.SQL}, res AS ({people})" if shape else f"WITH res AS ({people})"
+    return with_prefix(f"{head} SELECT t.concept_id, concept_path, r.count_value AS num_persons, {share} AS percent_persons, {last} FROM res r JOIN {rest} q ON q.stratum_1 = r.stratum_1 JOIN {tree} t ON CAST(t.concept_id AS VARCHAR) = r.stratum_1 WHERE r.analysis_id = {persons}")
+
 
 _REPORTS = {
     **{f"report_share_{i}": ((lambda t, d, c, i=i: R.share_of_persons(t, i)), _counts_sql(f"SELECT CAST(stratum_1 AS BIGINT) AS stratum, count_value, round(CAST(count_value AS DOUBLE) / {_P}, 5) AS share FROM res WHERE analysis_id = {i}", [1, i])) for i in (3, 101, 109, 110, 113)},
     "report_cumulative_observation": (lambda t, d, c: R.cumulative_share(t, 108), _counts_sql(f"SELECT 30 * CAST(r.stratum_1 AS BIGINT) AS days, round(CAST((SELECT sum(count_value) FROM res q WHERE analysis_id = 108 AND CAST(q.stratum_1 AS BIGINT) >= CAST(r.stratum_1 AS BIGINT)) AS DOUBLE) / {_P}, 5) AS share FROM res r WHERE analysis_id = 108", [1, 108])),
-    "report_condition_types": (lambda t, d, c: R.concept_counts(t, c["concept"], 405, 3001), _counts_sql("SELECT concept_id, concept_name, stratum_2, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 405 AND stratum_1 = '3001'", [405])),
+    **{f"report_condition_types{name}": ((lambda t, d, c, one=one: R.condition_types(t, c["concept"], one)), _counts_sql(f"""SELECT c.concept_id AS condition_concept_id, c.concept_name AS condition_concept_name, CAST(g.group_id AS BIGINT) AS concept_id, g.group_name AS concept_name, CAST(sum(r.count_value) AS BIGINT) AS count_value
+        FROM res r JOIN concept c ON CAST(c.concept_id AS VARCHAR) = r.stratum_1 JOIN (
+          SELECT concept_id, CASE k WHEN 0 THEN concept_id ELSE k END AS group_id, CASE k WHEN 11 THEN 'Claim- Inpatient: Primary diagnosis' WHEN 12 THEN 'Claim- Inpatient: Secondary diagnosis' WHEN 21 THEN 'Claim- Outpatient: Primary diagnosis' WHEN 22 THEN 'Claim- Outpatient: Secondary diagnosis' ELSE concept_name END AS group_name
+          FROM (SELECT *, CASE WHEN concept_name LIKE 'Inpatient%' THEN 10 WHEN concept_name LIKE 'Outpatient%' THEN 20 ELSE 0 END + CASE WHEN NOT (concept_name LIKE 'Inpatient%' OR concept_name LIKE 'Outpatient%') THEN 0 WHEN concept_name LIKE '%primary%' OR concept_name LIKE '%1st position%' THEN 1 ELSE 2 END AS k FROM concept WHERE lower(vocabulary_id) = 'condition type') z) g
+          ON CAST(g.concept_id AS VARCHAR) = r.stratum_2 WHERE r.analysis_id = 405{f" AND r.stratum_1 = '{one}'" if one else ""} GROUP BY 1, 2, 3, 4""", [405])) for name, one in (("", 3001), ("_summary", None))},
     **{f"report_month_{i}": ((lambda t, d, c, i=i: R.prevalence_by_month(t, i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(r.stratum_2 AS BIGINT) AS month, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_2 WHERE r.analysis_id = {i}", [117, i])) for i in (202, 402, 602, 702, 802, 902, 1002, 1802)},
     **{f"report_gender_age_year_{i}": ((lambda t, d, c, i=i: R.prevalence_by_gender_age_year(t, c["concept"], i)), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, CAST(CAST(r.stratum_4 AS BIGINT) * 10 AS VARCHAR) || '-' || CAST(CAST(r.stratum_4 AS BIGINT) * 10 + 9 AS VARCHAR) AS age_decile, concept_name AS gender, CAST(r.stratum_2 AS BIGINT) AS year, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 116 AND q.stratum_1 = r.stratum_2 AND q.stratum_2 = r.stratum_3 AND q.stratum_3 = r.stratum_4 JOIN concept ON CAST(concept_id AS VARCHAR) = r.stratum_3 WHERE r.analysis_id = {i} AND r.stratum_3 IN ('8507', '8532')", [116, i])) for i in (204, 404, 604, 704, 804, 904, 1004, 1804)},
     "report_drug_frequency": (lambda t, d, c: R.frequency(t, c["concept"], 791), _counts_sql(f"SELECT concept_id, concept_name, CAST(stratum_2 AS BIGINT) AS x, round(100.0::DOUBLE * CAST(count_value AS DOUBLE) / {_P}, 4) AS percent FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 791", [1, 791])),
@@ -98,7 +126,8 @@ _REPORTS = {
     "report_values_to_norm": (lambda t, d, c: R.values_to_norm(t, c["concept"]), _counts_sql("SELECT concept_id, concept_name, stratum_2 AS unit, stratum_3 AS place, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 1818", [1818])),
     "report_deaths_by_month": (lambda t, d, c: R.deaths_by_month(t), _counts_sql("SELECT CAST(r.stratum_1 AS BIGINT) AS month, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_1 WHERE r.analysis_id = 502", [117, 502])),
     "report_population": (lambda t, d, c: R.population(t), _counts_sql(f"SELECT CAST({_P} AS BIGINT) AS persons", [1])),
-    "report_condition_treemap": (lambda t, d, c: R.treemap(t, V.hierarchy(c, "Condition", "Clinical Finding", ["HLT", "SOC"]), 400, 401), _counts_sql(f"SELECT CAST(r.stratum_1 AS BIGINT) AS concept_id, concat_ws('||', coalesce({_LEVELS.format('SOC')}, 'NA'), coalesce({_LEVELS.format('HLT')}, 'NA'), concept_name) AS concept_path, r.count_value AS num_persons, round(CAST(r.count_value AS DOUBLE) / {_P}, 5) AS percent_persons, round(CAST(q.count_value AS DOUBLE) / r.count_value, 5) AS records_per_person FROM res r JOIN res q ON q.analysis_id = 401 AND q.stratum_1 = r.stratum_1 JOIN concept ON CAST(concept_id AS VARCHAR) = r.stratum_1 WHERE r.analysis_id = 400", [1, 400, 401])),
+    **{f"report_{d}_treemap": ((lambda t, dd, c, d=d: R.treemap(t, dd, c["concept"] if d == "visit" else c.derived("concept_hierarchy", lambda: hierarchy.concept_hierarchy(c)), d)), _treemap_sql(d)) for d in R.TREEMAPS},
+    "report_concepts_per_person": (lambda t, d, c: R.concepts_per_person(d), _dist_sql("SELECT DISTINCT CASE analysis_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in R.CONCEPTS_PER_PERSON.items()) + " END AS category, min_value, p10_value, p25_value, median_value, p75_value, p90_value, max_value FROM res", list(R.CONCEPTS_PER_PERSON))),
     "report_total_records": (lambda t, d, c: R.total_records(t), _counts_sql("SELECT CASE analysis_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in R.DENSITY.items()) + f" END AS table_name, CAST(stratum_1 AS BIGINT) AS month, count_value FROM res WHERE analysis_id IN ({', '.join(map(str, R.DENSITY))})", list(R.DENSITY))),
     "report_records_per_person": (lambda t, d, c: R.records_per_person(t), _counts_sql("SELECT CASE r.analysis_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in R.DENSITY.items()) + f" END AS table_name, CAST(r.stratum_1 AS BIGINT) AS month, round(CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS records_per_person FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_1 WHERE r.analysis_id IN ({', '.join(map(str, R.DENSITY))})", [117, *R.DENSITY])),
     **{f"report_distribution_{i}": ((lambda t, d, c, i=i: R.distribution_lookup(d, c["concept"], i)), _dist_sql(f"SELECT stratum_1, stratum_2, concept_name AS category, {_DISTS} FROM res LEFT JOIN concept ON CAST(concept_id AS VARCHAR) = coalesce(stratum_2, stratum_1) WHERE analysis_id = {i}", [i])) for i in _NEEDED_DIST},
@@ -107,7 +136,7 @@ _REPORTS = {
 
 def _report(make, sql: str):
     ids = sorted({int(x) for x in re.findall(r"\) q(\d+)\b", sql)})  # the analyses that its SQL reads
-    counts, dists = [i for i in ids if i not in _NEEDED_DIST], [i for i in ids if i in _NEEDED_DIST]
+    counts, dists = [i for i in ids if not runner.is_distribution(i)], [i for i in ids if runner.is_distribution(i)]
 
     def run(spark, sf_dir: str) -> DataFrame:
         cdm = Cdm(spark, sf_dir)

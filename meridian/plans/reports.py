@@ -79,17 +79,80 @@ def frequency(results: DataFrame, concept: DataFrame, analysis_id: int) -> DataF
     return rows.select("concept_id", "concept_name", _number("stratum_2").alias("x"), F.round(100.0 * F.col("count_value").cast("double") / F.col("persons"), 4).alias("percent"))
 
 
-def treemap(results: DataFrame, levels: DataFrame, persons_id: int, records_id: int) -> DataFrame:
-    """Concepts with their path through a hierarchy (levels from below), persons, their share, and records per person."""
+#: The hierarchy of a domain's treemap, and the names that its path shows from the top (a condition's second level stands there twice).
+PATHS = {
+    "Condition": (4, 3, 2, 2, 0),
+    "Drug": (4, 3, 2, 1, 0),
+    "Drug Era": (3, 2, 1, 0),
+    "Measurement": (3, 2, 1, 0),
+    "Observation": (3, 2, 1, 0),
+    "Procedure": (3, 2, 1, 0),
+}
+#: By domain: hierarchy (none: plain concept names), analyses of persons and of records or (eras) of lengths, whether shares are rounded.
+TREEMAPS = {
+    "condition": ("Condition", 400, 401, True),
+    "conditionera": ("Condition", 1000, 1007, True),
+    "drug": ("Drug", 700, 701, True),
+    "drugera": ("Drug Era", 900, 907, False),
+    "measurement": ("Measurement", 1800, 1801, False),
+    "observation": ("Observation", 800, 801, False),
+    "procedure": ("Procedure", 600, 601, False),
+    "visit": (None, 200, 201, False),
+}
+
+
+def treemap(results: DataFrame, dist: DataFrame | None, levels: DataFrame, domain: str) -> DataFrame:
+    """Concepts with their path through the hierarchy, persons, their share, and records per person or the mean length of an era.
+
+    ``levels``: the concept hierarchy, or (visits) the concepts. Concepts that are not in it are left out.
+    """
+    shape, persons_id, other_id, rounded = TREEMAPS[domain]
     people = _of(results, persons_id).select(F.col("stratum_1").alias("c"), F.col("count_value").alias("num_persons"))
-    records = _of(results, records_id).groupBy(F.col("stratum_1").alias("c")).agg(F.sum("count_value").alias("records"))
-    names = sorted((c for c in levels.columns if c.startswith("level")), reverse=True)
-    path = F.concat_ws("||", *[F.coalesce(n, F.lit("NA")) for n in names], F.coalesce("concept_name", F.lit("NA")))
-    tree = levels.select(F.col("concept_id").cast("string").alias("c"), path.alias("concept_path"))
-    rows = people.join(records, "c").join(tree, "c", "left").crossJoin(F.broadcast(_persons(results)))
-    share = F.round(F.col("num_persons").cast("double") / F.col("persons"), 5)
-    each = F.round(F.col("records").cast("double") / F.col("num_persons"), 5)
-    return rows.select(_number("c").alias("concept_id"), "concept_path", "num_persons", share.alias("percent_persons"), each.alias("records_per_person"))
+    if shape:
+        names = ["concept_name" if i == 0 else f"level{i}_concept_name" for i in PATHS[shape]]
+        path = F.concat_ws("||", *[F.coalesce(n, F.lit("NA")) for n in names])
+        tree = levels.filter(F.col("treemap") == shape).select(F.col("concept_id").cast("string").alias("c"), path.alias("concept_path"))
+    else:
+        tree = levels.select(F.col("concept_id").cast("string").alias("c"), F.col("concept_name").alias("concept_path"))
+
+    def shown(x: Column) -> Column:
+        return F.round(x, 5) if rounded else x
+
+    rows = people.join(tree, "c").crossJoin(F.broadcast(_persons(results)))
+    share = shown(F.col("num_persons").cast("double") / F.col("persons")).alias("percent_persons")
+    if domain.endswith("era"):
+        lengths = dist.filter(F.col("analysis_id") == other_id).select(F.col("stratum_1").alias("c"), "avg_value")
+        return rows.join(lengths, "c").select(_number("c").alias("concept_id"), "concept_path", "num_persons", share, shown(F.col("avg_value")).alias("length_of_era"))
+    records = _of(results, other_id).select(F.col("stratum_1").alias("c"), F.col("count_value").alias("records"))
+    each = shown(F.col("records").cast("double") / F.col("num_persons")).alias("records_per_person")
+    return rows.join(records, "c").select(_number("c").alias("concept_id"), "concept_path", "num_persons", share, each)
+
+
+#: Distributions of distinct concepts per person.
+CONCEPTS_PER_PERSON = {403: "Condition occurrence", 603: "Procedure occurrence", 703: "Drug exposure", 803: "Observation", 903: "Drug era", 1003: "Condition era", 1803: "Measurement"}
+
+
+def concepts_per_person(dist: DataFrame) -> DataFrame:
+    """Seven statistics of the number of distinct concepts of a person, by table; one pass over the distributions."""
+    name = F.create_map(*[x for k, v in CONCEPTS_PER_PERSON.items() for x in (F.lit(k), F.lit(v))])
+    rows = dist.filter(F.col("analysis_id").isin(list(CONCEPTS_PER_PERSON)))
+    return rows.select(name[F.col("analysis_id")].alias("category"), *[f"{n}_value" for n in ("min", "p10", "p25", "median", "p75", "p90", "max")]).distinct()
+
+
+def condition_types(results: DataFrame, concept: DataFrame, concept_id: int | None = None) -> DataFrame:
+    """Records of conditions by type; types of claims are gathered by setting and by primary and secondary diagnosis."""
+    name = F.col("concept_name")
+    setting = F.when(name.startswith("Inpatient"), "Inpatient").when(name.startswith("Outpatient"), "Outpatient")
+    primary = name.contains("primary") | name.contains("1st position")
+    group_id = F.when(setting.isNull(), F.col("concept_id")).otherwise(F.when(setting == "Inpatient", 10).otherwise(20) + F.when(primary, 1).otherwise(2))
+    group_name = F.when(setting.isNull(), name).otherwise(F.concat(F.lit("Claim- "), setting, F.lit(": "), F.when(primary, "Primary diagnosis").otherwise("Secondary diagnosis")))
+    types = concept.filter(F.lower("vocabulary_id") == "condition type").select(F.col("concept_id").cast("string").alias("stratum_2"), group_id.cast("long").alias("__id"), group_name.alias("__name"))
+    rows = _of(results, 405)
+    if concept_id is not None:
+        rows = rows.filter(F.col("stratum_1") == str(concept_id))
+    label = concept.select(F.col("concept_id").cast("string").alias("stratum_1"), F.col("concept_id").alias("condition_concept_id"), F.col("concept_name").alias("condition_concept_name"))
+    grouped = rows.join(label, "stratum_1").join(F.broadcast(types), "stratum_2").groupBy("condition_concept_id", "condition_concept_name", "__id", "__name")
+    return grouped.agg(F.sum("count_value").alias("count_value")).withColumnsRenamed({"__id": "concept_id", "__name": "concept_name"})
 
 
 DENSITY = {220: "Visit occurrence", 420: "Condition occurrence", 502: "Death", 620: "Procedure occurrence", 720: "Drug exposure", 820: "Observation", 920: "Drug era", 1020: "Condition era", 111: "Observation period", 1820: "Measurement"}

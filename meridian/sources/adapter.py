@@ -117,6 +117,9 @@ TABLES: dict[str, str] = {
           UNION ALL SELECT 8507, 'MALE', 'Gender', 'Gender', 'Gender', 'S', 'M', NULL UNION ALL SELECT 8532, 'FEMALE', 'Gender', 'Gender', 'Gender', 'S', 'F', NULL
           UNION ALL SELECT * FROM (VALUES (9001, 'Viewed', 'Measurement', 'LOINC', 'Lab Test', 'S', 'V1', NULL), (9002, 'Clicked', 'Measurement', 'LOINC', 'Lab Test', 'S', 'V2', NULL), (9003, 'Bought', 'Measurement', 'LOINC', 'Lab Test', 'S', 'V3', NULL), (9101, 'Error', 'Observation', 'LOINC', 'Survey', 'S', 'E1', NULL), (9102, 'Other', 'Observation', 'LOINC', 'Survey', 'S', 'E2', NULL)) m(c1, c2, c3, c4, c5, c6, c7, c8)
           UNION ALL SELECT * FROM (VALUES (9201, 'Inpatient Visit', 'Visit', 'Visit', 'Visit', 'S', 'IP', NULL), (9202, 'Outpatient Visit', 'Visit', 'Visit', 'Visit', 'S', 'OP', NULL), (9203, 'Emergency Room Visit', 'Visit', 'Visit', 'Visit', 'S', 'ER', NULL), (2001, 'Group 1', 'Ethnicity', 'Ethnicity', 'Ethnicity', 'S', 'G1', NULL), (1001, 'Race 1', 'Race', 'Race', 'Race', 'S', 'R1', NULL)) v(c1, c2, c3, c4, c5, c6, c7, c8)
+          UNION ALL SELECT * FROM (VALUES (3250, 'Disorders', 'Condition', 'MedDRA', 'HLGT', 'C', 'DIS', NULL), (3260, 'Findings', 'Condition', 'MedDRA', 'Top', 'C', 'FIN', NULL), (4150, 'Drugs of a kind', 'Drug', 'ATC', 'ATC 2nd', 'C', 'DK', NULL), (9050, 'Lab tests', 'Measurement', 'LOINC', 'Group', 'C', 'LT', NULL), (9060, 'All tests', 'Measurement', 'LOINC', 'Group', 'C', 'AT', NULL), (9061, 'Any test', 'Measurement', 'LOINC', 'Group', 'C', 'NT', NULL), (9150, 'Surveys', 'Observation', 'LOINC', 'Group', 'C', 'SV', NULL)) g(c1, c2, c3, c4, c5, c6, c7, c8)
+          UNION ALL SELECT * FROM (VALUES (4040390, 'Procedure', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R0', NULL), (4040391, 'Surgery', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R1', NULL), (4040392, 'Therapy', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R2', NULL), (4040393, 'Repair', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R3', NULL), (4040394, 'Training', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R4', NULL), (4040395, 'Repair of a joint', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R5', NULL), (4040396, 'Training of a joint', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R6', NULL)) g(c1, c2, c3, c4, c5, c6, c7, c8)
+          UNION ALL SELECT * FROM (VALUES (32801, 'Inpatient detail - primary', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T1', NULL), (32802, 'Inpatient header - 1st position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T2', NULL), (32803, 'Inpatient header - 2nd position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T3', NULL), (32804, 'Outpatient detail - primary', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T4', NULL), (32805, 'Outpatient header - 2nd position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T5', NULL), (32806, 'Problem list', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T6', NULL)) g(c1, c2, c3, c4, c5, c6, c7, c8)
           UNION ALL SELECT DISTINCT 6000 + p_partkey % 20, 'Source condition ' || CAST(p_partkey % 20 AS VARCHAR(9)), 'Condition', 'ICD10CM', 'Code', NULL, 'I' || CAST(p_partkey % 20 AS VARCHAR(9)), NULL FROM part) c""",
     "concept_ancestor": """
         SELECT CAST(a AS BIGINT) AS ancestor_concept_id, CAST(d AS BIGINT) AS descendant_concept_id, CAST(lo AS INT) AS min_levels_of_separation, CAST(lo AS INT) AS max_levels_of_separation FROM (
@@ -124,11 +127,21 @@ TABLES: dict[str, str] = {
           UNION ALL SELECT 3100 + (concept_id - 3000) % 5, concept_id, 1 FROM concept WHERE concept_id >= 3000 AND concept_id < 3050
           UNION ALL SELECT 3200, concept_id, 2 FROM concept WHERE concept_id >= 3000 AND concept_id < 3050 UNION ALL SELECT 3200, concept_id, 1 FROM concept WHERE concept_id >= 3100 AND concept_id < 3105
           UNION ALL SELECT 4100 + (concept_id - 4000) % 2, concept_id, 1 FROM concept WHERE concept_id >= 4000 AND concept_id < 4050
-          UNION ALL SELECT 4200, concept_id, 2 FROM concept WHERE concept_id >= 4000 AND concept_id < 4050 UNION ALL SELECT 4200, concept_id, 1 FROM concept WHERE concept_id >= 4100 AND concept_id < 4102) x""",
+          UNION ALL SELECT 4200, concept_id, 2 FROM concept WHERE concept_id >= 4000 AND concept_id < 4050 UNION ALL SELECT 4200, concept_id, 1 FROM concept WHERE concept_id >= 4100 AND concept_id < 4102
+          UNION ALL SELECT 3250, concept_id, CASE WHEN concept_id = 3200 THEN 1 WHEN concept_id >= 3100 THEN 2 ELSE 3 END FROM concept WHERE concept_id >= 3000 AND concept_id <= 3200
+          UNION ALL SELECT 3260, concept_id, CASE WHEN concept_id = 3250 THEN 1 WHEN concept_id = 3200 THEN 2 WHEN concept_id >= 3100 THEN 3 ELSE 4 END FROM concept WHERE concept_id >= 3000 AND concept_id <= 3250
+          UNION ALL SELECT 4150, concept_id, CASE WHEN concept_id >= 4100 THEN 1 ELSE 2 END FROM concept WHERE concept_id >= 4000 AND concept_id <= 4101 UNION ALL SELECT 4200, 4150, 1 FROM concept WHERE concept_id = 4200
+          UNION ALL SELECT 9050, concept_id, 1 FROM concept WHERE concept_id IN (9001, 9002) UNION ALL SELECT 9060, 9050, 1 FROM concept WHERE concept_id = 9050 UNION ALL SELECT 9061, 9050, 1 FROM concept WHERE concept_id = 9050 UNION ALL SELECT 9060, concept_id, 2 FROM concept WHERE concept_id IN (9001, 9002) UNION ALL SELECT 9061, concept_id, 2 FROM concept WHERE concept_id IN (9001, 9002) UNION ALL SELECT 9150, 9101, 1 FROM concept WHERE concept_id = 9150
+          UNION ALL SELECT * FROM (VALUES (4040390, 4040391, 1), (4040390, 4040392, 1), (4040390, 4040393, 2), (4040390, 4040394, 2), (4040390, 4040395, 3), (4040390, 4040396, 3), (4040391, 4040393, 1), (4040392, 4040394, 1), (4040391, 4040395, 2), (4040392, 4040396, 2), (4040393, 4040395, 1), (4040394, 4040396, 1)) v(x1, x2, x3)
+          UNION ALL SELECT 4040395 + concept_id % 3, concept_id, 1 FROM concept WHERE concept_id >= 5000 AND concept_id < 5040 AND concept_id % 3 < 2 UNION ALL SELECT 4040393 + concept_id % 3, concept_id, 2 FROM concept WHERE concept_id >= 5000 AND concept_id < 5040 AND concept_id % 3 < 2
+          UNION ALL SELECT 4040391 + concept_id % 3, concept_id, 3 FROM concept WHERE concept_id >= 5000 AND concept_id < 5040 AND concept_id % 3 < 2 UNION ALL SELECT 4040390, concept_id, 4 FROM concept WHERE concept_id >= 5000 AND concept_id < 5040 AND concept_id % 3 < 2) x""",
     "concept_relationship": """
         SELECT CAST(a AS BIGINT) AS concept_id_1, CAST(b AS BIGINT) AS concept_id_2, r AS relationship_id, i AS invalid_reason FROM (
           SELECT concept_id AS a, 3000 + (concept_id - 6000) AS b, 'Maps to' AS r, CASE WHEN concept_id = 6019 THEN 'D' END AS i FROM concept WHERE concept_id >= 6000 AND concept_id < 6020
           UNION ALL SELECT 3000 + (concept_id - 6000), concept_id, 'Mapped from', NULL FROM concept WHERE concept_id >= 6000 AND concept_id < 6020) x""",
+    "vocabulary": "SELECT vocabulary_id, vocabulary_id || ' names' AS vocabulary_name, 'set ' || lower(vocabulary_id) AS vocabulary_reference, 'v' || CAST(length(vocabulary_id) AS VARCHAR(9)) AS vocabulary_version, CAST(44819000 + length(vocabulary_id) AS BIGINT) AS vocabulary_concept_id FROM (SELECT DISTINCT vocabulary_id FROM concept UNION ALL SELECT 'None') v",
+    "domain": "SELECT DISTINCT domain_id, domain_id || ' domain' AS domain_name, CAST(length(domain_id) AS BIGINT) AS domain_concept_id FROM concept",
+    "relationship": "SELECT DISTINCT relationship_id, relationship_id || ' (name)' AS relationship_name FROM concept_relationship",
     "concept_synonym": "SELECT concept_id, concept_name || ' synonym' AS concept_synonym_name FROM concept WHERE concept_id % 3 = 0",
     "source_to_concept_map": "SELECT 'X' || concept_code AS source_code, concept_id AS target_concept_id, 'LOCAL' AS source_vocabulary_id, CAST(NULL AS VARCHAR(1)) AS invalid_reason FROM concept WHERE concept_id >= 4000 AND concept_id < 4010",
     "concept_recommended": "SELECT concept_id AS concept_id_1, concept_id + 1 AS concept_id_2, 'Lexical' AS relationship_id FROM concept WHERE concept_id >= 3000 AND concept_id < 3040",

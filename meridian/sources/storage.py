@@ -54,6 +54,44 @@ def export(rows: DataFrame, table: str, path: str | None = None) -> str:
     return path
 
 
+#: What cohort generation leaves behind, and the columns that its tables are partitioned by.
+RESULT_TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "cohort": ("cohort_definition_id int, subject_id long, cohort_start_date date, cohort_end_date date", ("cohort_definition_id",)),
+    "cohort_inclusion": ("cohort_definition_id int, rule_sequence int, name string, description string", ("cohort_definition_id",)),
+    "cohort_inclusion_result": ("cohort_definition_id int, mode_id int, inclusion_rule_mask long, person_count long", ("cohort_definition_id", "mode_id")),
+    "cohort_inclusion_stats": ("cohort_definition_id int, mode_id int, rule_sequence int, person_count long, gain_count long, person_total long", ("cohort_definition_id", "mode_id")),
+    "cohort_summary_stats": ("cohort_definition_id int, mode_id int, base_count long, final_count long", ("cohort_definition_id", "mode_id")),
+    "cohort_censor_stats": ("cohort_definition_id int, lost_count long", ("cohort_definition_id",)),
+}
+
+
+def init_results(spark: SparkSession, path: str) -> list[str]:
+    """Makes the folders of result tables that are not there yet; the names of those made. Tables that are there stay as they are."""
+    made = []
+    for table in RESULT_TABLES:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(where):
+            files.mkdirs(where)
+            made.append(table)
+    return made
+
+
+def read_results(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A result table with its columns, empty where nothing was written."""
+    return spark.read.schema(RESULT_TABLES[table][0]).parquet(f"{path}/{table}")
+
+
+def upsert(rows: DataFrame, path: str, table: str, **keys: int) -> None:
+    """Replaces the rows of one cohort (and mode) in a result table: one partition, so other cohorts are not read or written."""
+    schema, partition = RESULT_TABLES[table]
+    if tuple(keys) != partition:
+        raise ValueError(f"{table} is partitioned by {', '.join(partition)}")
+    columns = [x.split() for x in schema.split(", ")]
+    inside = [F.col(n).cast(t).alias(n) for n, t in columns if n not in keys]
+    rows.select(*inside).write.mode("overwrite").parquet("/".join([path, table, *[f"{k}={v}" for k, v in keys.items()]]))
+
+
 def upsert_cohort(rows: DataFrame, path: str, cohort_id: int) -> None:
     """Replaces one cohort's rows in a store partitioned by cohort_definition_id; an empty cohort leaves an empty partition."""
     rows.drop("cohort_definition_id").write.mode("overwrite").parquet(f"{path}/cohort_definition_id={cohort_id}")
