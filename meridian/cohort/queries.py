@@ -115,7 +115,7 @@ EVENTS: dict[str, tuple[dict, str]] = {
     "ConditionOccurrence": ({"CodesetId": 0, "First": True, "StopReason": {"Op": "!contains", "Text": "ruled"}, "ProviderSpecialty": [{"CONCEPT_ID": 38004400 + i} for i in range(12)]}, "SELECT x.person_id, condition_occurrence_id, condition_start_date, coalesce(condition_end_date, condition_start_date + 1) FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY condition_start_date, condition_occurrence_id) AS rn FROM condition_occurrence WHERE condition_concept_id % 5 = 0) x JOIN provider q ON q.provider_id = x.provider_id WHERE rn = 1 AND stop_reason NOT LIKE '%ruled%' AND specialty_concept_id < 38004412"),
     "Death": ({"DeathType": [{"CONCEPT_ID": 38003569}], "OccurrenceStartDate": {"Op": "lt", "Value": "2002-01-01"}}, "SELECT person_id, person_id, death_date, death_date + 1 FROM death WHERE death_type_concept_id = 38003569 AND death_date < DATE '2002-01-01'"),
     "DeviceExposure": ({"Quantity": {"Op": "!bt", "Value": 5.9, "Extent": 40}, "VisitType": [{"CONCEPT_ID": 9201}, {"CONCEPT_ID": 9203}]}, "SELECT t.person_id, device_exposure_id, device_exposure_start_date, device_exposure_end_date FROM device_exposure t JOIN visit_occurrence v ON v.visit_occurrence_id = t.visit_occurrence_id AND v.person_id = t.person_id WHERE NOT (quantity BETWEEN 5 AND 40) AND visit_concept_id IN (9201, 9203)"),
-    "DoseEra": ({"DoseValue": {"Op": "gt", "Value": 4.99996}, "Unit": [{"CONCEPT_ID": 8576}]}, "SELECT person_id, dose_era_id, dose_era_start_date, dose_era_end_date FROM dose_era WHERE dose_value > 5.0 AND unit_concept_id = 8576"),
+    "DoseEra": ({"DoseValue": {"Op": "gte", "Value": 4.99996}, "Unit": [{"CONCEPT_ID": 8576}]}, "SELECT person_id, dose_era_id, dose_era_start_date, dose_era_end_date FROM dose_era WHERE dose_value >= 5.0 AND unit_concept_id = 8576"),
     "DrugEra": ({"CodesetId": 1, "GapDays": {"Op": "eq", "Value": 0}, "EraStartDate": {"Op": "gte", "Value": "1997-01-01"}}, "SELECT person_id, drug_era_id, drug_era_start_date, drug_era_end_date FROM drug_era WHERE drug_concept_id % 2 = 0 AND drug_era_start_date >= DATE '1997-01-01'"),
     "DrugExposure": ({"CodesetId": 1, "DaysSupply": {"Op": "lte", "Value": 20}, "Refills": {"Op": "!eq", "Value": 2}, "OccurrenceEndDate": {"Op": "lt", "Value": "1999-01-01"}, "GenderCS": {"CodesetId": 3}, "LotNumber": {"Op": "startsWith", "Text": "LOT"}}, "SELECT t.person_id, drug_exposure_id, drug_exposure_start_date, coalesce(drug_exposure_end_date, drug_exposure_start_date + days_supply, drug_exposure_start_date + 1) FROM drug_exposure t JOIN person p ON p.person_id = t.person_id WHERE drug_concept_id % 2 = 0 AND days_supply <= 20 AND refills <> 2 AND drug_exposure_start_date < DATE '1999-01-01' AND gender_concept_id = 8507 AND lot_number LIKE 'LOT%'"),
     "Episode": ({"EpisodeNumber": {"Op": "gte", "Value": 2}}, "SELECT person_id, episode_id, episode_start_date, coalesce(episode_end_date, episode_start_date + 1) FROM episode WHERE episode_number >= 2"),

@@ -125,6 +125,13 @@ _REPORTS = {
     **{f"report_kinds_{i}": ((lambda t, d, c, i=i: R.concept_counts(t, c["concept"], i)), _counts_sql(f"SELECT concept_id, concept_name, stratum_2, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = {i}", [i])) for i in (2, 4, 5, 605, 705, 805, 807, 822, 823, 1805, 1807, 1822, 1823)},
     "report_values_to_norm": (lambda t, d, c: R.values_to_norm(t, c["concept"]), _counts_sql("SELECT concept_id, concept_name, stratum_2 AS unit, stratum_3 AS place, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = 1818", [1818])),
     "report_deaths_by_month": (lambda t, d, c: R.deaths_by_month(t), _counts_sql("SELECT CAST(r.stratum_1 AS BIGINT) AS month, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 117 AND q.stratum_1 = r.stratum_1 WHERE r.analysis_id = 502", [117, 502])),
+    "report_deaths_by_gender_age_year": (lambda t, d, c: R.deaths_by_gender_age_year(t, c["concept"]), _counts_sql("SELECT CAST(CAST(r.stratum_3 AS BIGINT) * 10 AS VARCHAR) || '-' || CAST(CAST(r.stratum_3 AS BIGINT) * 10 + 9 AS VARCHAR) AS age_decile, concept_name AS gender, CAST(r.stratum_1 AS BIGINT) AS year, round(1000.0::DOUBLE * CAST(r.count_value AS DOUBLE) / q.count_value, 5) AS prevalence_1000pp FROM res r JOIN res q ON q.analysis_id = 116 AND q.stratum_1 = r.stratum_1 AND q.stratum_2 = r.stratum_2 AND q.stratum_3 = r.stratum_3 JOIN concept ON CAST(concept_id AS VARCHAR) = r.stratum_2 WHERE r.analysis_id = 504 AND r.stratum_2 IN ('8507', '8532')", [116, 504])),
+    **{f"report_first_kinds_{i}": ((lambda t, d, c, i=i: R.first_kinds(t, c["concept"], i)), _counts_sql(f"SELECT concept_id, concept_name, count_value FROM res JOIN concept ON CAST(concept_id AS VARCHAR) = stratum_1 WHERE analysis_id = {i}", [i])) for i in (2, 4, 5, 505)},
+    **{f"report_concept_kinds_{i}": ((lambda t, d, c, i=i: R.concept_kinds(t, c["concept"], i)), _counts_sql(f"SELECT c.concept_id, c.concept_name, k.concept_id AS kind_id, k.concept_name AS kind_name, count_value FROM res JOIN concept c ON CAST(c.concept_id AS VARCHAR) = stratum_1 JOIN concept k ON CAST(k.concept_id AS VARCHAR) = stratum_2 WHERE analysis_id = {i}", [i])) for i in (605, 705, 805, 822, 823, 1805, 1807, 1822, 1823)},
+    **{f"report_extent_{i}": ((lambda t, d, c, i=i, n=n: R.extent(t, i, n)), _counts_sql(f"SELECT {n} * min(CAST(stratum_1 AS BIGINT)) AS min_value, {n} * max(CAST(stratum_1 AS BIGINT)) AS max_value, {n} AS interval_size FROM res WHERE analysis_id = {i}", [i])) for i, n in ((3, 1), (108, 30), (109, 1))},
+    **{f"report_from_least_{i}": ((lambda t, d, c, i=i: R.from_least(R.share_of_persons(t, i))), _counts_sql(f"SELECT CAST(stratum_1 AS BIGINT) - (SELECT min(CAST(stratum_1 AS BIGINT)) FROM res WHERE analysis_id = {i}) AS stratum, count_value, round(CAST(count_value AS DOUBLE) / {_P}, 5) AS share FROM res WHERE analysis_id = {i}", [1, i])) for i in (3, 109)},
+    "report_share_108": (lambda t, d, c: R.share_of_persons(t, 108), _counts_sql(f"SELECT CAST(stratum_1 AS BIGINT) AS stratum, count_value, round(CAST(count_value AS DOUBLE) / {_P}, 5) AS share FROM res WHERE analysis_id = 108", [1, 108])),
+    "report_duration_by_decile": (lambda t, d, c: R.by_decile(d, 107), _dist_sql("SELECT CAST(CAST(stratum_1 AS BIGINT) * 10 AS VARCHAR) || '-' || CAST(CAST(stratum_1 AS BIGINT) * 10 + 9 AS VARCHAR) AS category, min_value, p10_value, p25_value, median_value, p75_value, p90_value, max_value FROM res", [107])),
     "report_population": (lambda t, d, c: R.population(t), _counts_sql(f"SELECT CAST({_P} AS BIGINT) AS persons", [1])),
     **{f"report_{d}_treemap": ((lambda t, dd, c, d=d: R.treemap(t, dd, c["concept"] if d == "visit" else c.derived("concept_hierarchy", lambda: hierarchy.concept_hierarchy(c)), d)), _treemap_sql(d)) for d in R.TREEMAPS},
     "report_concepts_per_person": (lambda t, d, c: R.concepts_per_person(d), _dist_sql("SELECT DISTINCT CASE analysis_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in R.CONCEPTS_PER_PERSON.items()) + " END AS category, min_value, p10_value, p25_value, median_value, p75_value, p90_value, max_value FROM res", list(R.CONCEPTS_PER_PERSON))),

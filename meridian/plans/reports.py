@@ -73,9 +73,9 @@ def prevalence_by_gender_age_year(results: DataFrame, concept: DataFrame, analys
     return joined.select(_number("stratum_1").alias("concept_id"), F.concat_ws("-", low.cast("string"), (low + 9).cast("string")).alias("age_decile"), "gender", _number("y").alias("year"), F.round(1000.0 * F.col("count_value").cast("double") / F.col("observed"), 5).alias("prevalence_1000pp"))
 
 
-def frequency(results: DataFrame, concept: DataFrame, analysis_id: int) -> DataFrame:
+def frequency(results: DataFrame, concept: DataFrame, analysis_id: int, concept_id: int | None = None) -> DataFrame:
     """Share of all persons with at least x records of a concept."""
-    rows = concept_counts(results, concept, analysis_id).crossJoin(F.broadcast(_persons(results)))
+    rows = concept_counts(results, concept, analysis_id, concept_id).crossJoin(F.broadcast(_persons(results)))
     return rows.select("concept_id", "concept_name", _number("stratum_2").alias("x"), F.round(100.0 * F.col("count_value").cast("double") / F.col("persons"), 4).alias("percent"))
 
 
@@ -171,10 +171,12 @@ def records_per_person(results: DataFrame) -> DataFrame:
     return total_records(results).join(seen, "month").select("table_name", "month", F.round(F.col("count_value").cast("double") / F.col("observed"), 5).alias("records_per_person"))
 
 
-def values_to_norm(results: DataFrame, concept: DataFrame) -> DataFrame:
+def values_to_norm(results: DataFrame, concept: DataFrame, concept_id: int | None = None) -> DataFrame:
     """Records below, within and above the normal range, by concept and unit."""
     label = concept.select(F.col("concept_id").cast("string").alias("stratum_1"), "concept_name")
     rows = _of(results, 1818).join(label, "stratum_1")
+    if concept_id is not None:
+        rows = rows.filter(F.col("stratum_1") == str(concept_id))
     return rows.select(_number("stratum_1").alias("concept_id"), "concept_name", F.col("stratum_2").alias("unit"), F.col("stratum_3").alias("place"), "count_value")
 
 
@@ -185,5 +187,44 @@ def deaths_by_month(results: DataFrame) -> DataFrame:
     return rows.select(_number("m").alias("month"), F.round(1000.0 * F.col("count_value").cast("double") / F.col("observed"), 5).alias("prevalence_1000pp"))
 
 
+def deaths_by_gender_age_year(results: DataFrame, concept: DataFrame) -> DataFrame:
+    """Deaths per thousand persons of the same gender, age decile and year under observation."""
+    dead = _of(results, 504).select(F.lit("0").alias("stratum_1"), F.col("stratum_1").alias("stratum_2"), F.col("stratum_2").alias("stratum_3"), F.col("stratum_3").alias("stratum_4"), "count_value", "analysis_id")
+    both = dead.unionByName(_of(results, 116).select(*dead.columns))
+    return prevalence_by_gender_age_year(both, concept, 504).drop("concept_id")
+
+
+def first_kinds(results: DataFrame, concept: DataFrame, analysis_id: int) -> DataFrame:
+    """Counts with the concept of the first stratum."""
+    label = concept.select("concept_id", "concept_name")
+    return _of(results, analysis_id).join(label, _number("stratum_1") == F.col("concept_id")).select("concept_id", "concept_name", "count_value")
+
+
+def concept_kinds(results: DataFrame, concept: DataFrame, analysis_id: int, concept_id: int | None = None) -> DataFrame:
+    """Counts of a concept by kind (type, unit, operator, value), both by name; kinds that are no concept are left out."""
+    kind = concept.select(F.col("concept_id").alias("kind_id"), F.col("concept_name").alias("kind_name"))
+    rows = concept_counts(results, concept, analysis_id, concept_id)
+    return rows.join(kind, _number("stratum_2") == F.col("kind_id")).select("concept_id", "concept_name", "kind_id", "kind_name", "count_value")
+
+
+def extent(results: DataFrame, analysis_id: int, step: int = 1) -> DataFrame:
+    """Least and greatest stratum and the width of one, all in the unit of the width; nulls without results."""
+    stratum = _number("stratum_1")
+    return _of(results, analysis_id).agg((F.min(stratum) * step).alias("min_value"), (F.max(stratum) * step).alias("max_value"), F.lit(step).alias("interval_size"))
+
+
+def from_least(rows: DataFrame) -> DataFrame:
+    """Strata counted from the least one."""
+    least = rows.agg(F.min("stratum").alias("__least"))
+    return rows.crossJoin(F.broadcast(least)).select((F.col("stratum") - F.col("__least")).alias("stratum"), *[c for c in rows.columns if c != "stratum"])  # one row
+
+
+def by_decile(dist: DataFrame, analysis_id: int) -> DataFrame:
+    """Seven statistics by ten years of age."""
+    low = _number("stratum_1") * 10
+    rows = dist.filter(F.col("analysis_id") == analysis_id)
+    return rows.select(F.concat_ws("-", low.cast("string"), (low + 9).cast("string")).alias("category"), *[f"{n}_value" for n in ("min", "p10", "p25", "median", "p75", "p90", "max")])
+
+
 def population(results: DataFrame) -> DataFrame:
     return _persons(results)

@@ -73,7 +73,7 @@ TABLES: dict[str, str] = {
                CAST(event_id % 3 AS BIGINT) AS qualifier_concept_id, 'Q' || CAST(event_id % 6 AS VARCHAR(9)) AS qualifier_source_value, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(8800 + event_id % 3 AS BIGINT) END AS unit_concept_id, event_id % 125 AS provider_id, event_id AS visit_occurrence_id, 9600 + event_id % 9 AS observation_source_concept_id
         FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')""",
     "death": """
-        SELECT c_custkey AS person_id, DATE '1999-01-01' + CAST(c_custkey * 7 % 1500 AS INT) AS death_date, CAST(38003569 + c_custkey % 2 AS BIGINT) AS death_type_concept_id, CAST(3000 + c_custkey % 50 AS BIGINT) AS cause_concept_id, CAST(6000 + c_custkey % 20 AS BIGINT) AS cause_source_concept_id
+        SELECT c_custkey AS person_id, DATE '1998-08-01' + CAST(c_custkey * 7 % 1500 AS INT) AS death_date, CAST(38003569 + c_custkey % 2 AS BIGINT) AS death_type_concept_id, CAST(3000 + c_custkey % 50 AS BIGINT) AS cause_concept_id, CAST(6000 + c_custkey % 20 AS BIGINT) AS cause_source_concept_id
         FROM customer WHERE c_acctbal < -500""",
     "condition_era": """
         SELECT person_id * 100000 + row_number() OVER (PARTITION BY person_id ORDER BY condition_concept_id, s) AS condition_era_id, person_id, condition_concept_id, s AS condition_era_start_date, e AS condition_era_end_date, c AS condition_occurrence_count FROM (
@@ -119,7 +119,9 @@ TABLES: dict[str, str] = {
           UNION ALL SELECT * FROM (VALUES (9201, 'Inpatient Visit', 'Visit', 'Visit', 'Visit', 'S', 'IP', NULL), (9202, 'Outpatient Visit', 'Visit', 'Visit', 'Visit', 'S', 'OP', NULL), (9203, 'Emergency Room Visit', 'Visit', 'Visit', 'Visit', 'S', 'ER', NULL), (2001, 'Group 1', 'Ethnicity', 'Ethnicity', 'Ethnicity', 'S', 'G1', NULL), (1001, 'Race 1', 'Race', 'Race', 'Race', 'S', 'R1', NULL)) v(c1, c2, c3, c4, c5, c6, c7, c8)
           UNION ALL SELECT * FROM (VALUES (3250, 'Disorders', 'Condition', 'MedDRA', 'HLGT', 'C', 'DIS', NULL), (3260, 'Findings', 'Condition', 'MedDRA', 'Top', 'C', 'FIN', NULL), (4150, 'Drugs of a kind', 'Drug', 'ATC', 'ATC 2nd', 'C', 'DK', NULL), (9050, 'Lab tests', 'Measurement', 'LOINC', 'Group', 'C', 'LT', NULL), (9060, 'All tests', 'Measurement', 'LOINC', 'Group', 'C', 'AT', NULL), (9061, 'Any test', 'Measurement', 'LOINC', 'Group', 'C', 'NT', NULL), (9150, 'Surveys', 'Observation', 'LOINC', 'Group', 'C', 'SV', NULL)) g(c1, c2, c3, c4, c5, c6, c7, c8)
           UNION ALL SELECT * FROM (VALUES (4040390, 'Procedure', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R0', NULL), (4040391, 'Surgery', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R1', NULL), (4040392, 'Therapy', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R2', NULL), (4040393, 'Repair', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R3', NULL), (4040394, 'Training', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R4', NULL), (4040395, 'Repair of a joint', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R5', NULL), (4040396, 'Training of a joint', 'Procedure', 'SNOMED', 'Procedure', 'S', 'R6', NULL)) g(c1, c2, c3, c4, c5, c6, c7, c8)
-          UNION ALL SELECT * FROM (VALUES (32801, 'Inpatient detail - primary', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T1', NULL), (32802, 'Inpatient header - 1st position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T2', NULL), (32803, 'Inpatient header - 2nd position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T3', NULL), (32804, 'Outpatient detail - primary', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T4', NULL), (32805, 'Outpatient header - 2nd position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T5', NULL), (32806, 'Problem list', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T6', NULL)) g(c1, c2, c3, c4, c5, c6, c7, c8)
+          UNION ALL SELECT * FROM (VALUES (32801, 'Inpatient detail - primary', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T1', NULL), (32802, 'Inpatient header - 1st position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T2', NULL), (32803, 'Inpatient header - 2nd position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T3', NULL), (32804, 'Outpatient detail - primary', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T4', NULL), (32805, 'Outpatient header - 2nd position', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T5', NULL), (32806, 'Problem list', 'Type Concept', 'Condition Type', 'Condition Type', 'S', 'T6', NULL),
+            (32821, 'Claim', 'Type Concept', 'Type Concept', 'Type Concept', 'S', 'T7', NULL), (32811, 'Dispensed', 'Type Concept', 'Type Concept', 'Type Concept', 'S', 'T8', NULL), (38000276, 'Reported', 'Type Concept', 'Type Concept', 'Type Concept', 'S', 'T9', NULL), (44818701, 'From a device', 'Type Concept', 'Type Concept', 'Type Concept', 'S', 'T10', NULL), (38003569, 'Register', 'Type Concept', 'Death Type', 'Death Type', 'S', 'T11', NULL),
+            (8800, 'piece', 'Unit', 'UCUM', 'Unit', 'S', 'U0', NULL), (8801, 'gram', 'Unit', 'UCUM', 'Unit', 'S', 'U1', NULL), (4171754, '<=', 'Meas Value Operator', 'SNOMED', 'Qualifier Value', 'S', 'O1', NULL), (4171756, '<', 'Meas Value Operator', 'SNOMED', 'Qualifier Value', 'S', 'O2', NULL), (4155142, 'Small', 'Meas Value', 'SNOMED', 'Qualifier Value', 'S', 'V4', NULL), (45877994, 'Yes', 'Meas Value', 'LOINC', 'Answer', 'S', 'A1', NULL), (1, 'Mild', 'Observation', 'SNOMED', 'Qualifier Value', 'S', 'Q1', NULL)) g(c1, c2, c3, c4, c5, c6, c7, c8)
           UNION ALL SELECT DISTINCT 6000 + p_partkey % 20, 'Source condition ' || CAST(p_partkey % 20 AS VARCHAR(9)), 'Condition', 'ICD10CM', 'Code', NULL, 'I' || CAST(p_partkey % 20 AS VARCHAR(9)), NULL FROM part) c""",
     "concept_ancestor": """
         SELECT CAST(a AS BIGINT) AS ancestor_concept_id, CAST(d AS BIGINT) AS descendant_concept_id, CAST(lo AS INT) AS min_levels_of_separation, CAST(lo AS INT) AS max_levels_of_separation FROM (
