@@ -647,3 +647,33 @@ def test_mixing_against_a_plain_selection(spark):
                 want[(i, full[k], min(left, sizes[i]))] += 1
                 left -= min(left, sizes[i])
     assert got == want
+
+
+def test_mixing_of_more_leaves_than_the_driver_takes(spark, monkeypatch):
+    """Budgets of windows over siblings equal those of the plain recursion, with weights of 0, unnamed nodes and budgets below one token a leaf."""
+    rng = random.Random(4)
+    weights = {"web": (0.61, {"en": (0.55, {"src1": (3, {}), "src2": (0, {})}), "de": (0, {})}), "books": (0.25, {"fr": (0.3, {})}), "forum": (0, {})}
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 7, 60])), rng.choice(["en", "de", "fr", None]), f"src{rng.randrange(23)}") for i in range(600)]
+    docs = table(spark, rows)
+    keyed = mixing._keyed(docs, None).cache()
+
+    def both(w, total, epochs):
+        found = []
+        for most in (100_000, 0):
+            monkeypatch.setattr(mixing, "MAX_LEAVES", most)
+            found.append(sorted(map(tuple, mixing._leaf_budgets(keyed, w, total, 0.7, epochs).rows.select(*mixing._LEAF, "__budget", "__full", "__part").collect())))
+        return found
+
+    for w in (weights, mixing.WEIGHTS, {}):
+        for total, epochs in ((None, 1), (5, 1), (0, 2), (1234, 2), (10**9, 1)):
+            few, many = both(w, total, epochs)
+            assert few == many and len(few) > 50
+    plain = sorted(map(tuple, mixing.mix(docs, weights).collect()))
+    assert plain == sorted(map(tuple, (monkeypatch.setattr(mixing, "MAX_LEAVES", 100_000), mixing.mix(docs, weights))[1].collect()))
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 0)
+    assert mixing.mix(table(spark, [])).count() == 0 and mixing.select_documents(docs).count() > 0
+    for _ in range(200):
+        n = rng.randrange(1, 7)
+        w, room, budget = [rng.choice([0, 0.1, 1, 2.5]) for _ in range(n)], [rng.randrange(20) for _ in range(n)], rng.randrange(60)
+        got = mixing.share_out(budget, w, room)
+        assert all(0 <= g <= r for g, r in zip(got, room, strict=True)) and sum(got) == min(budget, sum(r for r, x in zip(room, w, strict=True) if x))
