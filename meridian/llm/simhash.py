@@ -221,7 +221,8 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     while True:
         # buckets with partners, few among all; sizes come from a partial aggregation
         sizes = rows.groupBy("mask", "val").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = materialize(rows.join(sizes, ["mask", "val"]))
+        # Spark takes exploded rows for as few as there were before, and would broadcast them
+        shared = materialize(rows.hint("merge").join(sizes, ["mask", "val"]))
         buckets = shared.filter(F.col("n") <= block).groupBy("mask", "val").agg(F.collect_list("fp").alias("fps"))
         small = arrow_map(buckets.select("fps"), _compare, "u long, v long")
         links = small if links is None else links.unionByName(small)

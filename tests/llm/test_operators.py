@@ -128,6 +128,17 @@ def test_near_links_connect_what_brute_force_connects(spark, block):
     assert {p: found.get(p, p) for p in points} == {p: top(p) for p in points}
 
 
+def test_bucket_rows_are_not_broadcast(spark, monkeypatch):
+    """Their estimated size leaves out that each fingerprint is exploded into one row per mask."""
+    plans = []
+    written = simhash.materialize
+    fps = written(spark.createDataFrame([(i,) for i in range(50)], "fp long"))
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    links = simhash.near_links(fps)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert links.count() > 0
+
+
 def test_near_duplicates(spark):
     rows = hard_rows()
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
