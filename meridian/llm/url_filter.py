@@ -4,8 +4,9 @@ Curated rules (host and path prefix) decide the URLs they cover. Their verdicts,
 unwanted host words, and "allow" for all other URLs (most of the web is wanted; a rule has to win
 against that) are the training labels. FP-growth mines combinations of URL tokens (host parts, path parts,
 query keys, form) that come with a verdict. Tokens that stand in exactly the same URLs are one item
-there, and of a URL's items the ``MAX_ITEMS`` that tell most about verdicts are combined, so that a
-template of many tokens doesn't multiply into all their subsets. Single tokens against the default verdict are counted
+there. A token with one verdict only is a rule by itself, and one that stands in all URLs tells
+nothing: neither is combined with others, as no combination with it could be more confident. All
+other frequent tokens of a URL are combined, however many. Single tokens against the default verdict are counted
 exactly besides: they need a number of rows, not a share of the table, and a person's words need
 one row. Rules below a confidence go, and so does a rule that a shorter one explains as well. A URL that no curated rule covers takes the verdict of the
 strongest mined rule whose tokens it has, found through an inverted index: every rule is filed under
@@ -26,7 +27,6 @@ from .common import LOWER, UPPER, materialize
 
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.7
-MAX_ITEMS = 8  # tokens of a URL that are combined with each other
 REPEAT = 10_000  # rows of one token set that one task writes out
 MIN_COUNT = 25  # rows with its verdict that make a single token a rule, however large the table
 
@@ -111,48 +111,71 @@ def single_rules(labelled: DataFrame, default: str, seeds: list[str], min_confid
     return found.filter((F.col("verdict") != default) & (F.col("confidence") >= min_confidence) & enough).drop("n", "seed")
 
 
-def items(labelled: DataFrame, min_support: float, max_items: int) -> DataFrame:
-    """Transactions (items: array) for mining, one per row (tokens, label), the verdict among them.
+def frequent_tokens(labelled: DataFrame, min_support: float) -> tuple[DataFrame, DataFrame, float]:
+    """Rows (tokens, label) counted (row, n, tokens, label); the tokens frequent enough to be in any combination; the number of rows.
 
-    Only tokens frequent enough to be in any combination. Of tokens with the same rows (as many, with
-    the same sum of the rows' hashes) the first in alphabetical order stands for all. A row keeps the
-    ``max_items`` whose share of any verdict differs most from that verdict's share of all rows (by
-    the logarithm of the ratio; ties in alphabetical order).
+    Of tokens with the same rows (as many, with the same sum of the rows' hashes) the first in
+    alphabetical order stands for all. ``told``: by how much (the logarithm of the ratio) its share of
+    any verdict differs from that verdict's share of all rows; ``sole``: its verdict, if it has only one;
+    ``lift``: of that verdict; ``everywhere``: whether it stands in all rows.
     """
     # rows with equal tokens and label are alike: counted, not repeated
     sets = materialize(labelled.groupBy("tokens", "label").agg(F.count("*").alias("n")).withColumn("row", F.xxhash64("tokens", "label")))
     verdicts = materialize(sets.groupBy("label").agg(F.sum("n").alias("of_label")))  # one row per verdict
     rows = float(sum(r["of_label"] for r in verdicts.collect()))
     by_label = sets.select("n", "row", "label", F.explode("tokens").alias("token")).groupBy("token", "label").agg(F.sum("n").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("mark"))
-    lift = F.abs(F.log((F.col("n") / F.col("of_token")) / (F.col("of_label") / rows)))
+    lift = (F.col("n") / F.col("of_token")) / (F.col("of_label") / rows)
     totals = by_label.groupBy("token").agg(F.sum("n").alias("of_token"), F.sum("mark").alias("mark"))
     frequent = totals.filter(F.col("of_token") >= rows * min_support)  # at most 1 / min_support times the tokens of a row
-    told = by_label.drop("mark").join(frequent, "token").join(F.broadcast(verdicts), "label").groupBy("token", "of_token", "mark").agg(F.max(lift).alias("told"))
-    named = told.groupBy("of_token", "mark").agg(F.min("token").alias("token"), F.max("told").alias("told"))
+    sole = F.max(F.when(F.col("n") == F.col("of_token"), F.struct("label", lift.alias("lift"))))
+    told = by_label.drop("mark").join(frequent, "token").join(F.broadcast(verdicts), "label").groupBy("token", "of_token", "mark").agg(F.max(F.abs(F.log(lift))).alias("told"), sole.alias("sole"))
+    named = told.groupBy("of_token", "mark").agg(F.min("token").alias("token"), F.max("told").alias("told"), F.max("sole").alias("sole"))
+    return sets, materialize(named.select("token", "of_token", "told", F.col("sole.label").alias("sole"), F.col("sole.lift").alias("lift"), (F.col("of_token") == rows).alias("everywhere"))), rows
+
+
+def transactions(sets: DataFrame, named: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Transactions (items: array) for mining, one per row, its verdict among them: the ``named`` tokens of the row.
+
+    ``max_items``: only so many, the most telling (ties in alphabetical order); None: all.
+    """
     kept = sets.select("row", "n", "tokens", "label", F.explode_outer("tokens").alias("token")).join(named.select("token", "told"), "token", "left")
     order = F.array_sort(F.collect_list(F.when(F.col("told").isNotNull(), F.struct((-F.round("told", 9)).alias("t"), F.col("token").alias("token")))))
-    chosen = kept.groupBy("row", "n", "tokens", "label").agg(F.transform(F.slice(order, 1, max_items), lambda x: x["token"]).alias("items"))
+    chosen = kept.groupBy("row", "n", "tokens", "label").agg(F.transform(order if max_items is None else F.slice(order, 1, max_items), lambda x: x["token"]).alias("items"))
     made = chosen.select(F.array_append("items", F.concat(F.lit("verdict:"), F.col("label"))).alias("items"), "n")
     # repeated as often as there are rows, a frequent one by several tasks
     dealt = made.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEAT)))).repartition("items", "part")
     return dealt.select("items", F.explode(F.sequence(F.col("part") * REPEAT + 1, F.least("n", (F.col("part") + 1) * REPEAT)))).select("items")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, default: str = "allow", seeds: list[str] | None = None, max_items: int = MAX_ITEMS) -> DataFrame:
+def items(labelled: DataFrame, min_support: float, max_items: int | None = None) -> DataFrame:
+    """Transactions of rows (tokens, label) with all frequent tokens, or the ``max_items`` most telling ones of each row."""
+    sets, named, _ = frequent_tokens(labelled, min_support)
+    return transactions(sets, named, max_items)
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, default: str = "allow", seeds: list[str] | None = None) -> DataFrame:
     """Rules (antecedent, verdict, confidence, support, lift) from rows (tokens, label).
 
-    Combinations come from sets that occur in at least ``min_support`` of the rows, of at most
-    ``max_items`` tokens (see :func:`items`), so their number depends on these two and not on the number
-    of rows; single tokens also from
-    :func:`single_rules`, whatever their share. A rule goes if one with fewer tokens for the same
-    verdict is at least as confident.
+    Combinations are all sets of tokens that occur with their verdict in at least ``min_support`` of the
+    rows; single tokens come also from :func:`single_rules`, whatever their share. A rule goes if one
+    with fewer tokens for the same verdict is at least as confident. So tokens of one verdict and tokens
+    of all rows (see :func:`frequent_tokens`) are not mined with others. The number of sets does not
+    depend on the number of rows, but doubles with each token of a URL that has several verdicts and
+    stands mostly, not always, beside the others.
     """
     seeds = SEED_TOKENS if seeds is None else seeds
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items(labelled, min_support, max_items))
-    found = model.associationRules.filter(F.col("consequent")[0].startswith("verdict:")).select(
-        F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 9, 100).alias("verdict"), "confidence", "support", "lift"
-    )
-    found = found.filter((F.col("lift") > 1.0) & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
+    sets, named, rows = frequent_tokens(labelled, min_support)
+    mixed = named.filter("sole IS NULL AND NOT everywhere")
+    frequent = materialize(FPGrowth(itemsCol="items", minSupport=min_support).fit(transactions(sets, mixed)).freqItemsets)
+    is_verdict = lambda x: x.startswith("verdict:")
+    split = frequent.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("antecedent"), F.get(F.filter("items", is_verdict), F.lit(0)).alias("verdict"), "freq")  # a row has one verdict, and so has a set
+    of_verdict = split.filter("size(antecedent) = 0").select("verdict", F.col("freq").alias("of_label"))
+    of_set = split.filter("verdict IS NULL").select("antecedent", F.col("freq").alias("of_set"))
+    told = split.filter("verdict IS NOT NULL AND size(antecedent) > 0").join(of_set, "antecedent").join(F.broadcast(of_verdict), "verdict")
+    confidence = F.col("freq") / F.col("of_set")
+    found = told.select("antecedent", F.substring("verdict", 9, 100).alias("verdict"), confidence.alias("confidence"), (F.col("freq") / rows).alias("support"), (confidence / (F.col("of_label") / rows)).alias("lift"))
+    alone = named.filter("sole IS NOT NULL").select(F.array("token").alias("antecedent"), F.col("sole").alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("of_token") / rows).alias("support"), "lift")
+    found = found.filter(F.col("confidence") >= min_confidence).unionByName(alone).filter("lift > 1.0")
     found = materialize(found.unionByName(single_rules(labelled, default, seeds, min_confidence)).dropDuplicates(["antecedent", "verdict"]))
     # a rule with one token less and no less confidence makes this one redundant
     parts = found.select("antecedent", "verdict", "confidence", F.explode(F.transform("antecedent", lambda x: F.array_except("antecedent", F.array(x)))).alias("part"))

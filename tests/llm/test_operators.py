@@ -592,6 +592,31 @@ def test_mining_a_template_of_many_tokens(spark):
     assert rules[(("host:bad",), "block")] == 1.0 and not any("path:t01" in a for a, _ in rules)
 
 
+def test_mined_rules_are_all_that_a_plain_enumeration_finds(spark):
+    """Twelve tokens beside each other, most with both verdicts: all their subsets count."""
+    rng = random.Random(18)
+    names = [f"t{i:02}" for i in range(10)]
+    rows = []
+    for _ in range(300):
+        own = [x for i, x in enumerate(names) if rng.random() < 0.95 - 0.04 * i]
+        bad = {"t08", "t09"} <= {*own} or "t00" not in own and rng.random() < 0.8
+        rows.append((sorted([*own, "all", *(["sure"] if bad and rng.random() < 0.4 else [])]), "block" if bad else "allow"))
+    found, of_label = {}, Counter(v for _, v in rows)
+    every = ["all", "sure", *names]
+    for k in range(1, len(every) + 1):
+        for x in itertools.combinations(sorted(every), k):
+            having = Counter(v for t, v in rows if {*x} <= {*t})
+            for v, n in having.items():
+                confidence = n / having.total()
+                if n >= 15 and confidence >= 0.7 and confidence / (of_label[v] / len(rows)) > 1:
+                    found[x, v] = confidence
+    want = {(x, v): c for (x, v), c in found.items() if not any(found.get((x[:i] + x[i + 1 :], v), 0) >= c for i in range(len(x)))}
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string")
+    got = {(tuple(r.antecedent), r.verdict): r.confidence for r in url_filter.mine(labelled, min_support=0.05, seeds=[]).collect()}
+    assert max(len(t) for t, _ in rows) > 10 and (("t08", "t09"), "block") in want
+    assert got == want
+
+
 def test_rules_apply_as_in_a_plain_scan(spark):
     rng = random.Random(17)
     names = [f"t{i}" for i in range(12)]
